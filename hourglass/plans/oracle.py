@@ -38,9 +38,23 @@ CTE = {
   SELECT hour_ts, hour_idx, CAST(n AS DOUBLE) AS y,
          CAST(lag(n, 24) OVER (ORDER BY hour_idx) AS DOUBLE) AS pred
   FROM hourly""",
+    "events_text_num": """
+  SELECT event_id, replace(CAST(value AS VARCHAR), '.', ',') AS value_txt,
+         CASE WHEN event_id = 7 THEN 'n/a' ELSE replace(CAST(value AS VARCHAR), '.', ',') END AS amount_txt,
+         event_type
+  FROM events""",
+    "rentals_events": """
+  SELECT event_id, CASE WHEN event_id % 100 = 0 THEN 'bad' ELSE CAST(ts AS VARCHAR) END AS fecha,
+         CAST(hour(ts) AS DOUBLE) AS hora,
+         CAST(event_type IN ('view', 'click') AS BIGINT) AS u_casuales,
+         1 - CAST(event_type IN ('view', 'click') AS BIGINT) AS u_registrados,
+         CASE WHEN event_id % 50 <> 0 THEN 1.0::DOUBLE END AS total_alquileres,
+         v AS sensacion_termica, w AS velocidad_viento
+  FROM events_dirty""",
 }
 
 DEPS = {
+    "rentals_events": ["events_dirty"],
     "hourly": ["hourly_agg"],
     "hourly_nulls": ["hourly"],
     "naive_forecast": ["hourly"],

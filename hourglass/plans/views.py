@@ -110,3 +110,23 @@ def naive_forecast(spark: SparkSession, sf_dir: str, season: int = 24) -> DataFr
     f = lag_columns(h, "hour_idx", "n", lags=[season])
     return f.select("hour_ts", "hour_idx", F.col("n").cast("double").alias("y"),
                     F.col(f"n_lag_{season}").cast("double").alias("pred"))
+
+
+def rentals_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in the reference's column layout, for the reference cleaning path.
+
+    ``fecha`` is text (``bad`` on every 100th event), ``hora`` a whole-valued
+    DOUBLE, ``total_alquileres`` NULL on every 50th event (its parts are
+    ``u_casuales`` + ``u_registrados``), and the two weather columns are the
+    dirty ``v`` / ``w`` of :func:`events_dirty`.
+    """
+    d = events_dirty(spark, sf_dir)
+    eid = F.col("event_id")
+    casual = F.col("event_type").isin(*CASUAL_TYPES).cast("bigint")
+    return d.select(
+        "event_id",
+        F.when(eid % 100 == 0, F.lit("bad")).otherwise(F.col("ts").cast("string")).alias("fecha"),
+        F.hour("ts").cast("double").alias("hora"),
+        casual.alias("u_casuales"), (F.lit(1) - casual).alias("u_registrados"),
+        F.when(eid % 50 != 0, F.lit(1.0)).alias("total_alquileres"),
+        F.col("v").alias("sensacion_termica"), F.col("w").alias("velocidad_viento"))
