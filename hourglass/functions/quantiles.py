@@ -20,6 +20,17 @@ DIRECT_LIMIT = 5_000_000
 ACCURACY = 10_000
 
 
+def _disc(col_sql: str, rank: int, n: int):
+    """Exact ``rank``-th smallest (0-based) of ``n`` values: a discrete percentile
+    placed mid-way inside the rank's cumulative interval, so floating error in
+    the probability cannot move it to a neighbour."""
+    return F.expr(f"percentile_disc({(rank + 0.5) / n!r}) WITHIN GROUP (ORDER BY {col_sql})")
+
+
+def _col_sql(col: str) -> str:
+    return "CAST(`" + col.replace("`", "``") + "` AS DOUBLE)"
+
+
 def _in(c, lo, hi):
     cond = c.isNotNull()
     if lo is not None:
@@ -35,9 +46,8 @@ def _kth_values(df: DataFrame, col: str, ranks: Sequence[int], n: int,
     c = F.col(col).cast("double")
     ranks = sorted(set(ranks))
     if n <= direct_limit:
-        probs = [r / (n - 1) if n > 1 else 0.0 for r in ranks]
-        vals = df.agg(F.percentile(c, probs).alias("q")).first()["q"]
-        return dict(zip(ranks, vals))
+        row = df.agg(*[_disc(_col_sql(col), r, n).alias(f"k{i}") for i, r in enumerate(ranks)]).first()
+        return {r: row[f"k{i}"] for i, r in enumerate(ranks)}
     # bracket state per rank: (lo, hi, below, m)
     state = {r: (None, None, 0, n) for r in ranks}
     while any(s[3] > direct_limit for s in state.values()):
@@ -65,9 +75,7 @@ def _kth_values(df: DataFrame, col: str, ranks: Sequence[int], n: int,
     for r in ranks:
         lo, hi, below, m = state[r]
         sub = df.where(_in(c, lo, hi))
-        k = r - below
-        p = k / (m - 1) if m > 1 else 0.0
-        out[r] = sub.agg(F.percentile(c, p)).first()[0]
+        out[r] = sub.agg(_disc(_col_sql(col), r - below, m)).first()[0]
     return out
 
 
@@ -77,26 +85,37 @@ def exact_quantiles(df: DataFrame, spec: dict[str, Sequence[float]],
     statistics, over non-null values; ``None`` for an all-null column."""
     cols = list(spec)
     counts = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    need: dict[str, dict] = {}
+    for i, c in enumerate(cols):
+        n = counts[f"n{i}"]
+        need[c] = {}
+        for p in spec[c]:
+            h = (n - 1) * p
+            need[c][p] = (math.floor(h), math.ceil(h), h - math.floor(h))
     small = [c for i, c in enumerate(cols) if 0 < counts[f"n{i}"] <= direct_limit]
+    kth: dict[str, dict] = {}
+    if small:  # every order statistic of every small column in one pass
+        exprs, keys = [], []
+        for i, c in enumerate(cols):
+            if c not in small:
+                continue
+            for r in sorted({x for t in need[c].values() for x in t[:2]}):
+                keys.append((c, r))
+                exprs.append(_disc(_col_sql(c), r, counts[f"n{i}"]).alias(f"k{len(keys) - 1}"))
+        row = df.agg(*exprs).first()
+        for j, (c, r) in enumerate(keys):
+            kth.setdefault(c, {})[r] = row[f"k{j}"]
     out: dict[str, list] = {}
-    if small:  # all small columns in one exact pass
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), list(spec[c])).alias(f"p{i}")
-                       for i, c in enumerate(small)]).first()
-        for i, c in enumerate(small):
-            out[c] = list(row[f"p{i}"])
     for i, c in enumerate(cols):
         n = counts[f"n{i}"]
-        if c in out:
-            continue
         if n == 0:
             out[c] = [None] * len(spec[c])
             continue
-        need = {}
-        for p in spec[c]:
-            h = (n - 1) * p
-            need[p] = (math.floor(h), math.ceil(h), h - math.floor(h))
-        kth = _kth_values(df, c, [x for t in need.values() for x in t[:2]], n, direct_limit, accuracy)
-        out[c] = [kth[lo] + w * (kth[hi] - kth[lo]) for lo, hi, w in (need[p] for p in spec[c])]
+        if c not in kth:
+            kth[c] = _kth_values(df, c, [x for t in need[c].values() for x in t[:2]], n, direct_limit, accuracy)
+        k = kth[c]
+        # linear rule, written as lo + (hi - lo) * d like numpy and DuckDB
+        out[c] = [k[lo] + (k[hi] - k[lo]) * d for lo, hi, d in (need[c][p] for p in spec[c])]
     return out
 
 

@@ -76,7 +76,7 @@ def with_row_index(df: DataFrame, order_by, partition_by=None, index_col: str =
 
 
 def default_bucket_rows(halo: int) -> int:
-    return max(1 << 16, 32 * max(halo, 1))
+    return max(1 << 12, 32 * max(halo, 1))
 
 
 def bucketed_window(df: DataFrame, index_col: str, halo: int, partition_by=None,
