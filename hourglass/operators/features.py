@@ -39,7 +39,7 @@ def with_event_time(df: DataFrame, date_col: str = "fecha", hour_col: str = "hor
     d = F.try_to_timestamp(F.col(date_col).cast("string")).cast("timestamp_ntz") \
         if dict(df.dtypes)[date_col] == "string" else F.col(date_col).cast("timestamp_ntz")
     if hour_col in df.columns:
-        d = F.timestampadd("HOUR", F.coalesce(F.col(hour_col).cast("int"), F.lit(0)), d)
+        d = F.timestamp_add("HOUR", F.coalesce(F.col(hour_col).cast("int"), F.lit(0)), d)
     return df.withColumn(out, d)
 
 
@@ -81,7 +81,7 @@ def time_lags(df: DataFrame, col: str, ts_col: str, lags: Sequence[int] = DEFAUL
     lags = [int(l) for l in lags]
     shifted = (df.select(*keys, ts_col, col)
                .withColumn("_hg_l", F.explode(F.array(*[F.lit(l) for l in lags])))
-               .withColumn(ts_col, F.timestampadd(unit, F.col("_hg_l"), F.col(ts_col))))
+               .withColumn(ts_col, F.timestamp_add(unit, F.col("_hg_l"), F.col(ts_col))))
     wide = (shifted.groupBy(*keys, ts_col)
             .agg(*[F.max(F.when(F.col("_hg_l") == l, F.col(col))).alias(f"{col}_lag_{l}") for l in lags]))
     return df.join(wide, on=[*keys, ts_col], how="left")
@@ -139,13 +139,11 @@ def target_encode(train: DataFrame, apply_to: DataFrame, col: str, target: str,
     The fit is one partial aggregation (map-side combine) per category.
     """
     out = out or f"{col}_te"
-    g = train.agg(F.avg(target).alias("_hg_g"))
+    g = train.agg(F.avg(target)).first()[0]  # one scalar
     stats = train.groupBy(col).agg(F.sum(target).alias("_hg_s"), F.count(target).alias("_hg_n"))
-    enc = (stats.crossJoin(g)  # g is one row
-           .select(col, ((F.col("_hg_s") + F.lit(smoothing) * F.col("_hg_g")) /
-                         (F.col("_hg_n") + F.lit(smoothing))).alias(out)))
-    return (apply_to.join(enc, on=col, how="left").crossJoin(g)
-            .withColumn(out, F.coalesce(F.col(out), F.col("_hg_g"))).drop("_hg_g"))
+    enc = stats.select(col, ((F.col("_hg_s") + F.lit(smoothing) * F.lit(g)) /
+                             (F.col("_hg_n") + F.lit(smoothing))).alias(out))
+    return apply_to.join(enc, on=col, how="left").withColumn(out, F.coalesce(F.col(out), F.lit(g)))
 
 
 def one_hot(df: DataFrame, col: str, values: Sequence, prefix: str | None = None) -> DataFrame:
