@@ -1 +1,313 @@
-"""Queries of this family (registered in the catalogue)."""
+"""Evaluation, model, registry and scoring queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.columns import md5_bucket, round6
+from ..operators import evaluate, models, registry, split
+from ..operators.features import prepare_features
+from ..operators.order import with_row_index
+from ..operators.profile import histogram
+from ..session import scratch_path
+from ..sources import artefacts
+from ..sources.tables import table
+from . import views
+from .catalog import register
+from .feature_queries import MD5_SQL
+from .oracle import with_views
+
+FEATURES = ["hour", "dayofweek", "month", "is_weekend", "n_lag_1", "n_lag_24", "n_lag_168"]
+BANNED = ["casual", "registered"]
+
+
+def _r(df, cols):
+    return df.withColumns({c: round6(c) for c in cols})
+
+
+def prepared(spark, sf_dir):
+    """Hourly demand features with a dense row index (persisted: every fit and
+    fold of a search reads it)."""
+    h = views.hourly(spark, sf_dir)
+    f = prepare_features(h, target="n", ts="hour_ts", exclude=BANNED, lags=[1, 24, 168], index_col="hour_idx")
+    f = f.select("hour_ts", F.col("n").cast("double").alias("n"), *FEATURES)
+    return with_row_index(f, ["hour_ts"]).persist()
+
+
+def _split(spark, sf_dir):
+    p = prepared(spark, sf_dir)
+    n = p.count()
+    train, test = split.time_split(p, "row_idx", 0.8, n=n)
+    return p, train, test
+
+
+# ---------------------------------------------------------------- evaluation (Y)
+
+@register("rmse_mae", with_views("""
+SELECT count(*) AS n, round(sqrt(avg((y - pred) * (y - pred))), 6) AS rmse, round(avg(abs(y - pred)), 6) AS mae
+FROM naive_forecast WHERE y IS NOT NULL AND pred IS NOT NULL""", "naive_forecast"))
+def rmse_mae(spark, sf_dir):
+    m = evaluate.regression_metrics(views.naive_forecast(spark, sf_dir), "y", "pred")
+    return _r(m.select("n", "rmse", "mae"), ["rmse", "mae"])
+
+
+@register("r2", with_views("""
+SELECT round(1 - sum((y - pred) * (y - pred)) / sum((y - my) * (y - my)), 6) AS r2
+FROM naive_forecast, (SELECT avg(y) AS my FROM naive_forecast WHERE y IS NOT NULL AND pred IS NOT NULL) a
+WHERE y IS NOT NULL AND pred IS NOT NULL""", "naive_forecast"))
+def r2(spark, sf_dir):
+    return _r(evaluate.r2_score(views.naive_forecast(spark, sf_dir), "y", "pred"), ["r2"])
+
+
+@register("residual_hist", with_views("""
+WITH r AS (SELECT y - pred AS residual FROM naive_forecast WHERE y IS NOT NULL AND pred IS NOT NULL),
+st AS (SELECT min(residual) AS mn, max(residual) AS mx FROM r),
+b AS (SELECT CAST(least(floor((residual - mn) / (mx - mn) * 50), 49) AS BIGINT) AS bin, count(*) AS c
+      FROM r, st GROUP BY 1)
+SELECT g.bin, round(mn + g.bin * ((mx - mn) / 50), 6) AS lo, round(mn + (g.bin + 1) * ((mx - mn) / 50), 6) AS hi,
+       coalesce(b.c, 0) AS count
+FROM (SELECT range AS bin FROM range(50)) g CROSS JOIN st LEFT JOIN b ON b.bin = g.bin""", "naive_forecast"))
+def residual_hist(spark, sf_dir):
+    res = evaluate.residuals(views.naive_forecast(spark, sf_dir), "y", "pred")
+    return _r(histogram(res, "residual", 50), ["lo", "hi"])
+
+
+def _bin_sql(x, e):
+    terms = [f"CASE WHEN {x} > {e}[{i}] AND {e}[{i}] > {e}[1] AND {e}[{i}] < {e}[6] AND {e}[{i}] <> {e}[{i - 1}] "
+             f"THEN 1 ELSE 0 END" for i in range(2, 6)]
+    return "CAST(" + " + ".join(terms) + " AS BIGINT)"
+
+
+@register("bin_confusion", with_views(f"""
+WITH d AS (SELECT y, pred FROM naive_forecast WHERE y IS NOT NULL AND pred IS NOT NULL),
+q AS (SELECT quantile_cont(y, [0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS ey,
+             quantile_cont(pred, [0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS ep FROM d)
+SELECT {_bin_sql('y', 'ey')} AS actual_bin, {_bin_sql('pred', 'ep')} AS pred_bin, count(*) AS count
+FROM d, q GROUP BY 1, 2""", "naive_forecast"))
+def bin_confusion(spark, sf_dir):
+    return evaluate.bin_confusion(views.naive_forecast(spark, sf_dir), "y", "pred", 5)
+
+
+@register("fold_metrics", with_views("""
+WITH c AS (SELECT count(*) AS n, count(*) // 6 AS t FROM naive_forecast),
+m AS (SELECT f.range AS fold, sqrt(avg((y - pred) * (y - pred))) AS rmse, avg(abs(y - pred)) AS mae
+      FROM naive_forecast, c, range(5) f
+      WHERE hour_idx >= n - (5 - f.range) * t AND hour_idx < n - (4 - f.range) * t
+        AND y IS NOT NULL AND pred IS NOT NULL GROUP BY f.range)
+SELECT CAST(fold AS VARCHAR) AS fold, round(rmse, 6) AS rmse, round(mae, 6) AS mae FROM m
+UNION ALL SELECT 'mean', round(avg(rmse), 6), round(avg(mae), 6) FROM m""", "naive_forecast"))
+def fold_metrics(spark, sf_dir):
+    """M8 on seasonal-naive forecasts: all folds scored in one grouped pass."""
+    nf = views.naive_forecast(spark, sf_dir)
+    tagged = split.fold_membership(nf, "hour_idx", k=5).where(F.col("role") == "test")
+    per = evaluate.regression_metrics(tagged, "y", "pred", group_by="fold").select("fold", "rmse", "mae")
+    mean = per.agg(F.lit("mean").alias("fold"), F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae"))
+    out = per.select(F.col("fold").cast("string").alias("fold"), "rmse", "mae").unionByName(mean)
+    return _r(out, ["rmse", "mae"])
+
+
+@register("linear_fit_sql", with_views("""
+SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept,
+       round(regr_r2(y, x), 6) AS r2, regr_count(y, x) AS n
+FROM (SELECT CAST(n AS DOUBLE) AS y, CAST(lag(n, 24) OVER (ORDER BY hour_idx) AS DOUBLE) AS x FROM hourly) t""",
+                                       "hourly"))
+def linear_fit_sql(spark, sf_dir):
+    """M3 one-feature form: least squares of demand on the same hour yesterday."""
+    nf = views.naive_forecast(spark, sf_dir).select("y", F.col("pred").alias("x"))
+    return _r(nf.agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"),
+                     F.regr_r2("y", "x").alias("r2"), F.regr_count("y", "x").alias("n")),
+              ["slope", "intercept", "r2"])
+
+
+@register("knn_regress", f"""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label, {MD5_SQL.format(k='vec_id')} < 80 AS is_train
+           FROM embeddings),
+d AS (SELECT q.vec_id, t.vec_id AS tid, t.label, list_distance(q.v, t.v) AS dist
+      FROM e q JOIN e t ON NOT q.is_train AND t.is_train),
+r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY dist, tid) AS rn FROM d)
+SELECT vec_id, round(avg(label), 6) AS pred FROM r WHERE rn <= 5 GROUP BY vec_id""")
+def knn_regress(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    is_train = md5_bucket("vec_id") < 80
+    pred = models.knn_regress(e.where(is_train), e.where(~is_train), 5, "embedding", "label", "vec_id")
+    return _r(pred, ["pred"])
+
+
+# ---------------------------------------------------------------- registry (Y)
+
+@register("leaderboard", with_views("""
+SELECT model, n, round(rmse, 6) AS rmse, round(mae, 6) AS mae,
+       CASE WHEN rmse IS NOT NULL THEN rank() OVER (ORDER BY rmse ASC NULLS LAST, model) END AS rank,
+       CASE WHEN rmse IS NULL THEN 'missing metrics' ELSE 'ok' END AS status
+FROM forecaster_metrics""", "forecaster_metrics"))
+def leaderboard(spark, sf_dir):
+    lb = registry.leaderboard(views.forecaster_metrics(spark, sf_dir))
+    return _r(lb, ["rmse", "mae"]).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@register("promote_if_better", with_views("""
+SELECT c.candidate, c.current_model, round(n.rmse, 6) AS candidate_rmse, round(o.rmse, 6) AS current_rmse,
+       coalesce(coalesce(o.rmse, 'inf'::DOUBLE) > n.rmse, false) AS promote
+FROM (VALUES ('naive_lag_24', 'naive_lag_168'), ('rolling_mean_24', 'naive_lag_8760'),
+             ('naive_lag_168', 'naive_lag_1')) c(candidate, current_model)
+LEFT JOIN forecaster_metrics n ON n.model = c.candidate
+LEFT JOIN forecaster_metrics o ON o.model = c.current_model""", "forecaster_metrics"))
+def promote_if_better(spark, sf_dir):
+    cands = spark.createDataFrame([("naive_lag_24", "naive_lag_168"), ("rolling_mean_24", "naive_lag_8760"),
+                                   ("naive_lag_168", "naive_lag_1")], "candidate string, current_model string")
+    out = registry.promote_if_better(cands, views.forecaster_metrics(spark, sf_dir))
+    return _r(out.select("candidate", "current_model", "candidate_rmse", "current_rmse", "promote"),
+              ["candidate_rmse", "current_rmse"])
+
+
+@register("leakage_audit", """
+SELECT 'raw' AS feature_set, column_name AS feature
+FROM (DESCRIBE SELECT count(*) AS n, count(*) FILTER (WHERE event_type IN ('view', 'click')) AS casual,
+                      count(*) - count(*) FILTER (WHERE event_type IN ('view', 'click')) AS registered,
+                      avg(value) AS avg_value FROM events)
+WHERE column_name IN ('casual', 'registered') AND column_name NOT IN ('n')""")
+def leakage_audit(spark, sf_dir):
+    """M-AUD: the raw hourly table still holds the two banned summands; the
+    prepared feature frame must not."""
+    h = views.hourly(spark, sf_dir)
+    f = prepare_features(h, target="n", ts="hour_ts", exclude=BANNED, lags=[1, 24, 168], index_col="hour_idx")
+    sets = {"raw": [c for c in h.columns if c not in ("hour_ts", "hour_idx", "n")],
+            "prepared": [c for c in f.columns if c not in ("hour_ts", "n")]}
+    return registry.leakage_audit(registry.feature_table(spark, sets), BANNED + ["u_casuales", "u_registrados"])
+
+
+# ---------------------------------------------------------------- models (rows-only)
+
+def _predictions(model, test):
+    return models.predict(model, test).select("hour_ts", F.col("n").alias("y"), "pred")
+
+
+@register("forest_predict")
+def forest_predict(spark, sf_dir):
+    """M1: random forest (200 trees, seed 42) on the time split, test predictions."""
+    _, train, test = _split(spark, sf_dir)
+    return _predictions(models.fit_forest(train, FEATURES, "n"), test)
+
+
+@register("gbt_predict")
+def gbt_predict(spark, sf_dir):
+    """M2: boosted trees (a point of the reference grid: 100 rounds, rate 0.1, 31 leaves)."""
+    _, train, test = _split(spark, sf_dir)
+    return _predictions(models.fit_gbt(train, FEATURES, "n", rounds=100, rate=0.1, num_leaves=31), test)
+
+
+@register("ridge_predict")
+def ridge_predict(spark, sf_dir):
+    """M3: ridge regression on standardised features."""
+    _, train, test = _split(spark, sf_dir)
+    return _predictions(models.fit_linear(train, FEATURES, "n", reg=1.0), test)
+
+
+def _results_df(spark, results, best):
+    rows = [(r["point"], str(sorted(r["params"].items())), r["mean_rmse"], r["mean_mae"], r["params"] == best)
+            for r in results]
+    return spark.createDataFrame(rows, "point long, params string, mean_rmse double, mean_mae double, best boolean")
+
+
+@register("grid_search")
+def grid_search(spark, sf_dir):
+    """M5 + M7: the reference forest grid searched on expanding folds of train
+    only; the best point is refit on all of train and scored on test."""
+    _, train, test = _split(spark, sf_dir)
+    points = models.param_grid({"num_trees": [50, 100], "max_depth": [10, None]})
+    best, results = models.search(train, "row_idx", FEATURES, "n", lambda **p: models.forest("n", **p), points, k=3)
+    refit = models.fit(train, FEATURES, models.forest("n", **best))
+    m = models.evaluate_model(refit, test, "n")
+    out = _results_df(spark, results, best)
+    return out.withColumn("test_rmse", F.when(F.col("best"), F.lit(m["rmse"])))
+
+
+@register("random_search")
+def random_search(spark, sf_dir):
+    """M6: seeded random draws of boosted-tree settings over 3 expanding folds."""
+    _, train, _ = _split(spark, sf_dir)
+    space = {"rounds": [10, 20], "rate": [0.05, 0.1], "maxDepth": [3, 5], "subsamplingRate": [0.8, 1.0]}
+    points = models.random_points(space, 4, seed=42)
+    best, results = models.search(train, "row_idx", FEATURES, "n", lambda **p: models.gbt("n", **p), points, k=3)
+    return _results_df(spark, results, best)
+
+
+@register("log_target_metrics")
+def log_target_metrics(spark, sf_dir):
+    """M9: forest on log1p(target), folds scored on the original scale."""
+    p = prepared(spark, sf_dir)
+    rows = models.cross_validate(p, "row_idx", FEATURES, "n", lambda: models.forest("n", num_trees=50),
+                                 k=3, log_target=True)
+    df = spark.createDataFrame([(str(r["fold"]), r["rmse"], r["mae"]) for r in rows], "fold string, rmse double, mae double")
+    return df.unionByName(df.agg(F.lit("mean").alias("fold"), F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae")))
+
+
+@register("feature_importances")
+def feature_importances(spark, sf_dir):
+    """Forest importances, top 20."""
+    _, train, _ = _split(spark, sf_dir)
+    return models.feature_importances(models.fit_forest(train, FEATURES, "n", num_trees=100), 20)
+
+
+def train_all(spark, sf_dir, models_dir: str):
+    """Forest grid search (fallback: defaults) and boosted trees, both
+    refit on train, scored on test and saved with their metrics."""
+    _, train, test = _split(spark, sf_dir)
+    out = []
+    try:
+        points = models.param_grid({"num_trees": [50, 100], "max_depth": [10, None]})
+        best, _ = models.search(train, "row_idx", FEATURES, "n", lambda **p: models.forest("n", **p), points, k=3)
+        rf = models.fit(train, FEATURES, models.forest("n", **best))
+    except Exception:  # noqa: BLE001 - the reference falls back to defaults
+        best, rf = {}, models.fit_forest(train, FEATURES, "n")
+    m = models.evaluate_model(rf, test, "n")
+    artefacts.save_model(rf, models_dir, "model_rf_tuned", {"rmse": m["rmse"], "mae": m["mae"], "params": best})
+    out.append(("model_rf_tuned", m["rmse"], m["mae"]))
+    gb = models.fit_gbt(train, FEATURES, "n", rounds=100, rate=0.1, num_leaves=31)
+    m = models.evaluate_model(gb, test, "n")
+    artefacts.save_model(gb, models_dir, "model_gbt", {"rmse": m["rmse"], "mae": m["mae"]})
+    out.append(("model_gbt", m["rmse"], m["mae"]))
+    return spark.createDataFrame(out, "model string, rmse double, mae double")
+
+
+@register("train_all")
+def train_all_q(spark, sf_dir):
+    return train_all(spark, sf_dir, scratch_path(spark, "models"))
+
+
+@register("model_roundtrip")
+def model_roundtrip(spark, sf_dir):
+    """A saved and reloaded pipeline predicts the same values."""
+    _, train, test = _split(spark, sf_dir)
+    d = scratch_path(spark, "models")
+    m = models.fit_gbt(train, FEATURES, "n", rounds=20, rate=0.1)
+    artefacts.save_model(m, d, "roundtrip", {"rmse": 0.0})
+    loaded = artefacts.load_model(d, "roundtrip")
+    a = models.predict(m, test).select("hour_ts", "pred")
+    b = models.predict(loaded, test).select("hour_ts", F.col("pred").alias("pred_loaded"))
+    return a.join(b, "hour_ts").withColumn("same", F.col("pred") == F.col("pred_loaded"))
+
+
+@register("model_registry")
+def model_registry(spark, sf_dir):
+    """Artefacts joined to metrics: one scored model, one without metrics,
+    one whose metrics file is not valid JSON."""
+    _, train, test = _split(spark, sf_dir)
+    d = scratch_path(spark, "models")
+    for name, reg, with_metrics in (("ridge_1", 1.0, True), ("ridge_10", 10.0, False), ("ridge_bad", 0.1, False)):
+        m = models.fit_linear(train, FEATURES, "n", reg=reg)
+        met = models.evaluate_model(m, test, "n") if with_metrics else None
+        artefacts.save_model(m, d, name, {"rmse": met["rmse"], "mae": met["mae"]} if met else None)
+    spark.createDataFrame([("{not json",)], "value string").write.mode("append") \
+        .text(f"{d}/{artefacts.METRICS_DIR}/model=ridge_bad")
+    return artefacts.model_registry(spark, d)
+
+
+@register("batch_score")
+def batch_score(spark, sf_dir):
+    """Score every prepared hour with a model selected by name."""
+    from ..operators.score import score
+    p, train, _ = _split(spark, sf_dir)
+    d = scratch_path(spark, "models")
+    artefacts.save_model(models.fit_linear(train, FEATURES, "n"), d, "model_ridge", None)
+    return score(p, d, "model_ridge", keep=["hour_ts"])

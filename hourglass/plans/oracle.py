@@ -51,9 +51,25 @@ CTE = {
          CASE WHEN event_id % 50 <> 0 THEN 1.0::DOUBLE END AS total_alquileres,
          v AS sensacion_termica, w AS velocidad_viento
   FROM events_dirty""",
+    "forecasts_long": """
+  SELECT m.model, f.hour_ts, CAST(f.n AS DOUBLE) AS y,
+         CAST(CASE m.model WHEN 'naive_lag_1' THEN f.l1 WHEN 'naive_lag_24' THEN f.l24
+              WHEN 'naive_lag_168' THEN f.l168 WHEN 'rolling_mean_24' THEN f.r24 ELSE f.l8760 END AS DOUBLE) AS pred
+  FROM (SELECT hour_ts, n, lag(n, 1) OVER w AS l1, lag(n, 24) OVER w AS l24, lag(n, 168) OVER w AS l168,
+               lag(n, 8760) OVER w AS l8760,
+               avg(n) OVER (ORDER BY hour_idx ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS r24
+        FROM hourly WINDOW w AS (ORDER BY hour_idx)) f,
+       (VALUES ('naive_lag_1'), ('naive_lag_24'), ('naive_lag_168'), ('rolling_mean_24'), ('naive_lag_8760')) m(model)""",
+    "forecaster_metrics": """
+  SELECT c.model, coalesce(s.n, 0) AS n, s.rmse, s.mae
+  FROM (VALUES ('naive_lag_1'), ('naive_lag_24'), ('naive_lag_168'), ('rolling_mean_24'), ('naive_lag_8760')) c(model)
+  LEFT JOIN (SELECT model, count(*) AS n, sqrt(avg((y - pred) * (y - pred))) AS rmse, avg(abs(y - pred)) AS mae
+             FROM forecasts_long WHERE y IS NOT NULL AND pred IS NOT NULL GROUP BY model) s USING (model)""",
 }
 
 DEPS = {
+    "forecasts_long": ["hourly"],
+    "forecaster_metrics": ["forecasts_long"],
     "rentals_events": ["events_dirty"],
     "hourly": ["hourly_agg"],
     "hourly_nulls": ["hourly"],
@@ -83,4 +99,7 @@ def with_views(sql: str, *names: str, extra: dict | None = None) -> str:
         parts.append(f"{n} AS ({body}\n)")
     if not parts:
         return sql
+    body = sql.lstrip()
+    if body[:4].upper() == "WITH":  # merge with the query's own WITH list
+        return "WITH " + ",\n".join(parts) + ",\n" + body[4:].lstrip()
     return "WITH " + ",\n".join(parts) + "\n" + sql

@@ -130,3 +130,29 @@ def rentals_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         casual.alias("u_casuales"), (F.lit(1) - casual).alias("u_registrados"),
         F.when(eid % 50 != 0, F.lit(1.0)).alias("total_alquileres"),
         F.col("v").alias("sensacion_termica"), F.col("w").alias("velocidad_viento"))
+
+
+# Forecasters scored from the data itself; the yearly one can never be scored
+# on a shorter series, which gives the registry its "missing metrics" case.
+FORECASTERS = ("naive_lag_1", "naive_lag_24", "naive_lag_168", "rolling_mean_24", "naive_lag_8760")
+
+
+def forecasts_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(model, hour_ts, y, pred) for every forecaster over the hourly series."""
+    from ..operators.order import lag_columns
+    h = hourly(spark, sf_dir).select("hour_ts", "hour_idx", "n")
+    f = lag_columns(h, "hour_idx", "n", lags=[1, 24, 168, 8760], windows=[24])
+    preds = {"naive_lag_1": "n_lag_1", "naive_lag_24": "n_lag_24", "naive_lag_168": "n_lag_168",
+             "rolling_mean_24": "n_rolling_mean_24", "naive_lag_8760": "n_lag_8760"}
+    arr = F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).cast("double").alias("pred"))
+                    for m, c in preds.items()])
+    return f.select("hour_ts", F.col("n").cast("double").alias("y"), F.explode(arr).alias("_p")) \
+        .select("_p.model", "hour_ts", "y", "_p.pred")
+
+
+def forecaster_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """model, n, rmse, mae over complete rows; NULL metrics when never scorable."""
+    from ..operators.evaluate import regression_metrics
+    m = regression_metrics(forecasts_long(spark, sf_dir), "y", "pred", group_by="model")
+    names = spark.createDataFrame([(x,) for x in FORECASTERS], "model string")
+    return names.join(m, "model", "left").select("model", F.coalesce("n", F.lit(0)).alias("n"), "rmse", "mae")
