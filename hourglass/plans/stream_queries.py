@@ -1 +1,44 @@
-"""Queries of this family (registered in the catalogue)."""
+"""Streaming queries (R2, R3), drained with an ``availableNow`` trigger."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.columns import round6
+from ..session import ensure_utc, scratch_path
+from ..streaming import drain, event_stream, score_stream, stream_hourly
+from .catalog import register
+
+WATERMARK = "1 hour"
+
+
+@register("stream_hourly", """
+WITH agg AS (SELECT date_trunc('hour', ts) AS hour_ts, count(*) AS n,
+                    count(*) FILTER (WHERE event_type IN ('view', 'click')) AS casual, avg(value) AS avg_value
+             FROM events GROUP BY 1)
+SELECT hour_ts, n, casual, n - casual AS registered, round(avg_value, 6) AS avg_value
+FROM agg WHERE hour_ts + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)""")
+def stream_hourly_q(spark, sf_dir):
+    """Events replayed as a file stream: closed hours only (window end at or
+    before the watermark, i.e. the last event time minus one hour)."""
+    ensure_utc(spark)
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = event_stream(spark, sf_dir, schema, file_glob="events.parquet")
+    base = scratch_path(spark, "stream_hourly")
+    out = drain(stream_hourly(stream, "ts", WATERMARK), f"{base}/sink", f"{base}/checkpoint")
+    return out.withColumn("avg_value", round6("avg_value"))
+
+
+@register("stream_score")
+def stream_score_q(spark, sf_dir):
+    """Prepared hourly features land as files; a stream scores them with a
+    stored model and appends predictions."""
+    from ..operators import models, split
+    from .model_queries import FEATURES, prepared
+    p = prepared(spark, sf_dir)
+    train, _ = split.time_split(p, "row_idx", 0.8)
+    model = models.fit_linear(train, FEATURES, "n")
+    base = scratch_path(spark, "stream_score")
+    p.select("hour_ts", *FEATURES).write.parquet(f"{base}/input")
+    stream = event_stream(spark, f"{base}/input", spark.read.parquet(f"{base}/input").schema)
+    return drain(score_stream(stream, model), f"{base}/sink", f"{base}/checkpoint")
