@@ -27,6 +27,12 @@ def _disc(col_sql: str, rank: int, n: int):
     return F.expr(f"percentile_disc({(rank + 0.5) / n!r}) WITHIN GROUP (ORDER BY {col_sql})")
 
 
+def _disc_many(col_sql: str, ranks, n: int):
+    """All wanted order statistics of one column from a single value -> count map."""
+    probs = ", ".join(repr((r + 0.5) / n) for r in ranks)
+    return F.expr(f"percentile_disc(array({probs})) WITHIN GROUP (ORDER BY {col_sql})")
+
+
 def _col_sql(col: str) -> str:
     return "CAST(`" + col.replace("`", "``") + "` AS DOUBLE)"
 
@@ -46,8 +52,8 @@ def _kth_values(df: DataFrame, col: str, ranks: Sequence[int], n: int,
     c = F.col(col).cast("double")
     ranks = sorted(set(ranks))
     if n <= direct_limit:
-        row = df.agg(*[_disc(_col_sql(col), r, n).alias(f"k{i}") for i, r in enumerate(ranks)]).first()
-        return {r: row[f"k{i}"] for i, r in enumerate(ranks)}
+        vals = df.agg(_disc_many(_col_sql(col), ranks, n).alias("k")).first()["k"]
+        return dict(zip(ranks, vals))
     # bracket state per rank: (lo, hi, below, m)
     state = {r: (None, None, 0, n) for r in ranks}
     while any(s[3] > direct_limit for s in state.values()):
@@ -99,12 +105,12 @@ def exact_quantiles(df: DataFrame, spec: dict[str, Sequence[float]],
         for i, c in enumerate(cols):
             if c not in small:
                 continue
-            for r in sorted({x for t in need[c].values() for x in t[:2]}):
-                keys.append((c, r))
-                exprs.append(_disc(_col_sql(c), r, counts[f"n{i}"]).alias(f"k{len(keys) - 1}"))
+            ranks = sorted({x for t in need[c].values() for x in t[:2]})
+            keys.append((c, ranks))
+            exprs.append(_disc_many(_col_sql(c), ranks, counts[f"n{i}"]).alias(f"k{len(keys) - 1}"))
         row = df.agg(*exprs).first()
-        for j, (c, r) in enumerate(keys):
-            kth.setdefault(c, {})[r] = row[f"k{j}"]
+        for j, (c, ranks) in enumerate(keys):
+            kth[c] = dict(zip(ranks, row[f"k{j}"]))
     out: dict[str, list] = {}
     for i, c in enumerate(cols):
         n = counts[f"n{i}"]

@@ -10,6 +10,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,21 +78,73 @@ def top_values(df: DataFrame, cols: Sequence[str], n: int = 10) -> DataFrame:
 def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None, fill: float | None = None) -> DataFrame:
     """Pairwise-complete Pearson matrix in long form ``(col_a, col_b, corr)``.
 
-    All ``d(d+1)/2`` pairs are aggregated in one pass; the guarded formula gives
-    NULL for a constant column instead of a division error.  ``fill`` replaces
-    NULLs first (E4b).
+    One pass for the column means (the shift that keeps the sums well
+    conditioned), one pass where every task turns its Arrow batches into the
+    masked sufficient statistics of all pairs with four matrix products
+    (count, sums, sums of squares, cross products, plus masked min / max to
+    spot constant columns) and returns a single row.  Only those per-task rows
+    - one per partition, ``O(d^2)`` numbers each - are summed on the driver.
+    A pair with a constant column gets NULL (the SQL ``corr`` errors or gives
+    NaN there).  ``fill`` replaces NULLs first (E4b).
     """
+    import numpy as np
+    import pandas as pd
+
     cols = list(cols) if cols is not None else numeric_columns(df)
+    d = len(cols)
+    x = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
     if fill is not None:
-        df = df.na.fill(fill, subset=cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    wide = df.agg(*[guarded_pearson(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
-    structs = []
-    for k, (a, b) in enumerate(pairs):
-        structs.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"c{k}").alias("corr")))
-        if a != b:
-            structs.append(F.struct(F.lit(b).alias("col_a"), F.lit(a).alias("col_b"), F.col(f"c{k}").alias("corr")))
-    return _unpivot(wide, structs)
+        x = x.na.fill(float(fill))
+    means = x.agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(d)]).first()
+    shift = np.array([means[f"c{i}"] if means[f"c{i}"] is not None else 0.0 for i in range(d)])
+
+    def stats(batches):
+        acc = None
+        for pdf in batches:
+            a = pdf.to_numpy(dtype="float64", na_value=np.nan)
+            m = ~np.isnan(a)
+            mf = m.astype("float64")
+            z = np.where(m, a - shift, 0.0)
+            part = [mf.T @ mf, z.T @ mf, (z * z).T @ mf, z.T @ z]
+            lo = np.full((d, d), np.inf)
+            hi = np.full((d, d), -np.inf)
+            for j in range(d):  # min / max of column i over rows where column j is present
+                sel = m[:, j][:, None] & m
+                lo[:, j] = np.where(sel, a, np.inf).min(axis=0)
+                hi[:, j] = np.where(sel, a, -np.inf).max(axis=0)
+            if acc is None:
+                acc = part + [lo, hi]
+            else:
+                acc = [acc[k] + part[k] for k in range(4)] + [np.minimum(acc[4], lo), np.maximum(acc[5], hi)]
+        if acc is not None:
+            yield pd.DataFrame({"s": [np.concatenate([t.ravel() for t in acc]).tolist()]})
+
+    rows = x.mapInPandas(stats, "s array<double>").collect()  # one row per partition
+    spark = df.sparkSession
+    schema = "col_a string, col_b string, corr double"
+    if not rows:
+        return spark.createDataFrame([(a, b, None) for a in cols for b in cols], schema)
+    parts = [np.array(r["s"]).reshape(6, d, d) for r in rows]
+    n = sum(p[0] for p in parts)
+    sx = sum(p[1] for p in parts)          # sx[i, j]: sum of col i where i and j present
+    sxx = sum(p[2] for p in parts)
+    sxy = sum(p[3] for p in parts)
+    lo = np.minimum.reduce([p[4] for p in parts])
+    hi = np.maximum.reduce([p[5] for p in parts])
+    out = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            nn = n[i, j]
+            const = not (lo[i, j] < hi[i, j]) or not (lo[j, i] < hi[j, i])
+            if nn < 1 or const:
+                out.append((a, b, None))
+                continue
+            cov = sxy[i, j] - sx[i, j] * sx[j, i] / nn
+            va = sxx[i, j] - sx[i, j] ** 2 / nn
+            vb = sxx[j, i] - sx[j, i] ** 2 / nn
+            den = math.sqrt(va * vb) if va > 0 and vb > 0 else 0.0
+            out.append((a, b, float(cov / den) if den > 0 else None))
+    return spark.createDataFrame(out, schema)
 
 
 def top_correlations(corr: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
@@ -189,8 +243,9 @@ def kde(df: DataFrame, col: str, points: int = 200, cut: float = 3.0, bw: float
     """Gaussian kernel density on an even grid of ``points`` values.
 
     Bandwidth by Scott's rule (``std * n^(-1/5)``) unless given; the grid spans
-    ``[min - cut*bw, max + cut*bw]``.  Every grid point is one aggregate of the
-    same pass, so the data is read once and never paired with the grid.
+    ``[min - cut*bw, max + cut*bw]``.  The data is read once: every task sums
+    the kernel of its own values at all grid points in bounded numpy blocks
+    and returns one row, so rows are never paired with the grid in a join.
     """
     st = df.agg(F.count(col).alias("n"), F.stddev_samp(col).alias("sd"),
                 F.min(col).alias("mn"), F.max(col).alias("mx")).first()
@@ -200,13 +255,23 @@ def kde(df: DataFrame, col: str, points: int = 200, cut: float = 3.0, bw: float
         return spark.createDataFrame([], "point bigint, x double, density double")
     h = bw or sd * n ** (-0.2)
     lo, hi = mn - cut * h, mx + cut * h
-    xs = [lo + (hi - lo) * i / (points - 1) for i in range(points)]
+    grid = np.array([lo + (hi - lo) * i / (points - 1) for i in range(points)])
     norm = 1.0 / (h * math.sqrt(2 * math.pi))
-    x = F.col(col)
-    wide = df.where(x.isNotNull()).agg(*[F.avg(F.exp(-0.5 * F.pow((x - F.lit(g)) / F.lit(h), 2))).alias(f"d{i}")
-                                         for i, g in enumerate(xs)])
-    return _unpivot(wide, [F.struct(F.lit(i).cast("bigint").alias("point"), F.lit(g).alias("x"),
-                                    (F.col(f"d{i}") * F.lit(norm)).alias("density")) for i, g in enumerate(xs)])
+
+    def partial(batches):
+        acc = np.zeros(points)
+        for pdf in batches:
+            v = pdf["v"].dropna().to_numpy(dtype="float64")
+            for s in range(0, len(v), 4096):  # bounded (4096 x points) block
+                u = (v[s:s + 4096, None] - grid[None, :]) / h
+                acc += np.exp(-0.5 * u * u).sum(axis=0)
+        yield pd.DataFrame({"s": [acc.tolist()]})
+
+    # each task returns one row of partial kernel sums; one row per partition is summed here
+    rows = df.select(F.col(col).cast("double").alias("v")).mapInPandas(partial, "s array<double>").collect()
+    total = np.sum([np.array(r["s"]) for r in rows], axis=0) / n * norm
+    return spark.createDataFrame([(i, float(g), float(total[i])) for i, g in enumerate(grid)],
+                                 "point bigint, x double, density double")
 
 
 def sum_consistency(df: DataFrame, target: str, parts: Sequence[str]) -> DataFrame:
