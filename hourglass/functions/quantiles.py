@@ -56,7 +56,9 @@ def _kth_values(df: DataFrame, col: str, ranks: Sequence[int], n: int,
         return dict(zip(ranks, vals))
     # bracket state per rank: (lo, hi, below, m)
     state = {r: (None, None, 0, n) for r in ranks}
-    while any(s[3] > direct_limit for s in state.values()):
+    rounds = 0
+    while any(s[3] > direct_limit for s in state.values()) and rounds < 8:
+        rounds += 1  # each round shrinks a bracket ~accuracy/4 times; the cap only guards a failing sketch
         big = [r for r in ranks if state[r][3] > direct_limit]
         aggs = []
         for i, r in enumerate(big):
