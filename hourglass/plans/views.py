@@ -35,15 +35,26 @@ def on_full_grid(agg: DataFrame, ts: str = "hour_ts", unit: str = "HOUR",
                  fill: dict | None = None) -> DataFrame:
     """Left-join an aggregate onto the full time grid between its min and max.
 
-    The grid is generated from the aggregate's own bounds (no second scan of
-    the source) and gets a dense ``<unit>_idx`` 0..N-1, so lags over it are
-    plain index arithmetic.  ``fill`` gives values for empty slots.
+    The bounds come from the aggregate itself (no second scan of the source,
+    one scalar row to the driver); the grid is a distributed ``spark.range``
+    with a dense ``<unit>_idx`` 0..N-1, so lags over it are plain index
+    arithmetic and no single task generates or holds the grid.  ``fill`` gives
+    values for empty slots.
     """
-    step = F.expr(f"INTERVAL 1 {unit}")
+    import datetime as dt
+
     idx_name = f"{unit.lower()}_idx"
-    bounds = agg.agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-    spine = bounds.select(F.col("_lo"), F.explode(F.sequence("_lo", "_hi", step)).alias(ts))
-    spine = spine.select(ts, F.expr(f"timestampdiff({unit}, _lo, {ts})").cast("bigint").alias(idx_name))
+    spark = agg.sparkSession
+    b = agg.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
+    lo, hi = b["lo"], b["hi"]
+    if lo is None:
+        spine = spark.createDataFrame([], f"{ts} timestamp_ntz, {idx_name} bigint")
+    else:
+        step = {"HOUR": dt.timedelta(hours=1), "DAY": dt.timedelta(days=1)}[unit.upper()]
+        n = int((hi - lo) // step) + 1
+        spine = spark.range(n).select(
+            F.timestamp_add(unit.upper(), F.col("id"), F.lit(lo).cast("timestamp_ntz")).alias(ts),
+            F.col("id").alias(idx_name))
     out = spine.join(agg, on=ts, how="left")
     if fill:
         out = out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fill.items()})
