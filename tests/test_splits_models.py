@@ -57,6 +57,31 @@ def test_knn_equals_brute_force(spark):
         assert abs(got[100 + i] - ty[np.argsort(d)[:3]].mean()) < 1e-12
 
 
+def test_knn_blocks_tiles_and_ties(spark, monkeypatch):
+    """Several query blocks, many Arrow batches per partition, 7-cell distance
+    tiles and exact distance ties (integer grid): the (distance, id) order
+    must match brute force."""
+    rng = np.random.default_rng(7)
+    tv, qv = rng.integers(0, 3, size=(300, 2)), rng.integers(0, 3, size=(40, 2))
+    ty = rng.integers(0, 100, size=300)
+    train = spark.createDataFrame([(i, tv[i].astype(float).tolist(), int(ty[i])) for i in range(300)],
+                                  "id long, v array<double>, y int").repartition(3)
+    query = spark.createDataFrame([(1000 + i, qv[i].astype(float).tolist(), 0) for i in range(40)],
+                                  "id long, v array<double>, y int")
+    monkeypatch.setattr(models, "KNN_TILE_CELLS", 7)
+    monkeypatch.setattr(models, "KNN_BLOCK_BYTES", 12 * (8 * 2 + 24 * 4 + 24))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = {r["id"]: r["pred"] for r in models.knn_regress(train, query, 4, "v", "y", "id").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 40
+    ids = np.arange(300)
+    for i in range(40):
+        d = ((tv - qv[i]) ** 2).sum(axis=1)
+        top = np.lexsort((ids, d))[:4]
+        assert abs(got[1000 + i] - ty[top].mean()) < 1e-12
+
 def test_bin_confusion_right_closed(spark):
     rows = [(float(i), float(i)) for i in range(10)]
     df = spark.createDataFrame(rows, "y double, pred double")
