@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite_or_null_col, is_weekend, numeric_columns, weekday_mon0
+from ..session import checkpoint_dir
+from .lookup import lookup_join
 from .order import _cols, lag_columns, with_row_index
 
 DEFAULT_LAGS = (1, 24, 168)
@@ -91,34 +93,50 @@ def label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "",
                  mapping: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """integer codes by sorted category (0-based), NULL -> -1.
 
-    The mapping ``(column, value, code)`` is fitted once with one distinct
-    aggregation per column and a rank over the distinct values of each column,
-    and can be stored and re-applied (D11).  It is joined back per column;
-    Spark broadcasts it when its statistics show it small, otherwise the join
-    shuffles.  Returns ``(encoded, mapping)``.
+    The mapping ``(column, value, code)`` is fitted once (see
+    :func:`fit_label_mapping`), can be stored and re-applied (D11), and is
+    joined back per column through :func:`lookup_join`: broadcast when its
+    measured size is small, shuffled otherwise.  Returns ``(encoded, mapping)``.
     """
     cols = list(cols)
     if mapping is None:
         mapping = fit_label_mapping(df, cols)
+    sizes = {r["column"]: r["count"] for r in mapping.groupBy("column").count().collect()}  # one row per column
     out = df
     for c in cols:
         m = (mapping.filter(F.col("column") == c)
              .select(F.col("value").alias(f"_hg_v_{c}"), F.col("code").alias(f"_hg_code_{c}")))
-        out = (out.join(m, out[c].cast("string") == m[f"_hg_v_{c}"], "left")
+        out = (lookup_join(out, m, out[c].cast("string") == m[f"_hg_v_{c}"], "left", rows=sizes.get(c, 0))
                .withColumn(c + suffix, F.coalesce(F.col(f"_hg_code_{c}"), F.lit(-1).cast("bigint")))
                .drop(f"_hg_v_{c}", f"_hg_code_{c}"))
     return out, mapping
 
 
 def fit_label_mapping(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    from pyspark.sql import Window
+    """``(column, value, code)``: code = rank of the value among the column's
+    sorted distinct non-null values, 0-based.
+
+    The distinct values get a distributed row index over ``(column, value)``
+    (range-partitioned, so a column with a billion values is spread over many
+    tasks, never ranked in one window partition); a column's codes are its
+    index minus the column's start offset, taken from one count row per column.
+    """
     parts = [df.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
              .where(F.col("value").isNotNull()).distinct() for c in cols]
     allv = parts[0]
     for p in parts[1:]:
         allv = allv.unionByName(p)
-    w = Window.partitionBy("column").orderBy("value")
-    return allv.withColumn("code", (F.dense_rank().over(w) - 1).cast("bigint"))
+    indexed = with_row_index(allv, ["column", "value"], index_col="_hg_idx")
+    counts = sorted((r["column"], r["count"]) for r in indexed.groupBy("column").count().collect())
+    starts, running = {}, 0
+    for c, n in counts:
+        starts[c] = running
+        running += n
+    if not starts:
+        return indexed.select("column", "value", F.col("_hg_idx").alias("code"))
+    start = F.element_at(F.create_map(*[x for c, o in starts.items() for x in (F.lit(c), F.lit(o))]),
+                         F.col("column"))
+    return indexed.select("column", "value", (F.col("_hg_idx") - start).cast("bigint").alias("code"))
 
 
 def log1p_target(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
@@ -136,14 +154,16 @@ def target_encode(train: DataFrame, apply_to: DataFrame, col: str, target: str,
     ``apply_to``; unseen categories get the global train mean.
 
     With ``smoothing=m`` the encoding is ``(sum + m*global)/(count + m)``.
-    The fit is one partial aggregation (map-side combine) per category.
+    The fit is one partial aggregation (map-side combine) per category; the
+    fitted table is checkpointed, measured and joined by :func:`lookup_join`.
     """
     out = out or f"{col}_te"
     g = train.agg(F.avg(target)).first()[0]  # one scalar
     stats = train.groupBy(col).agg(F.sum(target).alias("_hg_s"), F.count(target).alias("_hg_n"))
+    checkpoint_dir(train.sparkSession)
     enc = stats.select(col, ((F.col("_hg_s") + F.lit(smoothing) * F.lit(g)) /
-                             (F.col("_hg_n") + F.lit(smoothing))).alias(out))
-    return apply_to.join(enc, on=col, how="left").withColumn(out, F.coalesce(F.col(out), F.lit(g)))
+                             (F.col("_hg_n") + F.lit(smoothing))).alias(out)).checkpoint(eager=True)
+    return lookup_join(apply_to, enc, col, "left").withColumn(out, F.coalesce(F.col(out), F.lit(g)))
 
 
 def one_hot(df: DataFrame, col: str, values: Sequence, prefix: str | None = None) -> DataFrame:

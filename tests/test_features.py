@@ -83,3 +83,35 @@ def test_label_encode_sorted_codes_and_null(spark):
     enc, mapping = label_encode(df, ["c"], suffix="_code")
     assert sorted((r["c"], r["c_code"]) for r in enc.collect() if r["c"]) == [("a", 0), ("b", 1), ("b", 1)]
     assert [r["c_code"] for r in enc.collect() if r["c"] is None] == [-1]
+
+
+def test_label_codes_over_many_partitions_and_shuffled_join(spark, monkeypatch):
+    """Two columns, one hot value holding a third of the rows, codes spread
+    over 6 range partitions; with a zero broadcast limit the lookup joins
+    shuffle and must give the same codes as pandas' sorted categories."""
+    from hourglass.operators import lookup
+    rng = random.Random(3)
+    vals = [f"v{rng.randrange(400):03d}" for _ in range(1200)] + ["hot"] * 600
+    rows = [(i, v, None if i % 11 == 0 else f"s{i % 37}") for i, v in enumerate(vals)]
+    df = spark.createDataFrame(rows, "id long, a string, b string").repartition(6)
+    monkeypatch.setattr(lookup, "BROADCAST_LIMIT_BYTES", 0)
+    conf = {"spark.sql.shuffle.partitions": "6", "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        enc, mapping = label_encode(df, ["a", "b"], suffix="_code")
+        enc.collect()
+        plan = enc._jdf.queryExecution().executedPlan().toString()
+        got = {r["id"]: (r["a_code"], r["b_code"]) for r in enc.collect()}
+        n_parts = mapping.rdd.getNumPartitions()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "BroadcastHashJoin" not in plan and n_parts == 6
+    pdf = pd.DataFrame(rows, columns=["id", "a", "b"])
+    ca = pd.Categorical(pdf["a"]).codes
+    cb = pd.Categorical(pdf["b"]).codes
+    assert all(got[i] == (int(ca[i]), int(cb[i])) for i in range(len(rows)))
