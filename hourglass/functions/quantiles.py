@@ -54,12 +54,14 @@ def _kth_values(df: DataFrame, col: str, ranks: Sequence[int], n: int,
     if n <= direct_limit:
         vals = df.agg(_disc_many(_col_sql(col), ranks, n).alias("k")).first()["k"]
         return dict(zip(ranks, vals))
-    # bracket state per rank: (lo, hi, below, m)
+    # bracket state per rank: (lo, hi, below, m); a bracket of one value
+    # (lo == hi, e.g. a hot value holding a third of the column) is the answer
     state = {r: (None, None, 0, n) for r in ranks}
+    out: dict[int, float] = {}
     rounds = 0
-    while any(s[3] > direct_limit for s in state.values()) and rounds < 8:
+    while any(r not in out and state[r][3] > direct_limit for r in ranks) and rounds < 8:
         rounds += 1  # each round shrinks a bracket ~accuracy/4 times; the cap only guards a failing sketch
-        big = [r for r in ranks if state[r][3] > direct_limit]
+        big = [r for r in ranks if r not in out and state[r][3] > direct_limit]
         aggs = []
         for i, r in enumerate(big):
             lo, hi, below, m = state[r]
@@ -75,12 +77,17 @@ def _kth_values(df: DataFrame, col: str, ranks: Sequence[int], n: int,
         for i, r in enumerate(big):
             nlo, nhi = row[f"b{i}"]
             below, m = crow[f"l{i}"], crow[f"m{i}"]
-            if below <= r < below + m and m < state[r][3]:
+            if below <= r < below + m and nlo == nhi:
+                out[r] = float(nlo)
+            elif below <= r < below + m and m < state[r][3]:
                 state[r] = (nlo, nhi, below, m)
             else:  # sketch bound missed: keep the bracket, tighten accuracy
                 accuracy *= 4
-    out = {}
+    # what is left is exact on the bracket (however many rounds it took): its
+    # percentile aggregate keeps one count per distinct value in the bracket
     for r in ranks:
+        if r in out:
+            continue
         lo, hi, below, m = state[r]
         sub = df.where(_in(c, lo, hi))
         out[r] = sub.agg(_disc(_col_sql(col), r - below, m)).first()[0]

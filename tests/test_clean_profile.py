@@ -43,6 +43,16 @@ def test_exact_quantiles_bracket_path_equals_numpy(spark):
     assert st == {0: s[0], 199: s[199], 19999: s[19999]}
 
 
+def test_exact_quantiles_hot_value_resolves(spark):
+    """A value holding a third of the column: ranks inside its run resolve to
+    it in one bracketing round instead of narrowing forever."""
+    rng = np.random.default_rng(5)
+    vals = np.concatenate([rng.normal(size=14000).round(3), np.full(7000, 0.25)])
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double").repartition(6)
+    probs = [0.01, 0.4, 0.5, 0.6, 0.99]
+    got = exact_quantiles(df, {"x": probs}, direct_limit=500, accuracy=200)["x"]
+    assert np.allclose(got, np.quantile(vals, probs), rtol=0, atol=1e-12)
+
 def test_winsorize_matches_order_statistics(spark):
     vals = list(range(200))
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
