@@ -5,7 +5,12 @@ task, fine for millions of values but not for a 100 TB column.  Above
 ``direct_limit`` non-null values each needed order statistic is bracketed
 with ``approx_percentile`` (rank error <= m / accuracy) and the bracket is
 counted; the loop narrows until a bracket is small enough for the exact
-aggregate.  Each round is one pass; the result is exact, not approximate.
+aggregate.  The result is exact, not approximate.
+
+All columns and ranks share the passes: every round is one ``approx`` pass
+and one counting pass for every open bracket together, and one final pass
+resolves every bracket (and every small column) at once, so the number of
+scans does not grow with the number of columns.
 """
 
 from __future__ import annotations
@@ -16,118 +21,134 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIRECT_LIMIT = 5_000_000
+# Up to DIRECT_LIMIT non-null values a column's exact map is built directly;
+# the maps of a global aggregate are merged in its one final task, so this also
+# bounds that task (about DIRECT_LIMIT entries per column).
+DIRECT_LIMIT = 1_000_000
 ACCURACY = 10_000
-
-
-def _disc(col_sql: str, rank: int, n: int):
-    """Exact ``rank``-th smallest (0-based) of ``n`` values: a discrete percentile
-    placed mid-way inside the rank's cumulative interval, so floating error in
-    the probability cannot move it to a neighbour."""
-    return F.expr(f"percentile_disc({(rank + 0.5) / n!r}) WITHIN GROUP (ORDER BY {col_sql})")
-
-
-def _disc_many(col_sql: str, ranks, n: int):
-    """All wanted order statistics of one column from a single value -> count map."""
-    probs = ", ".join(repr((r + 0.5) / n) for r in ranks)
-    return F.expr(f"percentile_disc(array({probs})) WITHIN GROUP (ORDER BY {col_sql})")
+MAX_ROUNDS = 8  # each round shrinks a bracket ~accuracy/4 times; the cap only guards a failing sketch
 
 
 def _col_sql(col: str) -> str:
     return "CAST(`" + col.replace("`", "``") + "` AS DOUBLE)"
 
 
-def _in(c, lo, hi):
-    cond = c.isNotNull()
+def _in_sql(col: str, lo, hi) -> str:
+    c = _col_sql(col)
+    cond = [f"{c} IS NOT NULL"]
     if lo is not None:
-        cond = cond & (c >= F.lit(lo))
+        cond.append(f"{c} >= {float(lo)!r}")
     if hi is not None:
-        cond = cond & (c <= F.lit(hi))
-    return cond
-
-
-def _kth_values(df: DataFrame, col: str, ranks: Sequence[int], n: int,
-                direct_limit: int, accuracy: int) -> dict[int, float]:
-    """The r-th smallest non-null value (0-based) of ``col`` for every r."""
-    c = F.col(col).cast("double")
-    ranks = sorted(set(ranks))
-    if n <= direct_limit:
-        vals = df.agg(_disc_many(_col_sql(col), ranks, n).alias("k")).first()["k"]
-        return dict(zip(ranks, vals))
-    # bracket state per rank: (lo, hi, below, m); a bracket of one value
+        cond.append(f"{c} <= {float(hi)!r}")
+    return " AND ".join(cond)
+
+
+def _disc_many(col: str, ranks: Sequence[int], m: int, lo=None, hi=None):
+    """The ``ranks``-th smallest (0-based) of the ``m`` values of ``col`` inside
+    ``[lo, hi]``, from one value -> count map.  Each probability sits mid-way in
+    its rank's cumulative interval, so floating error cannot move it to a
+    neighbour."""
+    probs = ", ".join(repr((r + 0.5) / m) for r in ranks)
+    arg = _col_sql(col) if lo is None and hi is None else f"CASE WHEN {_in_sql(col, lo, hi)} THEN {_col_sql(col)} END"
+    return F.expr(f"percentile_disc(array({probs})) WITHIN GROUP (ORDER BY {arg})")
+
+
+def order_statistics_many(df: DataFrame, wants: dict[str, Sequence[int]], counts: dict[str, int] | None = None,
+                          direct_limit: int = DIRECT_LIMIT, accuracy: int = ACCURACY) -> dict[str, dict[int, float]]:
+    """``{col: {r: r-th smallest non-null value (0-based)}}`` for every column."""
+    cols = [c for c in wants if wants[c]]
+    if counts is None:
+        row = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+        counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
+    # bracket per (col, rank): (lo, hi, below, m); a bracket of one value
     # (lo == hi, e.g. a hot value holding a third of the column) is the answer
-    state = {r: (None, None, 0, n) for r in ranks}
-    out: dict[int, float] = {}
-    rounds = 0
-    while any(r not in out and state[r][3] > direct_limit for r in ranks) and rounds < 8:
-        rounds += 1  # each round shrinks a bracket ~accuracy/4 times; the cap only guards a failing sketch
-        big = [r for r in ranks if r not in out and state[r][3] > direct_limit]
-        aggs = []
-        for i, r in enumerate(big):
-            lo, hi, below, m = state[r]
-            k, eps = r - below, 2 * (m // accuracy) + 2
-            plo, phi = max(0, k - eps) / (m - 1), min(m - 1, k + eps) / (m - 1)
-            aggs.append(F.percentile_approx(F.when(_in(c, lo, hi), c), [plo, phi], accuracy).alias(f"b{i}"))
-        row = df.agg(*aggs).first()
+    state = {(c, r): (None, None, 0, counts[c]) for c in cols for r in sorted(set(wants[c])) if counts[c]}
+    out: dict[tuple, float] = {}
+    acc = {c: accuracy for c in cols}
+    for _ in range(MAX_ROUNDS):
+        big = [key for key, s in state.items() if key not in out and s[3] > direct_limit]
+        if not big:
+            break
+        # ranks sharing a bracket (all of a column's ranks in the first
+        # round) share one sketch with all their probabilities
+        sk: dict[tuple, list] = {}
+        for c, r in big:
+            lo, hi, below, m = state[(c, r)]
+            sk.setdefault((c, lo, hi, below, m), []).append(r)
+        aggs, where = [], {}
+        for j, (g, rs) in enumerate(sk.items()):
+            c, lo, hi, below, m = g
+            eps = 2 * (m // acc[c]) + 2
+            probs = []
+            for r in rs:
+                k = r - below
+                where[(c, r)] = (f"b{j}", len(probs))
+                probs += [max(0, k - eps) / (m - 1), min(m - 1, k + eps) / (m - 1)]
+            arg = F.expr(f"CASE WHEN {_in_sql(c, lo, hi)} THEN {_col_sql(c)} END")
+            aggs.append(F.percentile_approx(arg, probs, acc[c]).alias(f"b{j}"))
+        srow = df.agg(*aggs).first()
+        brow = {}
+        for i, key in enumerate(big):
+            name, at = where[key]
+            brow[f"b{i}"] = srow[name][at:at + 2]
         cnts = []
-        for i, r in enumerate(big):
-            nlo, nhi = row[f"b{i}"]
-            cnts += [F.count_if(c < F.lit(nlo)).alias(f"l{i}"), F.count_if(_in(c, nlo, nhi)).alias(f"m{i}")]
+        for i, (c, r) in enumerate(big):
+            nlo, nhi = brow[f"b{i}"]
+            cnts += [F.expr(f"count_if({_col_sql(c)} < {float(nlo)!r})").alias(f"l{i}"),
+                     F.expr(f"count_if({_in_sql(c, nlo, nhi)})").alias(f"m{i}")]
         crow = df.agg(*cnts).first()
-        for i, r in enumerate(big):
-            nlo, nhi = row[f"b{i}"]
+        for i, (c, r) in enumerate(big):
+            nlo, nhi = brow[f"b{i}"]
             below, m = crow[f"l{i}"], crow[f"m{i}"]
             if below <= r < below + m and nlo == nhi:
-                out[r] = float(nlo)
-            elif below <= r < below + m and m < state[r][3]:
-                state[r] = (nlo, nhi, below, m)
+                out[(c, r)] = float(nlo)
+            elif below <= r < below + m and m < state[(c, r)][3]:
+                state[(c, r)] = (nlo, nhi, below, m)
             else:  # sketch bound missed: keep the bracket, tighten accuracy
-                accuracy *= 4
-    # what is left is exact on the bracket (however many rounds it took): its
-    # percentile aggregate keeps one count per distinct value in the bracket
-    for r in ranks:
-        if r in out:
-            continue
-        lo, hi, below, m = state[r]
-        sub = df.where(_in(c, lo, hi))
-        out[r] = sub.agg(_disc(_col_sql(col), r - below, m)).first()[0]
-    return out
-
-
-def exact_quantiles(df: DataFrame, spec: dict[str, Sequence[float]],
+                acc[c] *= 4
+    # what is left is exact on its bracket (however many rounds it took), all
+    # in one pass; the map holds one count per distinct value in a bracket
+    groups: dict[tuple, list] = {}
+    for (c, r), (lo, hi, below, m) in state.items():
+        if (c, r) not in out:
+            groups.setdefault((c, lo, hi, below, m), []).append(r)
+    if groups:
+        keys = list(groups)
+        row = df.agg(*[_disc_many(c, [r - below for r in groups[g]], m, lo, hi).alias(f"k{j}")
+                       for j, g in enumerate(keys) for (c, lo, hi, below, m) in [g]]).first()
+        for j, g in enumerate(keys):
+            for r, v in zip(groups[g], row[f"k{j}"]):
+                out[(g[0], r)] = v
+    res: dict[str, dict[int, float]] = {c: {} for c in cols}
+    for (c, r), v in out.items():
+        res[c][r] = v
+    return res
+
+
+def exact_quantiles(df: DataFrame, spec: dict[str, Sequence[float]], counts: dict[str, int] | None = None,
                     direct_limit: int = DIRECT_LIMIT, accuracy: int = ACCURACY) -> dict[str, list]:
     """``{col: [q(p) for p in probs]}`` with linear interpolation between order
-    statistics, over non-null values; ``None`` for an all-null column."""
+    statistics, over non-null values; ``None`` for an all-null column.
+    ``counts`` (non-null count per column) saves the counting pass when the
+    caller already has it."""
     cols = list(spec)
-    counts = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    if counts is None:
+        row = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+        counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
     need: dict[str, dict] = {}
-    for i, c in enumerate(cols):
-        n = counts[f"n{i}"]
+    for c in cols:
+        n = counts[c]
         need[c] = {}
         for p in spec[c]:
             h = (n - 1) * p
             need[c][p] = (math.floor(h), math.ceil(h), h - math.floor(h))
-    small = [c for i, c in enumerate(cols) if 0 < counts[f"n{i}"] <= direct_limit]
-    kth: dict[str, dict] = {}
-    if small:  # every order statistic of every small column in one pass
-        exprs, keys = [], []
-        for i, c in enumerate(cols):
-            if c not in small:
-                continue
-            ranks = sorted({x for t in need[c].values() for x in t[:2]})
-            keys.append((c, ranks))
-            exprs.append(_disc_many(_col_sql(c), ranks, counts[f"n{i}"]).alias(f"k{len(keys) - 1}"))
-        row = df.agg(*exprs).first()
-        for j, (c, ranks) in enumerate(keys):
-            kth[c] = dict(zip(ranks, row[f"k{j}"]))
+    wants = {c: sorted({x for t in need[c].values() for x in t[:2]}) for c in cols if counts[c]}
+    kth = order_statistics_many(df, wants, counts, direct_limit, accuracy)
     out: dict[str, list] = {}
-    for i, c in enumerate(cols):
-        n = counts[f"n{i}"]
-        if n == 0:
+    for c in cols:
+        if not counts[c]:
             out[c] = [None] * len(spec[c])
             continue
-        if c not in kth:
-            kth[c] = _kth_values(df, c, [x for t in need[c].values() for x in t[:2]], n, direct_limit, accuracy)
         k = kth[c]
         # linear rule, written as lo + (hi - lo) * d like numpy and DuckDB
         out[c] = [k[lo] + (k[hi] - k[lo]) * d for lo, hi, d in (need[c][p] for p in spec[c])]
@@ -137,6 +158,5 @@ def exact_quantiles(df: DataFrame, spec: dict[str, Sequence[float]],
 def order_statistics(df: DataFrame, col: str, ranks: Sequence[int], n: int | None = None,
                      direct_limit: int = DIRECT_LIMIT, accuracy: int = ACCURACY) -> dict[int, float]:
     """Exact r-th smallest values (0-based ranks) of ``col``."""
-    if n is None:
-        n = df.agg(F.count(F.col(col))).first()[0]
-    return _kth_values(df, col, ranks, n, direct_limit, accuracy)
+    return order_statistics_many(df, {col: ranks}, None if n is None else {col: n},
+                                 direct_limit, accuracy)[col]

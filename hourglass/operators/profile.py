@@ -41,18 +41,17 @@ def null_profile(df: DataFrame, cols: Sequence[str] | None = None, only_missing:
 def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, std (n-1), min, 25/50/75 % (exact, linear), max per numeric column."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    q = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in cols})
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    wide = df.agg(*aggs)
-    return _unpivot(wide, [F.struct(
-        F.lit(c).alias("column"), F.col(f"n{i}").alias("count"), F.col(f"a{i}").alias("mean"),
-        F.col(f"s{i}").alias("std"), F.col(f"lo{i}").alias("min"),
-        F.lit(q[c][0]).cast("double").alias("p25"), F.lit(q[c][1]).cast("double").alias("p50"),
-        F.lit(q[c][2]).cast("double").alias("p75"), F.col(f"hi{i}").alias("max")) for i, c in enumerate(cols)])
+    m = df.agg(*aggs).first()  # moments and counts: one pass, one row
+    q = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in cols}, counts={c: m[f"n{i}"] for i, c in enumerate(cols)})
+    rows = [(c, m[f"n{i}"], m[f"a{i}"], m[f"s{i}"], m[f"lo{i}"], q[c][0], q[c][1], q[c][2], m[f"hi{i}"])
+            for i, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "column string, count bigint, mean double, std double, min double, "
+                                                 "p25 double, p50 double, p75 double, max double")
 
 
 def top_values(df: DataFrame, cols: Sequence[str], n: int = 10) -> DataFrame:
