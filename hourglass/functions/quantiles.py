@@ -1,16 +1,18 @@
 """Exact quantiles (pandas / numpy "linear" rule) that scale.
 
 Spark's exact ``percentile`` keeps a value -> count map and merges it in one
-task, fine for millions of values but not for a 100 TB column.  Above
-``direct_limit`` non-null values each needed order statistic is bracketed
-with ``approx_percentile`` (rank error <= m / accuracy) and the bracket is
-counted; the loop narrows until a bracket is small enough for the exact
-aggregate.  The result is exact, not approximate.
-
-All columns and ranks share the passes: every round is one ``approx`` pass
-and one counting pass for every open bracket together, and one final pass
-resolves every bracket (and every small column) at once, so the number of
-scans does not grow with the number of columns.
+task; its cost and memory follow the number of *distinct* values.  A column
+(or a bracket of it) whose size - ``min(values, distinct values)`` - is at
+most ``direct_limit`` goes straight to that exact map.  Larger ones have each
+needed order statistic bracketed with ``approx_percentile`` (rank error <=
+m / accuracy) and counted; the loop narrows until the bracket is small enough
+for the exact aggregate.  The result is exact, not approximate.
+
+All columns and ranks share the passes: one counting pass (non-null and
+approximate distinct counts), per round one sketch pass and one counting pass
+for every open bracket together, and one final pass that resolves every
+bracket and every small column at once, so the number of scans does not grow
+with the number of columns.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Up to DIRECT_LIMIT non-null values a column's exact map is built directly;
-# the maps of a global aggregate are merged in its one final task, so this also
-# bounds that task (about DIRECT_LIMIT entries per column).
-DIRECT_LIMIT = 1_000_000
+# A column or bracket with at most DIRECT_LIMIT values or distinct values gets
+# its exact map directly.  The maps of a global aggregate are merged in its one
+# final task, so this also bounds that task (DIRECT_LIMIT entries per column);
+# above it a sketch pass is cheaper than building the map.
+DIRECT_LIMIT = 100_000
 ACCURACY = 10_000
 MAX_ROUNDS = 8  # each round shrinks a bracket ~accuracy/4 times; the cap only guards a failing sketch
 
@@ -53,20 +56,40 @@ def _disc_many(col: str, ranks: Sequence[int], m: int, lo=None, hi=None):
     return F.expr(f"percentile_disc(array({probs})) WITHIN GROUP (ORDER BY {arg})")
 
 
+def column_counts(df: DataFrame, cols: Sequence[str]) -> tuple[dict[str, int], dict[str, int]]:
+    """Non-null count and approximate (HyperLogLog) distinct count per column, one pass."""
+    cols = list(cols)
+    if not cols:
+        return {}, {}
+    row = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)],
+                 *[F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    return {c: row[f"n{i}"] for i, c in enumerate(cols)}, {c: row[f"d{i}"] for i, c in enumerate(cols)}
+
+
 def order_statistics_many(df: DataFrame, wants: dict[str, Sequence[int]], counts: dict[str, int] | None = None,
-                          direct_limit: int = DIRECT_LIMIT, accuracy: int = ACCURACY) -> dict[str, dict[int, float]]:
-    """``{col: {r: r-th smallest non-null value (0-based)}}`` for every column."""
+                          direct_limit: int = DIRECT_LIMIT, accuracy: int = ACCURACY,
+                          distinct: dict[str, int] | None = None) -> dict[str, dict[int, float]]:
+    """``{col: {r: r-th smallest non-null value (0-based)}}`` for every column.
+
+    ``counts`` / ``distinct`` (non-null and approximate distinct counts) save
+    the first pass when the caller has them; without ``distinct`` a column is
+    sized by its value count.
+    """
     cols = [c for c in wants if wants[c]]
     if counts is None:
-        row = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-        counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
+        counts, distinct = column_counts(df, cols)
+    distinct = distinct or {}
+
+    def size(c, m):  # entries of the exact map of a bracket with m values
+        return min(m, distinct.get(c, m))
+
     # bracket per (col, rank): (lo, hi, below, m); a bracket of one value
     # (lo == hi, e.g. a hot value holding a third of the column) is the answer
     state = {(c, r): (None, None, 0, counts[c]) for c in cols for r in sorted(set(wants[c])) if counts[c]}
     out: dict[tuple, float] = {}
     acc = {c: accuracy for c in cols}
     for _ in range(MAX_ROUNDS):
-        big = [key for key, s in state.items() if key not in out and s[3] > direct_limit]
+        big = [key for key, s in state.items() if key not in out and size(key[0], s[3]) > direct_limit]
         if not big:
             break
         # ranks sharing a bracket (all of a column's ranks in the first
@@ -126,15 +149,15 @@ def order_statistics_many(df: DataFrame, wants: dict[str, Sequence[int]], counts
 
 
 def exact_quantiles(df: DataFrame, spec: dict[str, Sequence[float]], counts: dict[str, int] | None = None,
-                    direct_limit: int = DIRECT_LIMIT, accuracy: int = ACCURACY) -> dict[str, list]:
+                    direct_limit: int = DIRECT_LIMIT, accuracy: int = ACCURACY,
+                    distinct: dict[str, int] | None = None) -> dict[str, list]:
     """``{col: [q(p) for p in probs]}`` with linear interpolation between order
     statistics, over non-null values; ``None`` for an all-null column.
-    ``counts`` (non-null count per column) saves the counting pass when the
-    caller already has it."""
+    ``counts`` / ``distinct`` (see :func:`column_counts`) save the counting
+    pass when the caller already has them."""
     cols = list(spec)
     if counts is None:
-        row = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-        counts = {c: row[f"n{i}"] for i, c in enumerate(cols)}
+        counts, distinct = column_counts(df, cols)
     need: dict[str, dict] = {}
     for c in cols:
         n = counts[c]
@@ -143,7 +166,7 @@ def exact_quantiles(df: DataFrame, spec: dict[str, Sequence[float]], counts: dic
             h = (n - 1) * p
             need[c][p] = (math.floor(h), math.ceil(h), h - math.floor(h))
     wants = {c: sorted({x for t in need[c].values() for x in t[:2]}) for c in cols if counts[c]}
-    kth = order_statistics_many(df, wants, counts, direct_limit, accuracy)
+    kth = order_statistics_many(df, wants, counts, direct_limit, accuracy, distinct)
     out: dict[str, list] = {}
     for c in cols:
         if not counts[c]:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite_or_null_col, numeric_columns, string_columns
-from ..functions.quantiles import exact_quantiles, order_statistics_many
+from ..functions.quantiles import column_counts, exact_quantiles, order_statistics_many
 from .schema import narrow_integers, parse_ts
 
 WEATHER_COLS = ("sensacion_termica", "velocidad_viento")
@@ -140,15 +140,15 @@ def winsorize(df: DataFrame, cols: Sequence[str] | None = None, lower: float = 0
     the highest ``int(upper*n)`` the one below them (n = non-null count):
     a clip to ``sorted[k_lo]`` and ``sorted[n - k_hi - 1]``."""
     cols = list(cols) if cols is not None else numeric_columns(df)
-    row = df.agg(*[F.count(F.col(c)).alias(c) for c in cols]).first()
-    counts = {c: row[c] for c in cols}
+    counts, distinct = column_counts(df, cols)
     cut = {}
     for c in cols:
         n = counts[c]
         k_lo, k_hi = int(lower * n), int(upper * n)
         if n and (k_lo or k_hi):
             cut[c] = (k_lo, n - k_hi - 1)
-    st = order_statistics_many(df, {c: list(r) for c, r in cut.items()}, counts)  # all columns, shared passes
+    st = order_statistics_many(df, {c: list(r) for c, r in cut.items()}, counts,
+                               distinct=distinct)  # all columns, shared passes
     out = {}
     for c, (r_lo, r_hi) in cut.items():
         t = df.schema[c].dataType

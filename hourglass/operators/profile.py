@@ -45,9 +45,10 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.approx_count_distinct(x).alias(f"d{i}")]
     m = df.agg(*aggs).first()  # moments and counts: one pass, one row
-    q = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in cols}, counts={c: m[f"n{i}"] for i, c in enumerate(cols)})
+    q = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in cols}, counts={c: m[f"n{i}"] for i, c in enumerate(cols)},
+                        distinct={c: m[f"d{i}"] for i, c in enumerate(cols)})
     rows = [(c, m[f"n{i}"], m[f"a{i}"], m[f"s{i}"], m[f"lo{i}"], q[c][0], q[c][1], q[c][2], m[f"hi{i}"])
             for i, c in enumerate(cols)]
     return df.sparkSession.createDataFrame(rows, "column string, count bigint, mean double, std double, min double, "
