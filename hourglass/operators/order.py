@@ -61,18 +61,18 @@ def with_row_index(df: DataFrame, order_by, partition_by=None, index_col: str =
         tagged = tagged.checkpoint(eager=True)
     tagged = tagged.withColumn("_hg_pid", F.shiftright("_hg_mid", _POS_BITS))
     counts = tagged.groupBy("_hg_pid").count().collect()  # one row per partition
-    offsets, running = {}, 0
+    offsets, running = [], 0
     for row in sorted(counts, key=lambda r: r["_hg_pid"]):
-        offsets[int(row["_hg_pid"])] = running
+        offsets.append((int(row["_hg_pid"]), running))
         running += int(row["count"])
-    if offsets:
-        offset_map = F.create_map(*[x for pid, off in offsets.items() for x in (F.lit(pid), F.lit(off))])
-        offset = F.element_at(offset_map, F.col("_hg_pid"))
-    else:
-        offset = F.lit(0).cast("bigint")
+    # one (partition, offset) row per partition: a proven size bound, so it is
+    # broadcast; as a table (not a literal map) it stays cheap to plan for
+    # 100k partitions
+    off = spark.createDataFrame(offsets, "_hg_pid bigint, _hg_off bigint")
     pos = F.col("_hg_mid") - F.shiftleft(F.col("_hg_pid"), _POS_BITS)
-    return (tagged.withColumn(index_col, (offset + pos).cast("bigint"))
-            .drop("_hg_mid", "_hg_pid"))
+    return (tagged.join(F.broadcast(off), "_hg_pid", "inner")
+            .withColumn(index_col, (F.col("_hg_off") + pos).cast("bigint"))
+            .drop("_hg_mid", "_hg_pid", "_hg_off"))
 
 
 def default_bucket_rows(halo: int) -> int:
