@@ -75,6 +75,25 @@ def top_values(df: DataFrame, cols: Sequence[str], n: int = 10) -> DataFrame:
     return ranked.select("column", "rank", "value", "count", "pct")
 
 
+def reduce_partials(parts: DataFrame, width: int):
+    """Element-wise ``(sum, min, max)`` of the ``s`` arrays (one per task) as
+    three numpy vectors of ``width``, or None when there are none.
+
+    The reduction runs in Spark - ``posexplode``, partial aggregation inside
+    each task, one shuffle by position - so the driver receives ``width`` rows
+    however many partitions there are.
+    """
+    rows = (parts.select(F.posexplode("s").alias("pos", "v"))
+            .groupBy("pos").agg(F.sum("v").alias("t"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            .collect())
+    if not rows:
+        return None
+    tot, lo, hi = np.zeros(width), np.zeros(width), np.zeros(width)
+    for r in rows:
+        tot[r["pos"]], lo[r["pos"]], hi[r["pos"]] = r["t"], r["lo"], r["hi"]
+    return tot, lo, hi
+
+
 def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None, fill: float | None = None) -> DataFrame:
     """Pairwise-complete Pearson matrix in long form ``(col_a, col_b, corr)``.
 
@@ -82,8 +101,9 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None, fill: float |
     conditioned), one pass where every task turns its Arrow batches into the
     masked sufficient statistics of all pairs with four matrix products
     (count, sums, sums of squares, cross products, plus masked min / max to
-    spot constant columns) and returns a single row.  Only those per-task rows
-    - one per partition, ``O(d^2)`` numbers each - are summed on the driver.
+    spot constant columns) and returns a single row.  Those per-task rows are
+    summed element-wise in Spark (:func:`reduce_partials`), so the driver gets
+    ``O(d^2)`` numbers whatever the partition count.
     A pair with a constant column gets NULL (the SQL ``corr`` errors or gives
     NaN there).  ``fill`` replaces NULLs first (E4b).
     """
@@ -119,18 +139,14 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None, fill: float |
         if acc is not None:
             yield pd.DataFrame({"s": [np.concatenate([t.ravel() for t in acc]).tolist()]})
 
-    rows = x.mapInPandas(stats, "s array<double>").collect()  # one row per partition
+    red = reduce_partials(x.mapInPandas(stats, "s array<double>"), 6 * d * d)
     spark = df.sparkSession
     schema = "col_a string, col_b string, corr double"
-    if not rows:
+    if red is None:
         return spark.createDataFrame([(a, b, None) for a in cols for b in cols], schema)
-    parts = [np.array(r["s"]).reshape(6, d, d) for r in rows]
-    n = sum(p[0] for p in parts)
-    sx = sum(p[1] for p in parts)          # sx[i, j]: sum of col i where i and j present
-    sxx = sum(p[2] for p in parts)
-    sxy = sum(p[3] for p in parts)
-    lo = np.minimum.reduce([p[4] for p in parts])
-    hi = np.maximum.reduce([p[5] for p in parts])
+    tot, low, high = (a.reshape(6, d, d) for a in red)
+    n, sx, sxx, sxy = tot[0], tot[1], tot[2], tot[3]  # sx[i, j]: sum of col i where i and j present
+    lo, hi = low[4], high[5]
     out = []
     for i, a in enumerate(cols):
         for j, b in enumerate(cols):
@@ -267,9 +283,10 @@ def kde(df: DataFrame, col: str, points: int = 200, cut: float = 3.0, bw: float
                 acc += np.exp(-0.5 * u * u).sum(axis=0)
         yield pd.DataFrame({"s": [acc.tolist()]})
 
-    # each task returns one row of partial kernel sums; one row per partition is summed here
-    rows = df.select(F.col(col).cast("double").alias("v")).mapInPandas(partial, "s array<double>").collect()
-    total = np.sum([np.array(r["s"]) for r in rows], axis=0) / n * norm
+    # each task returns one row of partial kernel sums, reduced in Spark
+    red = reduce_partials(df.select(F.col(col).cast("double").alias("v")).mapInPandas(partial, "s array<double>"),
+                          points)
+    total = red[0] / n * norm
     return spark.createDataFrame([(i, float(g), float(total[i])) for i, g in enumerate(grid)],
                                  "point bigint, x double, density double")
 
