@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,7 @@ from .split import expanding_folds
 
 SEED = 42
 MAX_TREE_DEPTH = 30  # MLlib's limit; the reference grows trees without one
+SEARCH_PARALLELISM = 4  # concurrent fits in a search or cross-validation
 
 
 def _pipeline(features: Sequence[str], estimator, scale: bool = False) -> Pipeline:
@@ -90,27 +92,42 @@ def evaluate_model(model: PipelineModel, df: DataFrame, label: str) -> dict:
     return {"rmse": row["rmse"], "mae": row["mae"], "r2": row["r2"], "n": row["n"]}
 
 
+def _fold_score(fold, features, label: str, make: Callable[[], object], log_target: bool) -> dict:
+    """Fit on a fold's train part, score its test part (M8 / M9)."""
+    j, train, test = fold
+    lab = label
+    if log_target:
+        lab = f"{label}__log1p"
+        train = train.withColumn(lab, F.log1p(F.col(label)))
+    est = make().setLabelCol(lab)
+    model = fit(train, features, est)
+    pred = predict(model, test)
+    if log_target:
+        pred = pred.withColumn("pred", F.expm1("pred"))
+    m = regression_metrics(pred, label, "pred").first()
+    return {"fold": j, "rmse": m["rmse"], "mae": m["mae"], "n": m["n"]}
+
+
+def _run_all(jobs: Sequence[Callable[[], dict]], parallelism: int) -> list[dict]:
+    """Run independent fits from a few driver threads (as MLlib's
+    ``CrossValidator(parallelism=...)`` does); each fit is its own set of
+    distributed jobs and is seeded, so the results do not depend on timing."""
+    if parallelism <= 1 or len(jobs) <= 1:
+        return [f() for f in jobs]
+    with ThreadPoolExecutor(max_workers=min(parallelism, len(jobs))) as ex:
+        return list(ex.map(lambda f: f(), jobs))
+
+
 def cross_validate(df: DataFrame, index_col: str, features, label: str, make: Callable[[], object],
-                   k: int = 5, log_target: bool = False, n: int | None = None) -> list[dict]:
+                   k: int = 5, log_target: bool = False, n: int | None = None,
+                   parallelism: int = SEARCH_PARALLELISM) -> list[dict]:
     """M8 / M9: fit on each expanding fold's train part, score its test part.
 
     With ``log_target`` the model learns ``log1p(label)`` and predictions are
     mapped back with ``expm1`` before scoring on the original scale.
     """
-    rows = []
-    for j, train, test in expanding_folds(df, index_col, k, n=n):
-        lab = label
-        if log_target:
-            lab = f"{label}__log1p"
-            train = train.withColumn(lab, F.log1p(F.col(label)))
-        est = make().setLabelCol(lab)
-        model = fit(train, features, est)
-        pred = predict(model, test)
-        if log_target:
-            pred = pred.withColumn("pred", F.expm1("pred"))
-        m = regression_metrics(pred, label, "pred").first()
-        rows.append({"fold": j, "rmse": m["rmse"], "mae": m["mae"], "n": m["n"]})
-    return rows
+    folds = expanding_folds(df, index_col, k, n=n)
+    return _run_all([lambda f=f: _fold_score(f, features, label, make, log_target) for f in folds], parallelism)
 
 
 def param_grid(grid: dict[str, Sequence]) -> list[dict]:
@@ -129,14 +146,20 @@ def random_points(space: dict[str, Sequence], n_iter: int, seed: int = SEED) ->
 
 
 def search(df: DataFrame, index_col: str, features, label: str, make: Callable[..., object],
-           points: Sequence[dict], k: int = 3, n: int | None = None) -> tuple[dict, list[dict]]:
+           points: Sequence[dict], k: int = 3, n: int | None = None,
+           parallelism: int = SEARCH_PARALLELISM) -> tuple[dict, list[dict]]:
     """M5 / M6: mean expanding-fold RMSE of every parameter point on ``df``
-    (train only, D13); returns the best point and all results."""
+    (train only, D13); returns the best point and all results.  Every
+    (point, fold) fit is independent, so they share one thread pool."""
+    folds = expanding_folds(df, index_col, k, n=n)
+    jobs = [lambda i=i, p=p, f=f: {"point": i, **_fold_score(f, features, label, lambda: make(**p), False)}
+            for i, p in enumerate(points) for f in folds]
+    scores = _run_all(jobs, parallelism)
     results = []
     for i, p in enumerate(points):
-        folds = cross_validate(df, index_col, features, label, lambda p=p: make(**p), k=k, n=n)
-        results.append({"point": i, "params": p, "mean_rmse": float(np.mean([f["rmse"] for f in folds])),
-                        "mean_mae": float(np.mean([f["mae"] for f in folds]))})
+        mine = [r for r in scores if r["point"] == i]
+        results.append({"point": i, "params": p, "mean_rmse": float(np.mean([f["rmse"] for f in mine])),
+                        "mean_mae": float(np.mean([f["mae"] for f in mine]))})
     best = min(results, key=lambda r: r["mean_rmse"])
     return best["params"], results
 
