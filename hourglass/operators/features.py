@@ -100,8 +100,9 @@ def label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "",
     """
     cols = list(cols)
     if mapping is None:
-        mapping = fit_label_mapping(df, cols)
-    sizes = {r["column"]: r["count"] for r in mapping.groupBy("column").count().collect()}  # one row per column
+        mapping, sizes = _fit_label_mapping(df, cols)
+    else:
+        sizes = {r["column"]: r["count"] for r in mapping.groupBy("column").count().collect()}  # one row per column
     out = df
     for c in cols:
         m = (mapping.filter(F.col("column") == c)
@@ -112,31 +113,51 @@ def label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "",
     return out, mapping
 
 
+# Distinct values of one column that one window task may rank (a proven bound:
+# the values are counted first); larger columns get a distributed row index.
+RANK_IN_ONE_TASK = 1_000_000
+
+
 def fit_label_mapping(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(column, value, code)``: code = rank of the value among the column's
-    sorted distinct non-null values, 0-based.
-
-    The distinct values get a distributed row index over ``(column, value)``
-    (range-partitioned, so a column with a billion values is spread over many
-    tasks, never ranked in one window partition); a column's codes are its
-    index minus the column's start offset, taken from one count row per column.
-    """
+    sorted distinct non-null values, 0-based."""
+    return _fit_label_mapping(df, cols)[0]
+
+
+def _fit_label_mapping(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict[str, int]]:
+    """The distinct ``(column, value)`` pairs are checkpointed and counted per
+    column (one row per column).  A column with at most ``RANK_IN_ONE_TASK``
+    values is ranked by a window partitioned by column; a larger one (a billion
+    user ids, say) gets a distributed row index over ``(column, value)``
+    (range-partitioned over many tasks), and its codes are the index minus the
+    column's start offset, taken from the same counts.  Returns the mapping and
+    the per-column sizes."""
+    from pyspark.sql import Window
     parts = [df.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
              .where(F.col("value").isNotNull()).distinct() for c in cols]
     allv = parts[0]
     for p in parts[1:]:
         allv = allv.unionByName(p)
-    indexed = with_row_index(allv, ["column", "value"], index_col="_hg_idx")
-    counts = sorted((r["column"], r["count"]) for r in indexed.groupBy("column").count().collect())
-    starts, running = {}, 0
-    for c, n in counts:
-        starts[c] = running
-        running += n
-    if not starts:
-        return indexed.select("column", "value", F.col("_hg_idx").alias("code"))
-    start = F.element_at(F.create_map(*[x for c, o in starts.items() for x in (F.lit(c), F.lit(o))]),
-                         F.col("column"))
-    return indexed.select("column", "value", (F.col("_hg_idx") - start).cast("bigint").alias("code"))
+    checkpoint_dir(df.sparkSession)
+    allv = allv.checkpoint(eager=True)
+    sizes = {r["column"]: r["count"] for r in allv.groupBy("column").count().collect()}
+    small = sorted(c for c, n in sizes.items() if n <= RANK_IN_ONE_TASK)
+    big = sorted(c for c, n in sizes.items() if n > RANK_IN_ONE_TASK)
+    pieces = []
+    if small or not big:
+        w = Window.partitionBy("column").orderBy("value")
+        pieces.append(allv.where(F.col("column").isin(small))
+                      .select("column", "value", (F.row_number().over(w) - 1).cast("bigint").alias("code")))
+    if big:
+        indexed = with_row_index(allv.where(F.col("column").isin(big)), ["column", "value"], index_col="_hg_idx")
+        starts, running = [], 0
+        for c in big:  # the index runs through the columns in sorted order
+            starts += [F.lit(c), F.lit(running)]
+            running += sizes[c]
+        start = F.element_at(F.create_map(*starts), F.col("column"))
+        pieces.append(indexed.select("column", "value", (F.col("_hg_idx") - start).cast("bigint").alias("code")))
+    mapping = pieces[0] if len(pieces) == 1 else pieces[0].unionByName(pieces[1])
+    return mapping, sizes
 
 
 def log1p_target(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
