@@ -130,6 +130,51 @@ def cross_validate(df: DataFrame, index_col: str, features, label: str, make: Ca
     return _run_all([lambda f=f: _fold_score(f, features, label, make, log_target) for f in folds], parallelism)
 
 
+# The reference's search spaces (parameter names as the
+# reference writes them for its boosted-tree library; -1 = no depth limit).
+FOREST_GRID = {"n_estimators": [50, 100], "max_depth": [10, None]}
+BOOST_GRID = {"n_estimators": [100, 300], "learning_rate": [0.05, 0.1], "num_leaves": [31, 63]}
+BOOST_RANDOM_SPACE_3FOLD = {  # 24 draws, 3 expanding folds
+    "num_leaves": [31, 50, 70, 100],
+    "learning_rate": [0.01, 0.03, 0.05, 0.1],
+    "n_estimators": [100, 200, 400, 800],
+    "max_depth": [-1, 6, 10, 20],
+    "subsample": [0.6, 0.8, 1.0],
+}
+BOOST_RANDOM_SPACE_5FOLD = {  # 20 draws, 5 expanding folds
+    "n_estimators": [100, 200, 400, 800],
+    "num_leaves": [31, 50, 70, 100],
+    "learning_rate": [0.01, 0.03, 0.05, 0.1],
+    "max_depth": [3, 5, 6, 8, -1],
+    "subsample": [0.6, 0.8, 1.0],
+}
+
+
+def boost_params(point: dict) -> dict:
+    """Translate a point of the reference's boosted-tree spaces to :func:`gbt`
+    arguments: rounds, rate, subsampling, and a depth that honours both the
+    leaf budget (``ceil(log2(num_leaves))``) and ``max_depth`` (-1 = none)."""
+    out = {}
+    if "n_estimators" in point:
+        out["rounds"] = point["n_estimators"]
+    if "learning_rate" in point:
+        out["rate"] = point["learning_rate"]
+    if "subsample" in point:
+        out["subsamplingRate"] = float(point["subsample"])
+    depth = MAX_TREE_DEPTH
+    if point.get("num_leaves"):
+        depth = min(depth, max(1, math.ceil(math.log2(point["num_leaves"]))))
+    if point.get("max_depth") not in (None, -1):
+        depth = min(depth, point["max_depth"])
+    out["maxDepth"] = depth
+    return out
+
+
+def forest_params(point: dict) -> dict:
+    """Translate a point of the reference forest grid to :func:`forest` arguments."""
+    return {"num_trees": point["n_estimators"], "max_depth": point["max_depth"]}
+
+
 def param_grid(grid: dict[str, Sequence]) -> list[dict]:
     """All combinations of a small grid, in a fixed order."""
     points = [{}]

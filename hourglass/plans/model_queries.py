@@ -214,9 +214,10 @@ def grid_search(spark, sf_dir):
     """M5 + M7: the reference forest grid searched on expanding folds of train
     only; the best point is refit on all of train and scored on test."""
     _, train, test = _split(spark, sf_dir)
-    points = models.param_grid({"num_trees": [50, 100], "max_depth": [10, None]})
-    best, results = models.search(train, "row_idx", FEATURES, "n", lambda **p: models.forest("n", **p), points, k=3)
-    refit = models.fit(train, FEATURES, models.forest("n", **best))
+    points = models.param_grid(models.FOREST_GRID)
+    best, results = models.search(train, "row_idx", FEATURES, "n",
+                                  lambda **p: models.forest("n", **models.forest_params(p)), points, k=3)
+    refit = models.fit(train, FEATURES, models.forest("n", **models.forest_params(best)))
     m = models.evaluate_model(refit, test, "n")
     out = _results_df(spark, results, best)
     return out.withColumn("test_rmse", F.when(F.col("best"), F.lit(m["rmse"])))
@@ -255,9 +256,10 @@ def train_all(spark, sf_dir, models_dir: str):
     _, train, test = _split(spark, sf_dir)
     out = []
     try:
-        points = models.param_grid({"num_trees": [50, 100], "max_depth": [10, None]})
-        best, _ = models.search(train, "row_idx", FEATURES, "n", lambda **p: models.forest("n", **p), points, k=3)
-        rf = models.fit(train, FEATURES, models.forest("n", **best))
+        points = models.param_grid(models.FOREST_GRID)
+        best, _ = models.search(train, "row_idx", FEATURES, "n",
+                                lambda **p: models.forest("n", **models.forest_params(p)), points, k=3)
+        rf = models.fit(train, FEATURES, models.forest("n", **models.forest_params(best)))
     except Exception:  # noqa: BLE001 - the reference falls back to defaults
         best, rf = {}, models.fit_forest(train, FEATURES, "n")
     m = models.evaluate_model(rf, test, "n")
