@@ -107,6 +107,14 @@ def head_ordered(spark, sf_dir):
     return head.unionByName(tail)
 
 
-@register("schema_profile")
+@register("schema_profile", """
+WITH d AS (SELECT column_name, column_type, row_number() OVER () - 1 AS pos FROM (DESCRIBE SELECT * FROM events))
+SELECT CAST(pos AS INTEGER) AS position, column_name AS "column",
+       CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+                        WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'DATE' THEN 'date'
+                        WHEN 'BOOLEAN' THEN 'boolean' ELSE lower(column_type) END AS dtype,
+       (SELECT count(*) FROM events) AS n_rows,
+       CAST((SELECT count(*) FROM d) AS INTEGER) AS n_columns
+FROM d""")
 def schema_profile(spark, sf_dir):
     return schema.schema_profile(views.events(spark, sf_dir))

@@ -97,3 +97,29 @@ def test_reference_search_spaces_translate():
     draws = models.random_points(models.BOOST_RANDOM_SPACE_3FOLD, 24)
     assert len(draws) == 24 and len({tuple(sorted(d.items())) for d in draws}) == 24
     assert len(models.param_grid(models.FOREST_GRID)) == 4
+
+
+def test_forest_is_seeded_on_the_hourly_series(spark):
+    """Fitting the same seeded forest twice on the sf0.001 hourly series gives
+    the same predictions."""
+    from conftest import SF001
+    from hourglass.plans import model_queries as mq
+    _, train, test = mq._split(spark, SF001)
+    p = [[r["pred"] for r in models.predict(models.fit_forest(train, mq.FEATURES, "n", num_trees=30), test)
+          .orderBy("hour_ts").collect()] for _ in range(2)]
+    assert p[0] == p[1] and len(p[0]) > 0
+
+
+def test_forest_beats_train_mean_on_daily_shape(spark):
+    """SURVEY §5 d: on a series with a daily shape plus noise, a forest on the
+    hour feature beats predicting the train mean on the held-out tail."""
+    rng = np.random.default_rng(11)
+    hours = np.arange(24 * 40)
+    y = 50 + 30 * np.sin(2 * np.pi * (hours % 24) / 24) + rng.normal(0, 5, len(hours))
+    df = spark.createDataFrame([(int(h), int(h % 24), float(v)) for h, v in zip(hours, y)], "idx long, hour int, y double")
+    train, test = split.time_split(df, "idx", 0.8)
+    m = models.fit_forest(train, ["hour"], "y", num_trees=30)
+    mean = train.agg(F.avg("y")).first()[0]
+    rmse_model = evaluate.regression_metrics(models.predict(m, test), "y", "pred").first()["rmse"]
+    rmse_mean = evaluate.regression_metrics(test.withColumn("pred", F.lit(mean)), "y", "pred").first()["rmse"]
+    assert rmse_model < 0.5 * rmse_mean
