@@ -45,12 +45,20 @@ def residuals(df: DataFrame, y: str = "y", p: str = "pred") -> DataFrame:
 
 def quantile_edges(df: DataFrame, col: str, q: int = 5) -> list[float]:
     """Equal-count bin edges (exact quantiles 0, 1/q, ..., 1), duplicates dropped."""
-    vals = exact_quantiles(df, {col: [i / q for i in range(q + 1)]})[col]
-    edges: list[float] = []
-    for v in vals:
-        if v is not None and (not edges or v != edges[-1]):
-            edges.append(v)
-    return edges
+    return quantile_edges_many(df, [col], q)[col]
+
+
+def quantile_edges_many(df: DataFrame, cols, q: int = 5) -> dict[str, list[float]]:
+    """:func:`quantile_edges` of several columns from the same passes."""
+    vals = exact_quantiles(df, {c: [i / q for i in range(q + 1)] for c in cols})
+    out = {}
+    for c in cols:
+        edges: list[float] = []
+        for v in vals[c]:
+            if v is not None and (not edges or v != edges[-1]):
+                edges.append(v)
+        out[c] = edges
+    return out
 
 
 def bin_by_edges(col: str, edges: list[float]):
@@ -65,6 +73,7 @@ def bin_by_edges(col: str, edges: list[float]):
 def bin_confusion(df: DataFrame, y: str = "y", p: str = "pred", q: int = 5) -> DataFrame:
     """V4: confusion counts of actual vs predicted equal-count bins, each on its own edges."""
     d = _complete(df, y, p)
-    ey, ep = quantile_edges(d, y, q), quantile_edges(d, p, q)
+    e = quantile_edges_many(d, [y, p], q)  # both columns' edges from the same passes
+    ey, ep = e[y], e[p]
     return (d.select(bin_by_edges(y, ey).alias("actual_bin"), bin_by_edges(p, ep).alias("pred_bin"))
             .groupBy("actual_bin", "pred_bin").count())
