@@ -7,10 +7,14 @@ one task sees every row.  Two pieces replace it:
     A dense 0-based index over a total order.  The rows are range-partitioned
     on the order (the sampled bounds split even a hot key, because the order is
     unique), sorted inside each partition, and tagged with partition id and
-    position.  That tagged frame is checkpointed to the shared checkpoint folder
-    so the partition layout is fixed (range bounds are sampled and a recompute
-    could move rows) and survives lost executors.  Per-partition counts - one
-    row per partition, a proven size bound - give each partition's offset.
+    position.  That tagged frame is written as a Parquet table under the shared
+    checkpoint folder, which fixes the layout (range bounds are sampled and a
+    recompute could move rows), survives lost executors, and - unlike a row
+    checkpoint - is columnar: the per-partition count reads one 8-byte column
+    and later reads prune to the columns they use.  Per-partition counts - one
+    row per partition, a proven size bound - give each partition's offset; the
+    index is that offset plus the stored position, so how the files are split
+    on reading does not matter.
 
 ``bucketed_window``
     Lags and trailing frames over a dense index.  Rows are grouped into
@@ -28,7 +32,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import scratch_path
 
 _POS_BITS = 33  # monotonically_increasing_id = partition_id << 33 | position
 
@@ -42,11 +46,13 @@ def _cols(x) -> list:
 
 
 def with_row_index(df: DataFrame, order_by, partition_by=None, index_col: str = "row_idx",
-                   num_partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
+                   num_partitions: int | None = None, materialize: bool = True) -> DataFrame:
     """add a dense 0-based ``index_col`` following ``(partition_by, order_by)``.
 
     The order should be total (append a unique tie-break column); ties get an
     arbitrary but fixed order.  Rows of one ``partition_by`` key are contiguous.
+    ``materialize=False`` skips the written table (only for inputs whose
+    recompute is known to reproduce the same layout).
     """
     spark = df.sparkSession
     keys = _cols(partition_by) + _cols(order_by)
@@ -56,9 +62,10 @@ def with_row_index(df: DataFrame, order_by, partition_by=None, index_col: str =
               else df.repartitionByRange(*keys))
     tagged = (ranged.sortWithinPartitions(*keys)
               .withColumn("_hg_mid", F.monotonically_increasing_id()))
-    if checkpoint:
-        checkpoint_dir(spark)
-        tagged = tagged.checkpoint(eager=True)
+    if materialize:
+        path = scratch_path(spark, "row_index")
+        tagged.write.parquet(path)
+        tagged = spark.read.parquet(path)
     tagged = tagged.withColumn("_hg_pid", F.shiftright("_hg_mid", _POS_BITS))
     counts = tagged.groupBy("_hg_pid").count().collect()  # one row per partition
     offsets, running = [], 0
