@@ -33,7 +33,7 @@ def null_profile(df: DataFrame, cols: Sequence[str] | None = None, only_missing:
         return m | F.isnan(F.col(c)) if types[c] in ("double", "float") else m
     wide = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(missing(c)).alias(f"_m{i}") for i, c in enumerate(cols)])
     out = _unpivot(wide, [F.struct(F.lit(c).alias("column"), F.col(f"_m{i}").alias("n_null"),
-                                   (F.col(f"_m{i}") * 100.0 / F.col("_n")).alias("pct_null"))
+                                   F.try_divide(F.col(f"_m{i}") * 100.0, F.col("_n")).alias("pct_null"))
                           for i, c in enumerate(cols)])
     return out.where(F.col("n_null") > 0) if only_missing else out
 
