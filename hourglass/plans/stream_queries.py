@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import round6
 from ..session import ensure_utc, scratch_path
-from ..streaming import drain, event_stream, score_stream, stream_hourly
+from ..streaming import drain, event_stream, score_hourly_stream, stream_hourly
+from . import views
 from .catalog import register
 
 WATERMARK = "1 hour"
@@ -31,14 +32,18 @@ def stream_hourly_q(spark, sf_dir):
 
 @register("stream_score")
 def stream_score_q(spark, sf_dir):
-    """Prepared hourly features land as files; a stream scores them with a
-    stored model and appends predictions."""
+    """R2: events replayed as a file stream; every closed hour gets its lags
+    from the static hourly history and is scored by a stored ridge model."""
     from ..operators import models, split
+    from ..sources import artefacts
     from .model_queries import FEATURES, prepared
+    ensure_utc(spark)
     p = prepared(spark, sf_dir)
     train, _ = split.time_split(p, "row_idx", 0.8)
-    model = models.fit_linear(train, FEATURES, "n")
     base = scratch_path(spark, "stream_score")
-    p.select("hour_ts", *FEATURES).write.parquet(f"{base}/input")
-    stream = event_stream(spark, f"{base}/input", spark.read.parquet(f"{base}/input").schema)
-    return drain(score_stream(stream, model), f"{base}/sink", f"{base}/checkpoint")
+    artefacts.save_model(models.fit_linear(train, FEATURES, "n"), f"{base}/models", "model_ridge", None)
+    model = artefacts.load_model(f"{base}/models", "model_ridge")
+    history = views.hourly(spark, sf_dir).select("hour_ts", "n")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = event_stream(spark, sf_dir, schema, file_glob="events.parquet")
+    return drain(score_hourly_stream(stream, history, model, "ts", WATERMARK), f"{base}/sink", f"{base}/checkpoint")

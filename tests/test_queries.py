@@ -48,3 +48,20 @@ def test_streaming_totals_equal_batch_on_closed_hours(spark):
     b = E.queries()["scan_hourly"](spark, SF001).where(F.col("n") > 0)
     joined = s.join(b.select("hour_ts", F.col("n").alias("bn")), "hour_ts")
     assert joined.count() == s.count() and joined.where(F.col("n") != F.col("bn")).count() == 0
+
+
+def test_stream_scores_equal_batch_scores(spark):
+    """R2 with history lags: every closed hour the stream scores gets the same
+    prediction as batch scoring of the prepared frame with the same model."""
+    from pyspark.sql import functions as F
+
+    from hourglass.operators import models, split
+    from hourglass.plans.model_queries import FEATURES, prepared
+    s = E.queries()["stream_score"](spark, SF001)
+    p = prepared(spark, SF001)
+    train, _ = split.time_split(p, "row_idx", 0.8)
+    b = models.predict(models.fit_linear(train, FEATURES, "n"), p).select("hour_ts", F.col("pred").alias("bp"))
+    joined = s.join(b, "hour_ts")
+    n_stream = s.count()
+    assert n_stream > 0 and joined.count() == n_stream
+    assert joined.where(F.abs(F.col("pred") - F.col("bp")) > 1e-9).count() == 0
