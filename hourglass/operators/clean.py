@@ -168,17 +168,19 @@ def fill_constant(df: DataFrame, value=0, cols: Sequence[str] | None = None) ->
 
 
 def profile_stats(df: DataFrame, cols: Sequence[str], stage: str) -> DataFrame:
-    """count, min, median, max of each column in one pass, long format."""
-    q = exact_quantiles(df, {c: [0.5] for c in cols})
+    """count, min, median, max of each column, long format.  Counts, extremes
+    and distinct counts come from one pass, which also sizes the exact median."""
     aggs = []
-    for c in cols:
-        aggs += [F.count(F.col(c)).alias(f"{c}__count"), F.min(F.col(c).cast("double")).alias(f"{c}__min"),
-                 F.max(F.col(c).cast("double")).alias(f"{c}__max")]
-    wide = df.agg(*aggs)
-    rows = [F.struct(F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"),
-                     F.col(f"{c}__min").alias("min"), F.lit(q[c][0]).cast("double").alias("median"),
-                     F.col(f"{c}__max").alias("max")) for c in cols]
-    return wide.select(F.lit(stage).alias("stage"), F.explode(F.array(*rows)).alias("s")).select("stage", "s.*")
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
+                 F.approx_count_distinct(x).alias(f"d{i}")]
+    m = df.agg(*aggs).first()
+    q = exact_quantiles(df, {c: [0.5] for c in cols}, counts={c: m[f"n{i}"] for i, c in enumerate(cols)},
+                        distinct={c: m[f"d{i}"] for i, c in enumerate(cols)})
+    rows = [(stage, c, m[f"n{i}"], m[f"lo{i}"], q[c][0], m[f"hi{i}"]) for i, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(
+        rows, "stage string, column string, count bigint, min double, median double, max double")
 
 
 def clean_report(before: DataFrame, after: DataFrame, cols: Sequence[str]) -> DataFrame:
