@@ -35,16 +35,21 @@ def on_full_grid(agg: DataFrame, ts: str = "hour_ts", unit: str = "HOUR",
                  fill: dict | None = None) -> DataFrame:
     """Left-join an aggregate onto the full time grid between its min and max.
 
-    The bounds come from the aggregate itself (no second scan of the source,
-    one scalar row to the driver); the grid is a distributed ``spark.range``
-    with a dense ``<unit>_idx`` 0..N-1, so lags over it are plain index
-    arithmetic and no single task generates or holds the grid.  ``fill`` gives
-    values for empty slots.
+    The aggregate (one row per time slot, bounded by the time span) is
+    checkpointed once, so the bounds (one scalar row to the driver) and the
+    join both read it and the source is scanned a single time.  The grid is a
+    distributed ``spark.range`` with a dense ``<unit>_idx`` 0..N-1, so lags
+    over it are plain index arithmetic and no single task generates or holds
+    the grid.  ``fill`` gives values for empty slots.
     """
     import datetime as dt
 
+    from ..session import checkpoint_dir
+
     idx_name = f"{unit.lower()}_idx"
     spark = agg.sparkSession
+    checkpoint_dir(spark)
+    agg = agg.checkpoint(eager=True)
     b = agg.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi")).first()
     lo, hi = b["lo"], b["hi"]
     if lo is None:
