@@ -175,15 +175,18 @@ def target_encode(train: DataFrame, apply_to: DataFrame, col: str, target: str,
     ``apply_to``; unseen categories get the global train mean.
 
     With ``smoothing=m`` the encoding is ``(sum + m*global)/(count + m)``.
-    The fit is one partial aggregation (map-side combine) per category; the
-    fitted table is checkpointed, measured and joined by :func:`lookup_join`.
+    The fit is one pass: a partial aggregation (map-side combine) per
+    category, checkpointed; the global mean comes from those sums, and the
+    table is measured and joined by :func:`lookup_join`.
     """
     out = out or f"{col}_te"
-    g = train.agg(F.avg(target)).first()[0]  # one scalar
-    stats = train.groupBy(col).agg(F.sum(target).alias("_hg_s"), F.count(target).alias("_hg_n"))
     checkpoint_dir(train.sparkSession)
-    enc = stats.select(col, ((F.col("_hg_s") + F.lit(smoothing) * F.lit(g)) /
-                             (F.col("_hg_n") + F.lit(smoothing))).alias(out)).checkpoint(eager=True)
+    stats = (train.groupBy(col).agg(F.sum(target).alias("_hg_s"), F.count(target).alias("_hg_n"))
+             .checkpoint(eager=True))  # the only pass over train
+    # the global mean from the per-category sums (the NULL category included)
+    g = stats.agg(F.try_divide(F.sum("_hg_s"), F.sum("_hg_n"))).first()[0]
+    enc = stats.select(col, F.try_divide(F.col("_hg_s") + F.lit(smoothing) * F.lit(g),
+                                         F.col("_hg_n") + F.lit(smoothing)).alias(out))
     return lookup_join(apply_to, enc, col, "left").withColumn(out, F.coalesce(F.col(out), F.lit(g)))
 
 
