@@ -263,7 +263,7 @@ def knn_regress(train: DataFrame, query: DataFrame, k: int, vec_col: str, label_
     """
     spark = train.sparkSession
     query_id = query_id or id_col
-    q = query.select(F.col(query_id).alias("_qid"), F.col(vec_col).alias("_qv"))
+    q = query.select(F.col(query_id).alias("_qid"), F.col(vec_col).alias("_qv")).where(F.col("_qv").isNotNull())
     dim_row = q.select(F.size("_qv").alias("d")).first()
     if dim_row is None:
         return spark.createDataFrame([], f"{query_id} long, pred double")
@@ -278,7 +278,7 @@ def knn_regress(train: DataFrame, query: DataFrame, k: int, vec_col: str, label_
         if pdf.empty:
             continue
         qids = pdf["_qid"].to_numpy()
-        qmat = np.stack(pdf["_qv"].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
+        qmat = np.stack(pdf["_qv"].to_numpy()).astype(np.float64, copy=False)
         bc = spark.sparkContext.broadcast((qids, qmat))
 
         def local_topk(it, bc=bc):
@@ -291,7 +291,7 @@ def knn_regress(train: DataFrame, query: DataFrame, k: int, vec_col: str, label_
             for part in it:
                 if part.empty:
                     continue
-                tm = np.stack(part["_tv"].map(lambda v: np.asarray(v, dtype=np.float64)).to_numpy())
+                tm = np.stack(part["_tv"].to_numpy()).astype(np.float64, copy=False)
                 tn = (tm * tm).sum(axis=1)
                 tids = part["_tid"].to_numpy().astype(np.int64)
                 ys = part["_y"].to_numpy().astype(np.float64)
@@ -303,7 +303,8 @@ def knn_regress(train: DataFrame, query: DataFrame, k: int, vec_col: str, label_
             r, c = np.nonzero(np.isfinite(best_d))
             if len(r):
                 yield pd.DataFrame({"_qid": qid[r], "_tid": best_t[r, c], "_d2": best_d[r, c], "_y": best_y[r, c]})
-        t = train.select(F.col(id_col).alias("_tid"), F.col(vec_col).alias("_tv"), F.col(label_col).alias("_y"))
+        t = (train.select(F.col(id_col).alias("_tid"), F.col(vec_col).alias("_tv"), F.col(label_col).alias("_y"))
+             .where(F.col("_tv").isNotNull()))
         cand = t.mapInPandas(local_topk, "_qid long, _tid long, _d2 double, _y double")
         results = cand if results is None else results.unionByName(cand)
     if results is None:
