@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 from .evaluate import regression_metrics
-from .split import expanding_folds
+from .split import count_rows, expanding_folds, fold_bounds, hash_split
 
 SEED = 42
 MAX_TREE_DEPTH = 30  # MLlib's limit; the reference grows trees without one
@@ -192,11 +192,23 @@ def random_points(space: dict[str, Sequence], n_iter: int, seed: int = SEED) ->
 
 def search(df: DataFrame, index_col: str, features, label: str, make: Callable[..., object],
            points: Sequence[dict], k: int = 3, n: int | None = None,
-           parallelism: int = SEARCH_PARALLELISM) -> tuple[dict, list[dict]]:
+           parallelism: int = SEARCH_PARALLELISM, sample_frac: float = 0.2,
+           sample_min_rows: int = 5000) -> tuple[dict, list[dict]]:
     """M5 / M6: mean expanding-fold RMSE of every parameter point on ``df``
     (train only, D13); returns the best point and all results.  Every
-    (point, fold) fit is independent, so they share one thread pool."""
-    folds = expanding_folds(df, index_col, k, n=n)
+    (point, fold) fit is independent, so they share one thread pool.
+
+    T3: a fold whose training part has more than ``sample_min_rows`` rows is
+    fitted on a hashed ``sample_frac`` sample of it (the size is known from
+    the fold bounds, no count); the refit of the best point uses all of train.
+    """
+    n = count_rows(df) if n is None else n
+    sizes = {j: start for j, start, _ in fold_bounds(n, k)}
+    folds = []
+    for j, train, test in expanding_folds(df, index_col, k, n=n):
+        if sample_frac < 1 and sizes[j] > sample_min_rows:
+            train = hash_split(train, index_col, sample_frac, salt="sample:")[0]
+        folds.append((j, train, test))
     jobs = [lambda i=i, p=p, f=f: {"point": i, **_fold_score(f, features, label, lambda: make(**p), False)}
             for i, p in enumerate(points) for f in folds]
     scores = _run_all(jobs, parallelism)

@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 from ..functions.columns import md5_bucket
 
 
-def _count(df: DataFrame) -> int:
+def count_rows(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]
 
 
+_count = count_rows
+
+
 def time_split(df: DataFrame, index_col: str, frac: float = 0.8, n: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The first ``int(n * frac)`` rows of the order are train, the rest test."""
     n = _count(df) if n is None else n

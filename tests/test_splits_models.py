@@ -123,3 +123,23 @@ def test_forest_beats_train_mean_on_daily_shape(spark):
     rmse_model = evaluate.regression_metrics(models.predict(m, test), "y", "pred").first()["rmse"]
     rmse_mean = evaluate.regression_metrics(test.withColumn("pred", F.lit(mean)), "y", "pred").first()["rmse"]
     assert rmse_model < 0.5 * rmse_mean
+
+
+def test_search_samples_large_folds(spark, monkeypatch):
+    """T3 inside the search: folds whose training part is above the threshold
+    are fitted on a hashed sample (about 20 %); scores stay well formed."""
+    rows = [(i, float(i % 24), float(10 + (i % 24) * 2 + (i % 7))) for i in range(600)]
+    df = spark.createDataFrame(rows, "idx long, hour double, y double")
+    seen = []
+    orig = models._fold_score
+
+    def spy(fold, *a, **kw):
+        seen.append((fold[0], fold[1].count()))
+        return orig(fold, *a, **kw)
+
+    monkeypatch.setattr(models, "_fold_score", spy)
+    best, results = models.search(df, "idx", ["hour"], "y", lambda **p: models.ridge("y", **p),
+                                  [{"reg": 0.1}], k=3, parallelism=1, sample_min_rows=200)
+    sizes = dict(seen)  # fold -> rows fitted; fold train parts hold 150, 300, 450 rows
+    assert sizes[0] == 150 and 0 < sizes[1] < 150 and 0 < sizes[2] < 200
+    assert all(np.isfinite(r["mean_rmse"]) for r in results)
