@@ -22,7 +22,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, scratch_path
 from .evaluate import regression_metrics
 from .split import count_rows, expanding_folds, fold_bounds, hash_split
 
@@ -283,7 +283,14 @@ def knn_regress(train: DataFrame, query: DataFrame, k: int, vec_col: str, label_
     nq = q.count()
     per_block = max(1, KNN_BLOCK_BYTES // (8 * max(dim, 1) + 24 * k + 24))
     blocks = max(1, math.ceil(nq / per_block))
-    qb = q.withColumn("_blk", F.abs(F.xxhash64("_qid")) % blocks) if blocks > 1 else q.withColumn("_blk", F.lit(0))
+    if blocks > 1:
+        # one pass over the query side: written once, partitioned by block, so
+        # each block reads only its own folder
+        path = scratch_path(spark, "knn_query_blocks")
+        q.withColumn("_blk", F.abs(F.xxhash64("_qid")) % blocks).write.partitionBy("_blk").parquet(path)
+        qb = spark.read.parquet(path)
+    else:
+        qb = q.withColumn("_blk", F.lit(0))
     results = None
     for b in range(blocks):
         pdf = qb.where(F.col("_blk") == b).select("_qid", "_qv").toPandas()
