@@ -55,7 +55,11 @@ def forest(label: str, num_trees: int = 200, max_depth: int | None = None, **kw)
 
 
 def gbt(label: str, rounds: int = 500, rate: float = 0.05, num_leaves: int | None = None, **kw) -> GBTRegressor:
-    """M2: gradient-boosted trees; a leaf budget maps to ``maxDepth = ceil(log2(num_leaves))``."""
+    """M2: gradient-boosted trees; a leaf budget maps to ``maxDepth = ceil(log2(num_leaves))``.
+
+    A leaf needs 20 rows, the reference booster's default (``min_child_samples``);
+    MLlib's default would allow one."""
+    kw.setdefault("minInstancesPerNode", 20)
     if num_leaves is not None:
         kw.setdefault("maxDepth", max(1, math.ceil(math.log2(num_leaves))))
     return GBTRegressor(labelCol=label, predictionCol="pred", maxIter=rounds, stepSize=rate, seed=SEED, **kw)
