@@ -232,7 +232,7 @@ def search(df: DataFrame, index_col: str, features, label: str, make: Callable[.
 def feature_importances(model: PipelineModel, top: int = 20) -> DataFrame:
     """Importances of the tree stage, largest first."""
     from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
     names = model.stages[0].getInputCols()
     imp = model.stages[-1].featureImportances.toArray().tolist()
     df = spark.createDataFrame(list(zip(names, [float(x) for x in imp])), "feature string, importance double")

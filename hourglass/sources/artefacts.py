@@ -26,7 +26,8 @@ def save_model(model: PipelineModel, models_dir: str, name: str, metrics: dict |
     path = f"{models_dir.rstrip('/')}/{name}"
     model.write().overwrite().save(path)
     if metrics is not None:
-        spark = SparkSession.getActiveSession()
+        # the active session is per thread; fall back to the process's session
+        spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
         row = {"model": name, **{k: (json.dumps(v) if isinstance(v, (dict, list)) else v)
                                  for k, v in metrics.items()}}
         append_metrics(spark.createDataFrame([row]), f"{models_dir.rstrip('/')}/{METRICS_DIR}")
