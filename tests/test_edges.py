@@ -107,3 +107,19 @@ def test_keyed_lags_on_empty_input(spark):
     df = spark.createDataFrame([], "k int, t long, v double")
     out = add_lags(df, "v", lags=[1, 2], windows=[2], order_by=["t"], partition_by=["k"])
     assert out.count() == 0
+
+
+def test_full_grid_of_empty_input(spark):
+    from hourglass.plans.views import hourly_counts, on_full_grid
+    e = spark.createDataFrame([], "ts timestamp_ntz, event_type string, value double")
+    g = on_full_grid(hourly_counts(e), fill={"n": 0})
+    assert g.count() == 0 and g.columns[:2] == ["hour_ts", "hour_idx"]
+
+
+def test_lookup_join_keeps_unmatched_rows(spark):
+    from hourglass.operators.lookup import lookup_join
+    big = spark.range(10).withColumnRenamed("id", "k")
+    small = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    for limit in (0, None):  # shuffled and broadcast
+        got = sorted((r["k"], r["v"]) for r in lookup_join(big, small, "k", "left", limit_bytes=limit).collect())
+        assert got == [(k, {1: "a", 2: "b"}.get(k)) for k in range(10)]
