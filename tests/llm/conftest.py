@@ -1,0 +1,14 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+
+@pytest.fixture(scope="session")
+def spark():
+    from hourglass.session import build_session, checkpoint_dir
+    s = build_session("local[4]", app_name="hourglass-llm-tests", shuffle_partitions=4)
+    checkpoint_dir(s)
+    return s
