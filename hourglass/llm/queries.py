@@ -8,16 +8,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, suffix_dedup
+from . import common, decontaminate, host_quality, near_dedup, packing, suffix_dedup
 from .common import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.with_key(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("_hgl_id").alias("doc_id"), "n_words", decontaminate.n_hit().alias("n_hit"),
+                        F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+                        (F.size("spans") > 0).alias("contaminated"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = suffix_dedup.cut_repeats(docs, keep_text=False)
     return out.select("doc_id", *(F.col(f"_hgl_{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")))
 
 
+def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out = host_quality.judge(docs, drop_text=True)
+    return out.select("doc_id", *(F.col(f"_hgl_{c}").alias(c) for c in (
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
+
+
+def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dedup.groups(docs).select("doc_id", F.col("_hgl_n").alias("n_shingles"),
@@ -25,6 +45,6 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_suffix_dedup, op9_near_dedup)
+    f.__name__: f for f in (op1_decontaminate, op3_suffix_dedup, op4_host_quality, op6_pack, op9_near_dedup)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op4_host_quality": host_quality.ORACLE}
