@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, host_quality, near_dedup, packing, suffix_dedup
+from . import (common, decontaminate, host_quality, langid, near_dedup, packing, quote_links, suffix_dedup, toxicity,
+               unigram_counts, url_rules)
 from .common import table
 
 
@@ -21,6 +22,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.size("spans") > 0).alias("contaminated"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return unigram_counts.token_counts(docs, drop_text=True).select(
+        "doc_id", F.col("_hgl_pretokens").alias("n_pretokens"), F.col("_hgl_tokens").alias("n_tokens"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = suffix_dedup.cut_repeats(docs, keep_text=False)
@@ -34,17 +41,46 @@ def op4_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(common.fold("doc_id", 5) != 0)
+    out = toxicity.score(docs, toxicity.fit(docs, labels), drop_text=True)
+    return out.select("doc_id", (common.fold("doc_id", 5) == 0).alias("held_out"), F.col("_hgl_score").alias("score"),
+                      F.when(F.col("_hgl_score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_links.threads(table(spark, sf_dir, "conversations"))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(common.fold("doc_id", 4) != 2))
+    out = langid.identify(docs.select("doc_id", "text"), model, drop_text=True)
+    return out.select("doc_id", (common.fold("doc_id", 4) == 2).alias("held_out"), F.col("_hgl_lang").alias("lang_pred"),
+                      F.col("_hgl_score").alias("score"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dedup.groups(docs).select("doc_id", F.col("_hgl_n").alias("n_shingles"),
                                           F.col("_hgl_component").alias("component_id"), F.col("_hgl_kept").alias("kept"))
 
 
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(list(url_rules.RULES), "host string, path string, verdict string")
+    return url_rules.apply_rules(pages, rules).select(
+        "page_id", *(F.col(f"_hgl_{c}").alias(c) for c in ("host", "path", "rule", "verdict")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op3_suffix_dedup, op4_host_quality, op6_pack, op9_near_dedup)
+    f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_suffix_dedup, op4_host_quality, op5_toxicity, op6_pack,
+                            op7_quote_links, op8_langid, op9_near_dedup, op10_url_rules)
 }
-ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op4_host_quality": host_quality.ORACLE}
+ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op4_host_quality": host_quality.ORACLE,
+                           "op10_url_rules": url_rules.ORACLE}
