@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.order import with_row_index
 from . import common
@@ -183,7 +184,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}   # at most ``capacity`` rows
     table, _ = plan(histogram, capacity)
     numbered = with_row_index(cut, ["length", KEY, "piece"], index_col="_hgl_number").select(*cut.columns, "_hgl_number")
-    kind = numbered.drop("_hgl_number").schema.add("sequence_id", "bigint").add("offset", "bigint")
+    kind = numbered.drop("_hgl_number").schema.add("sequence_id", T.LongType()).add("offset", T.LongType())
     placed = numbered.mapInArrow(_place(spark.sparkContext.broadcast(table)), kind)
     ids = keyed.select(F.col(KEY), F.col(id_col).alias("_hgl_id"))
     out = placed.join(ids, KEY).withColumnRenamed("_hgl_id", id_col)
