@@ -37,6 +37,13 @@ def finite_or_null_col(c) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), F.lit(None)).otherwise(c)
 
 
+def finite(df: DataFrame, cols=None) -> DataFrame:
+    """NaN and +/-inf become NULL in the float columns of ``cols`` (all by default):
+    the rule every numeric operator applies first, so that NULL is the only missing value."""
+    own = [c for c, t in df.dtypes if t in ("double", "float") and (cols is None or c in cols)]
+    return df.withColumns({c: finite_or_null_col(F.col(f"`{c}`")) for c in own}) if own else df
+
+
 def md5_bucket(key, buckets: int = 100) -> Column:
     """Stable hash bucket 0..buckets-1 from md5 of the key's text.
 
@@ -65,17 +72,3 @@ def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
 
 def string_columns(df: DataFrame, exclude=()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, StringType) and f.name not in exclude]
-
-
-def guarded_pearson(a: str, b: str) -> Column:
-    """Pairwise-complete Pearson correlation that is NULL (not an error) when a
-    column is constant over the complete pairs.
-
-    ``corr`` raises DIVIDE_BY_ZERO under ANSI on a constant column; here both
-    inputs are first masked to rows where both are non-null, then
-    ``covar_pop / (stddev_pop * stddev_pop)`` goes through ``try_divide``.
-    """
-    both = F.col(a).isNotNull() & F.col(b).isNotNull()
-    xa = F.when(both, F.col(a).cast("double"))
-    xb = F.when(both, F.col(b).cast("double"))
-    return F.try_divide(F.covar_pop(xa, xb), F.stddev_pop(xa) * F.stddev_pop(xb))

@@ -23,13 +23,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import finite
+
 # A column or bracket with at most DIRECT_LIMIT values or distinct values gets
 # its exact map directly.  The maps of a global aggregate are merged in its one
 # final task, so this also bounds that task (DIRECT_LIMIT entries per column);
 # above it a sketch pass is cheaper than building the map.
 DIRECT_LIMIT = 100_000
 ACCURACY = 10_000
-MAX_ROUNDS = 8  # each round shrinks a bracket ~accuracy/4 times; the cap only guards a failing sketch
+MAX_ACCURACY = 1 << 30  # a sketch that missed is made four times as fine, up to nearly exact
 
 
 def _col_sql(col: str) -> str:
@@ -61,6 +63,7 @@ def column_counts(df: DataFrame, cols: Sequence[str]) -> tuple[dict[str, int], d
     cols = list(cols)
     if not cols:
         return {}, {}
+    df = finite(df.select(*dict.fromkeys(cols)))
     row = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)],
                  *[F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
     return {c: row[f"n{i}"] for i, c in enumerate(cols)}, {c: row[f"d{i}"] for i, c in enumerate(cols)}
@@ -76,6 +79,7 @@ def order_statistics_many(df: DataFrame, wants: dict[str, Sequence[int]], counts
     sized by its value count.
     """
     cols = [c for c in wants if wants[c]]
+    df = finite(df.select(*dict.fromkeys(cols)))  # NaN and inf count as NULL
     if counts is None:
         counts, distinct = column_counts(df, cols)
     distinct = distinct or {}
@@ -88,7 +92,7 @@ def order_statistics_many(df: DataFrame, wants: dict[str, Sequence[int]], counts
     state = {(c, r): (None, None, 0, counts[c]) for c in cols for r in sorted(set(wants[c])) if counts[c]}
     out: dict[tuple, float] = {}
     acc = {c: accuracy for c in cols}
-    for _ in range(MAX_ROUNDS):
+    while True:
         big = [key for key, s in state.items() if key not in out and size(key[0], s[3]) > direct_limit]
         if not big:
             break
@@ -128,7 +132,9 @@ def order_statistics_many(df: DataFrame, wants: dict[str, Sequence[int]], counts
             elif below <= r < below + m and m < state[(c, r)][3]:
                 state[(c, r)] = (nlo, nhi, below, m)
             else:  # sketch bound missed: keep the bracket, tighten accuracy
-                acc[c] *= 4
+                if acc[c] >= MAX_ACCURACY:
+                    raise RuntimeError(f"quantile bracket of {c!r} did not narrow")
+                acc[c] = min(acc[c] * 4, MAX_ACCURACY)
     # what is left is exact on its bracket (however many rounds it took), all
     # in one pass; the map holds one count per distinct value in a bracket
     groups: dict[tuple, list] = {}

@@ -13,10 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite_or_null_col, numeric_columns, string_columns
+from ..functions.columns import finite, finite_or_null_col, numeric_columns, string_columns
 from ..functions.quantiles import column_counts, exact_quantiles, order_statistics_many
 from .schema import narrow_integers, parse_ts
 
+# Column names of the rental data.
 WEATHER_COLS = ("sensacion_termica", "velocidad_viento")
 INT_COLS = ("hora", "dia_semana", "mes", "anio", "temporada", "feriado", "dia_trabajo", "clima")
 
@@ -53,6 +54,7 @@ def clip_rules(df: DataFrame, cols: Sequence[str], stats: dict | None = None) ->
     ``<c>_outlier_large``.  Both flags are always emitted (false when the rule
     did not fire) so the output schema does not depend on the data.
     """
+    df = finite(df, cols)
     stats = stats if stats is not None else outlier_stats(df, cols)
     out = {}
     for c, s in stats.items():
@@ -73,6 +75,7 @@ def clip_rules(df: DataFrame, cols: Sequence[str], stats: dict | None = None) ->
 
 def clip_p99(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """C2 alone."""
+    df = finite(df, cols)
     stats = outlier_stats(df, cols)
     out = {}
     for c, s in stats.items():
@@ -84,12 +87,14 @@ def clip_p99(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def null_above(df: DataFrame, cols: Sequence[str], limit: float = ABSURD_ABOVE) -> DataFrame:
-    """Values above ``limit`` become NULL."""
+    """Values above ``limit`` become NULL (and NaN)."""
+    df = finite(df, cols)
     return df.withColumns({c: F.when(F.col(c) > F.lit(limit), F.lit(None)).otherwise(F.col(c)) for c in cols})
 
 
 def null_large(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """C4 alone: when ``median < 1 and max > 50``, values above 50 become NULL."""
+    df = finite(df, cols)
     stats = outlier_stats(df, cols)
     out = {}
     for c, s in stats.items():
@@ -114,6 +119,7 @@ def drop_incomplete(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
 def impute_median(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """NULLs of numeric columns become the column median (exact)."""
     cols = list(cols) if cols is not None else numeric_columns(df)
+    df = finite(df, cols)
     med = exact_quantiles(df, {c: [0.5] for c in cols})
     fills = {}
     for c in cols:
@@ -140,6 +146,7 @@ def winsorize(df: DataFrame, cols: Sequence[str] | None = None, lower: float = 0
     the highest ``int(upper*n)`` the one below them (n = non-null count):
     a clip to ``sorted[k_lo]`` and ``sorted[n - k_hi - 1]``."""
     cols = list(cols) if cols is not None else numeric_columns(df)
+    df = finite(df, cols)
     counts, distinct = column_counts(df, cols)
     cut = {}
     for c in cols:
@@ -162,14 +169,10 @@ def dedup(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
     return df.dropDuplicates(list(subset) if subset else None)
 
 
-def fill_constant(df: DataFrame, value=0, cols: Sequence[str] | None = None) -> DataFrame:
-    """C11: NULLs (numeric) become a constant."""
-    return df.na.fill(value, subset=list(cols) if cols else None)
-
-
 def profile_stats(df: DataFrame, cols: Sequence[str], stage: str) -> DataFrame:
     """count, min, median, max of each column, long format.  Counts, extremes
     and distinct counts come from one pass, which also sizes the exact median."""
+    df = finite(df.select(*cols))
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
@@ -197,7 +200,7 @@ def basic_clean(df: DataFrame, target: str = "total_alquileres",
     Optional columns are skipped when absent.  All thresholds come from a
     single statistics pass over the input (taken before any clipping).
     """
-    df = repair_sum(df, target, parts)
+    df = repair_sum(finite(df), target, parts)
     if date_col and date_col in df.columns:
         df = parse_ts(df, date_col)
     df = narrow_integers(df, [c for c in int_cols if c in df.columns])

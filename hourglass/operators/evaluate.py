@@ -5,26 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import finite
 from ..functions.quantiles import exact_quantiles
 
 
 def _complete(df: DataFrame, y: str, p: str) -> DataFrame:
-    return df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
+    return finite(df, [y, p]).where(F.col(y).isNotNull() & F.col(p).isNotNull())
 
 
 def regression_metrics(df: DataFrame, y: str = "y", p: str = "pred", group_by=None) -> DataFrame:
     """V1 + V2: n, RMSE, MAE and R^2 over rows where both are known.
 
     R^2 = 1 - SSE / SST with SST from the same rows; NULL when SST is 0.
-    Sums are expanded so a single pass (per group) computes everything.
+    SST is the variance times n (Spark's variance is updated around the running mean, so a
+    large offset doesn't cancel); one pass (per group) computes everything.
     """
     d = _complete(df, y, p)
     e = F.col(y) - F.col(p)
     keys = [group_by] if isinstance(group_by, str) else list(group_by or [])
     agg = (d.groupBy(*keys) if keys else d).agg(
         F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("_sse"), F.sum(F.abs(e)).alias("_sae"),
-        F.sum(F.col(y)).alias("_sy"), F.sum(F.col(y) * F.col(y)).alias("_syy"))
-    sst = F.col("_syy") - F.col("_sy") * F.col("_sy") / F.col("n")
+        F.var_pop(F.col(y)).alias("_var"))
+    sst = F.col("_var") * F.col("n")
     return agg.select(*keys, "n", F.sqrt(F.col("_sse") / F.col("n")).alias("rmse"),
                       (F.col("_sae") / F.col("n")).alias("mae"),
                       F.when(sst > 0, 1 - F.col("_sse") / sst).alias("r2"))

@@ -89,6 +89,20 @@ def time_lags(df: DataFrame, col: str, ts_col: str, lags: Sequence[int] = DEFAUL
     return df.join(wide, on=[*keys, ts_col], how="left")
 
 
+def history_lags(hourly: DataFrame, history: DataFrame, value: str = "n", lags=DEFAULT_LAGS,
+                 ts: str = "hour_ts") -> DataFrame:
+    """Lags of a (streaming) hourly frame looked up in a static history table:
+    one stream-static left join per lag on ``hour - l hours``.  Stateless, so
+    no lag state is kept in the stream; the history (one row per hour) is the
+    small side."""
+    out = hourly
+    for lag in lags:
+        h = history.select(F.col(ts).alias(f"_hg_h{lag}"), F.col(value).alias(f"{value}_lag_{lag}"))
+        cond = F.col(f"_hg_h{lag}") == F.timestamp_add("HOUR", F.lit(-lag), F.col(ts))
+        out = out.join(h, cond, "left").drop(f"_hg_h{lag}")
+    return out
+
+
 def label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "",
                  mapping: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """integer codes by sorted category (0-based), NULL -> -1.
@@ -133,11 +147,9 @@ def _fit_label_mapping(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, d
     column's start offset, taken from the same counts.  Returns the mapping and
     the per-column sizes."""
     from pyspark.sql import Window
-    parts = [df.select(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
-             .where(F.col("value").isNotNull()).distinct() for c in cols]
-    allv = parts[0]
-    for p in parts[1:]:
-        allv = allv.unionByName(p)
+    allv = (df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+                                          for c in cols])).alias("_s")).select("_s.*")
+            .where(F.col("value").isNotNull()).distinct())  # one scan for all columns
     checkpoint_dir(df.sparkSession)
     allv = allv.checkpoint(eager=True)
     sizes = {r["column"]: r["count"] for r in allv.groupBy("column").count().collect()}
@@ -193,7 +205,7 @@ def target_encode(train: DataFrame, apply_to: DataFrame, col: str, target: str,
 def one_hot(df: DataFrame, col: str, values: Sequence, prefix: str | None = None) -> DataFrame:
     """indicator columns for the given category values."""
     prefix = prefix or col
-    return df.withColumns({f"{prefix}_{v}": (F.col(col) == F.lit(v)).cast("bigint") for v in values})
+    return df.withColumns({f"{prefix}_{v}": F.coalesce(F.col(col) == F.lit(v), F.lit(False)).cast("bigint") for v in values})
 
 
 def interaction(df: DataFrame, a: str, b: str, out: str | None = None, numeric: bool = True) -> DataFrame:
@@ -214,13 +226,18 @@ def prepare_features(df: DataFrame, target: str, ts: str, exclude: Sequence[str]
                      lags: Sequence[int] = DEFAULT_LAGS, windows: Sequence[int] = (),
                      index_col: str | None = None, order_by=None, partition_by=None,
                      id_cols: Sequence[str] = (), encode: Sequence[str] | None = None,
-                     keep: Sequence[str] = ()) -> DataFrame:
-    """calendar -> lags -> drop banned -> inf to NULL -> encode -> drop incomplete.
+                     keep: Sequence[str] = (), hour_col: str | None = None) -> DataFrame:
+    """event time -> calendar -> lags -> drop banned -> inf to NULL -> encode -> drop incomplete.
+
+    With ``hour_col`` (D6) ``ts`` is a date column and the event time is date + hour; a
+    column ``ts`` with that time takes its place.
 
     Lags are computed once on the whole ordered series (D8).  The target column
     may be absent (scoring frame); then it is added as NULL and rows are not
     dropped for it.  ``keep`` columns (e.g. the timestamp) ride along untouched.
     """
+    if hour_col is not None:
+        df = with_event_time(df, ts, hour_col, out=ts)
     df = calendar_features(df, ts, "hourly")
     has_target = target in df.columns
     if not has_target:

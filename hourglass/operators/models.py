@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, scratch_path
 from .evaluate import regression_metrics
-from .split import count_rows, expanding_folds, fold_bounds, hash_split
+from .split import count_rows, expanding_folds, hash_split
 
 SEED = 42
 MAX_TREE_DEPTH = 30  # MLlib's limit; the reference grows trees without one
+MAX_BINS = 255  # split candidates per feature, as the reference's booster has
 SEARCH_PARALLELISM = 4  # concurrent fits in a search or cross-validation
 
 
@@ -50,6 +51,7 @@ def forest(label: str, num_trees: int = 200, max_depth: int | None = None, **kw)
     # task per level (same model, about half the fit time; boosting's shallow
     # trees are faster without it).
     kw.setdefault("cacheNodeIds", True)
+    kw.setdefault("maxBins", MAX_BINS)
     return RandomForestRegressor(labelCol=label, predictionCol="pred", numTrees=num_trees, maxDepth=depth,
                                  seed=SEED, **kw)
 
@@ -60,6 +62,7 @@ def gbt(label: str, rounds: int = 500, rate: float = 0.05, num_leaves: int | Non
     A leaf needs 20 rows, the reference booster's default (``min_child_samples``);
     MLlib's default would allow one."""
     kw.setdefault("minInstancesPerNode", 20)
+    kw.setdefault("maxBins", MAX_BINS)
     if num_leaves is not None:
         kw.setdefault("maxDepth", max(1, math.ceil(math.log2(num_leaves))))
     return GBTRegressor(labelCol=label, predictionCol="pred", maxIter=rounds, stepSize=rate, seed=SEED, **kw)
@@ -160,15 +163,14 @@ BOOST_RANDOM_SPACE_5FOLD = {  # 20 draws, 5 expanding folds
 
 def boost_params(point: dict) -> dict:
     """Translate a point of the reference's boosted-tree spaces to :func:`gbt`
-    arguments: rounds, rate, subsampling, and a depth that honours both the
-    leaf budget (``ceil(log2(num_leaves))``) and ``max_depth`` (-1 = none)."""
+    arguments: rounds, rate, and a depth that honours both the leaf budget
+    (``ceil(log2(num_leaves))``) and ``max_depth`` (-1 = none).  ``subsample``
+    has no effect there (no bagging frequency is set), so it has none here."""
     out = {}
     if "n_estimators" in point:
         out["rounds"] = point["n_estimators"]
     if "learning_rate" in point:
         out["rate"] = point["learning_rate"]
-    if "subsample" in point:
-        out["subsamplingRate"] = float(point["subsample"])
     depth = MAX_TREE_DEPTH
     if point.get("num_leaves"):
         depth = min(depth, max(1, math.ceil(math.log2(point["num_leaves"]))))
@@ -200,21 +202,19 @@ def random_points(space: dict[str, Sequence], n_iter: int, seed: int = SEED) ->
 
 def search(df: DataFrame, index_col: str, features, label: str, make: Callable[..., object],
            points: Sequence[dict], k: int = 3, n: int | None = None,
-           parallelism: int = SEARCH_PARALLELISM, sample_frac: float = 0.2,
-           sample_min_rows: int = 5000) -> tuple[dict, list[dict]]:
+           parallelism: int = SEARCH_PARALLELISM, sample_frac: float | None = None) -> tuple[dict, list[dict]]:
     """M5 / M6: mean expanding-fold RMSE of every parameter point on ``df``
     (train only, D13); returns the best point and all results.  Every
     (point, fold) fit is independent, so they share one thread pool.
 
-    T3: a fold whose training part has more than ``sample_min_rows`` rows is
-    fitted on a hashed ``sample_frac`` sample of it (the size is known from
-    the fold bounds, no count); the refit of the best point uses all of train.
+    Every fit sees all rows of its fold's training part.  T3: with
+    ``sample_frac`` the folds are fitted on a hashed sample of it instead, whatever
+    their size; the refit of the best point uses all of train.
     """
     n = count_rows(df) if n is None else n
-    sizes = {j: start for j, start, _ in fold_bounds(n, k)}
     folds = []
     for j, train, test in expanding_folds(df, index_col, k, n=n):
-        if sample_frac < 1 and sizes[j] > sample_min_rows:
+        if sample_frac is not None:
             train = hash_split(train, index_col, sample_frac, salt="sample:")[0]
         folds.append((j, train, test))
     jobs = [lambda i=i, p=p, f=f: {"point": i, **_fold_score(f, features, label, lambda: make(**p), False)}
@@ -245,22 +245,28 @@ KNN_BLOCK_BYTES = 64 << 20  # query vectors plus their running top-k held by eve
 KNN_TILE_CELLS = 1 << 22     # distances computed at once in a task (32 MB of doubles)
 
 
-def _merge_topk(best_d, best_t, best_y, s, d2, tids, ys, k):
+def _merge_topk(best_d, best_t, best_y, s, d2, slack, qm, tm, tids, ys, k):
     """Fold a (queries x train rows) distance tile into the running top-k of
     queries ``s..s+len(d2)``, ordered by (distance, train id).
 
-    Only entries not above the k-th smallest of the tile and of the current
-    best survive the cut, ties included, so the (distance, id) order is exact.
+    ``d2`` comes from the expanded form and may be off by ``slack``; entries not
+    above the k-th smallest of the tile and of the current best, by that much,
+    survive the cut, and their distances are made anew from the
+    differences, so the (distance, id) order is that of exact distances.
     """
     e = s + d2.shape[0]
     kk = min(k, d2.shape[1])
-    thr = np.minimum(np.partition(d2, kk - 1, axis=1)[:, kk - 1], best_d[s:e, -1])
+    thr = np.minimum(np.partition(d2, kk - 1, axis=1)[:, kk - 1], best_d[s:e, -1]) + 2 * slack
     r, c = np.nonzero(d2 <= thr[:, None])
+    exact = np.empty(len(r))
+    for x in range(0, len(r), 8192):
+        diff = qm[s + r[x:x + 8192]] - tm[c[x:x + 8192]]
+        exact[x:x + 8192] = (diff * diff).sum(axis=1)
     rows = np.concatenate([np.repeat(np.arange(s, e), k), r + s])
-    dd = np.concatenate([best_d[s:e].ravel(), d2[r, c]])
+    dd = np.concatenate([best_d[s:e].ravel(), exact])
     tt = np.concatenate([best_t[s:e].ravel(), tids[c]])
     yy = np.concatenate([best_y[s:e].ravel(), ys[c]])
-    order = np.lexsort((tt, dd, rows))
+    order = np.lexsort((np.unique(tt, return_inverse=True)[1] if tt.dtype == object else tt, dd, rows))
     rows, dd, tt, yy = rows[order], dd[order], tt[order], yy[order]
     rank = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")
     keep = rank < k
@@ -284,9 +290,11 @@ def knn_regress(train: DataFrame, query: DataFrame, k: int, vec_col: str, label_
     spark = train.sparkSession
     query_id = query_id or id_col
     q = query.select(F.col(query_id).alias("_qid"), F.col(vec_col).alias("_qv")).where(F.col("_qv").isNotNull())
+    kinds = [d.schema[c].dataType.simpleString() for d, c in ((query, query_id), (train, id_col))]
+    whole = kinds[1] in ("tinyint", "smallint", "int", "bigint")
     dim_row = q.select(F.size("_qv").alias("d")).first()
     if dim_row is None:
-        return spark.createDataFrame([], f"{query_id} long, pred double")
+        return spark.createDataFrame([], f"{query_id} {kinds[0]}, pred double")
     dim = dim_row["d"]
     nq = q.count()
     per_block = max(1, KNN_BLOCK_BYTES // (8 * max(dim, 1) + 24 * k + 24))
@@ -311,31 +319,36 @@ def knn_regress(train: DataFrame, query: DataFrame, k: int, vec_col: str, label_
         def local_topk(it, bc=bc):
             qid, qm = bc.value
             nqb = len(qid)
-            qn = (qm * qm).sum(axis=1)
+            centre = qm.mean(axis=0)          # distances don't change; the expanded form cancels less
+            qc = qm - centre
+            qn = (qc * qc).sum(axis=1)
             best_d = np.full((nqb, k), np.inf)
-            best_t = np.full((nqb, k), np.iinfo(np.int64).max, dtype=np.int64)
+            best_t = (np.full((nqb, k), np.iinfo(np.int64).max, dtype=np.int64) if whole else
+                      np.full((nqb, k), "", dtype=object))
             best_y = np.full((nqb, k), np.nan)
             for part in it:
                 if part.empty:
                     continue
                 tm = np.stack(part["_tv"].to_numpy()).astype(np.float64, copy=False)
-                tn = (tm * tm).sum(axis=1)
-                tids = part["_tid"].to_numpy().astype(np.int64)
+                tc = tm - centre
+                tn = (tc * tc).sum(axis=1)
+                tids = part["_tid"].to_numpy().astype(np.int64 if whole else object)
                 ys = part["_y"].to_numpy().astype(np.float64)
                 step = max(1, KNN_TILE_CELLS // len(part))
                 for s in range(0, nqb, step):
                     e = min(nqb, s + step)
-                    d2 = qn[s:e, None] + tn[None, :] - 2.0 * (qm[s:e] @ tm.T)
-                    _merge_topk(best_d, best_t, best_y, s, d2, tids, ys, k)
+                    d2 = qn[s:e, None] + tn[None, :] - 2.0 * (qc[s:e] @ tc.T)
+                    slack = 1e-12 * (qn[s:e] + tn.max())
+                    _merge_topk(best_d, best_t, best_y, s, d2, slack, qm, tm, tids, ys, k)
             r, c = np.nonzero(np.isfinite(best_d))
             if len(r):
                 yield pd.DataFrame({"_qid": qid[r], "_tid": best_t[r, c], "_d2": best_d[r, c], "_y": best_y[r, c]})
         t = (train.select(F.col(id_col).alias("_tid"), F.col(vec_col).alias("_tv"), F.col(label_col).alias("_y"))
              .where(F.col("_tv").isNotNull()))
-        cand = t.mapInPandas(local_topk, "_qid long, _tid long, _d2 double, _y double")
+        cand = t.mapInPandas(local_topk, f"_qid {kinds[0]}, _tid {kinds[1]}, _d2 double, _y double")
         results = cand if results is None else results.unionByName(cand)
     if results is None:
-        return spark.createDataFrame([], f"{query_id} long, pred double")
+        return spark.createDataFrame([], f"{query_id} {kinds[0]}, pred double")
     w = Window.partitionBy("_qid").orderBy("_d2", "_tid")
     top = results.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
     return top.groupBy(F.col("_qid").alias(query_id)).agg(F.avg("_y").alias("pred"))

@@ -55,7 +55,8 @@ def with_row_index(df: DataFrame, order_by, partition_by=None, index_col: str =
     recompute is known to reproduce the same layout).
     """
     spark = df.sparkSession
-    keys = _cols(partition_by) + _cols(order_by)
+    # NULL keys come last, so an unparsed date never heads the series
+    keys = [F.col(k).asc_nulls_last() if isinstance(k, str) else k for k in _cols(partition_by) + _cols(order_by)]
     if not keys:
         raise ValueError("with_row_index needs an order")
     ranged = (df.repartitionByRange(num_partitions, *keys) if num_partitions

@@ -15,8 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import guarded_pearson, numeric_columns, trunc_ntz
+from ..functions.columns import finite, numeric_columns, trunc_ntz
 from ..functions.quantiles import exact_quantiles
+from ..session import checkpoint_dir
 
 
 def _unpivot(wide: DataFrame, structs) -> DataFrame:
@@ -39,8 +40,10 @@ def null_profile(df: DataFrame, cols: Sequence[str] | None = None, only_missing:
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Count, mean, std (n-1), min, 25/50/75 % (exact, linear), max per numeric column."""
+    """Count, mean, std (n-1), min, 25/50/75 % (exact, linear), max per numeric
+    column, over finite values (NaN counts as NULL)."""
     cols = list(cols) if cols is not None else numeric_columns(df)
+    df = finite(df.select(*cols))
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
@@ -59,14 +62,19 @@ def top_values(df: DataFrame, cols: Sequence[str], n: int = 10) -> DataFrame:
     """The ``n`` most frequent values per column (NULL counted as a value),
     with count, percent of rows and rank; ties broken by value.
 
-    Per column: a partial-aggregated count per value, then a distributed top-n
+    One scan: the (column, value) pairs of all columns are counted in one
+    partial aggregation, and the counts are written once.  Per column a distributed top-n
     (``orderBy().limit()`` plans TakeOrderedAndProject: each task keeps its own
-    n best), so a high-cardinality column never lands in one task.
+    n best) reads them, so a high-cardinality column never lands in one task.
     """
-    total = df.agg(F.count(F.lit(1))).first()[0]
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("value"))
+                                          for i, c in enumerate(cols)])).alias("_s")).select("_s.*")
+    checkpoint_dir(df.sparkSession)
+    counted = pairs.groupBy("i", "value").count().checkpoint(eager=True)
+    total = counted.where("i = 0").agg(F.sum("count")).first()[0] or 0
     parts = None
-    for c in cols:
-        g = (df.groupBy(F.col(c).cast("string").alias("value")).count()
+    for i, c in enumerate(cols):
+        g = (counted.where(F.col("i") == i).select("value", "count")
              .orderBy(F.col("count").desc(), F.col("value").asc_nulls_first()).limit(n)
              .withColumn("column", F.lit(c)))
         parts = g if parts is None else parts.unionByName(g)
@@ -112,7 +120,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None, fill: float |
 
     cols = list(cols) if cols is not None else numeric_columns(df)
     d = len(cols)
-    x = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    x = finite(df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]))
     if fill is not None:
         x = x.na.fill(float(fill))
     means = x.agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(d)]).first()
@@ -164,11 +172,11 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None, fill: float |
 
 
 def top_correlations(corr: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
-    """E5: strongest absolute correlations between distinct columns, |r| = 1
-    dropped, each unordered pair once, ordered by strength then names."""
-    x = (corr.where(F.col("col_a") < F.col("col_b"))
-         .select("col_a", "col_b", F.round(F.abs("corr"), digits).alias("abs_corr"))
-         .where(F.col("abs_corr") < 1))
+    """E5: strongest absolute correlations between distinct columns, |r| = 1 (to
+    within float noise, judged before rounding) dropped, each unordered pair
+    once, ordered by strength then names."""
+    x = (corr.where((F.col("col_a") < F.col("col_b")) & (F.abs("corr") < 1 - 1e-12))
+         .select("col_a", "col_b", F.round(F.abs("corr"), digits).alias("abs_corr")))
     return x.orderBy(F.col("abs_corr").desc(), "col_a", "col_b").limit(k)
 
 
@@ -217,6 +225,7 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     """``bins`` equal-width bins over [min, max], the last one closed, empty
     bins included with count 0."""
     spark = df.sparkSession
+    df = finite(df.select(col))
     st = df.agg(F.min(col).alias("mn"), F.max(col).alias("mx")).first()
     mn, mx = st["mn"], st["mx"]
     grid = spark.range(bins).withColumnRenamed("id", "bin")
@@ -235,6 +244,7 @@ def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
 
 def box_stats(df: DataFrame, cols: Sequence[str], whisker: float = 1.5) -> DataFrame:
     """Quartiles, whiskers at ``whisker`` IQR clipped to the data, outlier count."""
+    df = finite(df.select(*cols))
     q = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in cols})
     aggs, structs = [], []
     for i, c in enumerate(cols):
@@ -263,6 +273,7 @@ def kde(df: DataFrame, col: str, points: int = 200, cut: float = 3.0, bw: float
     the kernel of its own values at all grid points in bounded numpy blocks
     and returns one row, so rows are never paired with the grid in a join.
     """
+    df = finite(df.select(col))
     st = df.agg(F.count(col).alias("n"), F.stddev_samp(col).alias("sd"),
                 F.min(col).alias("mn"), F.max(col).alias("mx")).first()
     n, sd, mn, mx = st["n"], st["sd"], st["mn"], st["mx"]

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import finite, numeric_columns
+
 
 def leaderboard(metrics: DataFrame, by: str = "rmse") -> DataFrame:
     """V5: models ranked by ``by`` (ascending); models without metrics have no
@@ -34,6 +36,26 @@ def feature_table(spark: SparkSession, feature_sets: dict[str, Sequence[str]]) -
     return spark.createDataFrame(rows, "feature_set string, feature string")
 
 
+def leakage_by_value(df: DataFrame, target: str, cols: Sequence[str] | None = None) -> DataFrame:
+    """M-AUD on the rows: numeric features that equal the target in every complete
+    row, or of which two add up to it: (feature, reason).  One aggregate pass."""
+    cols = [c for c in (cols if cols is not None else numeric_columns(df)) if c != target]
+    df = finite(df.select(target, *cols))
+    y = F.col(target).cast("double")
+
+    def always(x):
+        known = x.isNotNull() & y.isNotNull()
+        return (F.count_if(known) > 0) & (F.count_if(known & (F.abs(x - y) > 1e-9 * (1 + F.abs(y)))) == 0)
+    x = {c: F.col(c).cast("double") for c in cols}
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    found = [F.when(always(x[a]), F.array(F.struct(F.lit(a).alias("feature"), F.lit("equals target").alias("reason")))) for a in cols]
+    found += [F.when(always(x[a] + x[b]), F.array(*[F.struct(F.lit(f).alias("feature"), F.lit("part of target").alias("reason"))
+                                                   for f in (a, b)])) for a, b in pairs]
+    none = F.array().cast("array<struct<feature:string,reason:string>>")
+    row = df.agg(*[F.coalesce(f, none).alias(f"f{i}") for i, f in enumerate(found)]) if found else df.limit(0).agg(none.alias("f0"))
+    return row.select(F.explode(F.array_distinct(F.concat(*row.columns))).alias("s")).select("s.*")
+
+
 def leakage_audit(features: DataFrame, banned: Sequence[str]) -> DataFrame:
     """M-AUD: the banned columns found in each feature set (semi join)."""
     spark = features.sparkSession

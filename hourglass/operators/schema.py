@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import string_columns
+from ..functions.columns import finite, string_columns
 
+# Names a date column may have, in order of preference.
 DATE_CANDIDATES = ("fecha", "Fecha", "date", "timestamp", "datetime")
 
 
@@ -49,6 +50,7 @@ def narrow_integers(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
     floats = [c for c, t in df.dtypes if t in ("double", "float") and (cols is None or c in cols)]
     if not floats:
         return df
+    df = finite(df, floats)
     row = df.agg(*[F.coalesce(F.bool_and(F.when(F.col(c).isNotNull(), F.col(c) % 1 == 0)), F.lit(True))
                    .alias(c) for c in floats]).first()
     return df.withColumns({c: F.col(c).cast("bigint") for c in floats if row[c]})

@@ -34,19 +34,27 @@ def with_split_role(df: DataFrame, index_col: str, frac: float = 0.8, n: int | N
 
 
 def hash_split(df: DataFrame, key: str, frac: float = 0.8, salt: str = "") -> tuple[DataFrame, DataFrame]:
-    """Reproducible random split: md5 bucket of the key below ``100*frac``."""
-    k = F.concat(F.lit(salt), F.col(key).cast("string")) if salt else F.col(key)
-    b = md5_bucket(k)
-    cut = int(round(frac * 100))
+    """Reproducible random split by a hash of the key, in millionths.
+
+    ``h`` is the number in the first 8 hex digits of md5; its percent is
+    ``h % 100`` and its place within the percent ``h / 100 % 10000``.  Every row is in
+    one of the two parts: a NULL key hashes as the empty text.
+    """
+    if not 0 <= frac <= 1:
+        raise ValueError(f"frac must be within 0..1, not {frac}")
+    b = hash_place(key, salt)
+    cut = round(frac * 1_000_000)
     return df.where(b < cut), df.where(b >= cut)
 
 
-def search_sample(train: DataFrame, key: str, frac: float = 0.2, min_rows: int = 5000,
-                  salt: str = "sample:") -> DataFrame:
-    """Search on a hashed ``frac`` sample when train has more than ``min_rows``
-    rows (labels travel with their rows)."""
-    if _count(train) <= min_rows:
-        return train
+def hash_place(key: str, salt: str = ""):
+    """0..999999 from md5 of the key's text (see :func:`hash_split`)."""
+    h = md5_bucket(F.concat(F.lit(salt), F.coalesce(F.col(key).cast("string"), F.lit(""))), 1 << 32)
+    return (h % 100) * 10_000 + F.floor(h / 100) % 10_000
+
+
+def search_sample(train: DataFrame, key: str, frac: float = 0.2, salt: str = "sample:") -> DataFrame:
+    """A hashed ``frac`` sample of train, whatever its size (labels travel with their rows)."""
     return hash_split(train, key, frac, salt=salt)[0]
 
 
@@ -66,6 +74,15 @@ def expanding_folds(df: DataFrame, index_col: str, k: int = 5, n: int | None = N
     return [(j, df.where(idx < s), df.where((idx >= s) & (idx < e))) for j, s, e in fold_bounds(n, k)]
 
 
+def test_fold(index_col: str, k: int, n: int):
+    """The fold (0..k-1) whose test part a row is in, NULL for rows only trained on; test parts are disjoint."""
+    t = n // (k + 1)
+    if t == 0:
+        raise ValueError(f"{n} rows are too few for {k} folds")
+    first = n - k * t
+    return F.when(F.col(index_col) >= first, F.floor((F.col(index_col) - F.lit(first)) / F.lit(t)).cast("int"))
+
+
 def fold_membership(df: DataFrame, index_col: str, k: int = 5, n: int | None = None) -> DataFrame:
     """T4 as one frame: each row tagged with every ``(fold, role)`` it belongs to."""
     n = _count(df) if n is None else n

@@ -33,23 +33,43 @@ def hash_split(spark, sf_dir):
 
 
 @register("search_sample", f"""
-WITH tr AS (SELECT event_id, value FROM events WHERE {MD5_SQL.format(k='event_id')} < 80),
-c AS (SELECT count(*) AS n FROM tr)
-SELECT event_id, value FROM tr, c
-WHERE n <= 5000 OR {MD5_SQL.format(k="('sample:' || CAST(event_id AS VARCHAR))")} < 20""")
+SELECT event_id, value FROM events WHERE {MD5_SQL.format(k='event_id')} < 80
+AND {MD5_SQL.format(k="('sample:' || CAST(event_id AS VARCHAR))")} < 20""")
 def search_sample(spark, sf_dir):
     ev = views.events(spark, sf_dir).select("event_id", "value")
     tr, _ = split.hash_split(ev, "event_id", 0.8)
-    return split.search_sample(tr, "event_id", 0.2, 5000)
+    return split.search_sample(tr, "event_id", 0.2)
+
+
+_H = "CAST('0x' || substr(md5(coalesce(CAST(k AS VARCHAR), '')), 1, 8) AS BIGINT)"
+_PLACE = f"({_H} % 100 * 10000 + {_H} // 100 % 10000)"
+
+
+@register("hash_split_nulls", f"""
+SELECT event_id, CASE WHEN {_PLACE} < 800000 THEN 'train' ELSE 'test' END AS role
+FROM (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN user_id END AS k FROM events) t""")
+def hash_split_nulls(spark, sf_dir):
+    """T2 by a key that is NULL in every seventh row: no row is lost."""
+    ev = views.events(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("user_id")).alias("k"))
+    tr, te = split.hash_split(ev, "k", 0.8)
+    return tr.select("event_id", F.lit("train").alias("role")).unionByName(te.select("event_id", F.lit("test").alias("role")))
+
+
+@register("hash_split_fine", f"""
+SELECT event_id, CASE WHEN {_PLACE} < 4000 THEN 'train' ELSE 'test' END AS role
+FROM (SELECT event_id, event_id AS k FROM events) t""")
+def hash_split_fine(spark, sf_dir):
+    """T2 with a fraction below one percent."""
+    ev = views.events(spark, sf_dir).select("event_id")
+    tr, te = split.hash_split(ev, "event_id", 0.004)
+    return tr.withColumn("role", F.lit("train")).unionByName(te.withColumn("role", F.lit("test")))
 
 
 @register("split_complement", f"""
 SELECT event_id FROM events WHERE {MD5_SQL.format(k='event_id')} >= 80""")
 def split_complement(spark, sf_dir):
-    """Test = all minus train, by anti join (checks the split is a partition)."""
-    ev = views.events(spark, sf_dir).select("event_id")
-    tr, _ = split.hash_split(ev, "event_id", 0.8)
-    return ev.join(tr, "event_id", "left_anti")
+    """Test = all minus train, by the split's own predicate: one scan, no join."""
+    return split.hash_split(views.events(spark, sf_dir).select("event_id"), "event_id", 0.8)[1]
 
 
 @register("expanding_folds", with_views("""

@@ -23,8 +23,8 @@ def stream_hourly_q(spark, sf_dir):
     """Events replayed as a file stream: closed hours only (window end at or
     before the watermark, i.e. the last event time minus one hour)."""
     ensure_utc(spark)
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = event_stream(spark, sf_dir, schema, file_glob="events.parquet")
+    path = f"{sf_dir}/events.parquet"  # a file or a folder of files
+    stream = event_stream(spark, path, spark.read.parquet(path).schema)
     base = scratch_path(spark, "stream_hourly")
     out = drain(stream_hourly(stream, "ts", WATERMARK), f"{base}/sink", f"{base}/checkpoint")
     return out.withColumn("avg_value", round6("avg_value"))
@@ -47,6 +47,6 @@ def stream_score_q(spark, sf_dir):
     # table instead of re-aggregating the raw events for every lag join
     views.hourly(spark, sf_dir).select("hour_ts", "n").write.parquet(f"{base}/history")
     history = spark.read.parquet(f"{base}/history")
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = event_stream(spark, sf_dir, schema, file_glob="events.parquet")
+    path = f"{sf_dir}/events.parquet"  # a file or a folder of files
+    stream = event_stream(spark, path, spark.read.parquet(path).schema)
     return drain(score_hourly_stream(stream, history, model, "ts", WATERMARK), f"{base}/sink", f"{base}/checkpoint")

@@ -6,9 +6,11 @@ Parquet scan because nothing here materialises data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from ..functions.columns import finite
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -20,23 +22,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# Texts that mean "missing" in a CSV cell.
+NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-NaN", "-nan", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
+def _typed(text: DataFrame, schema: StructType | None) -> DataFrame:
+    """Text columns with the missing tokens as NULL, cast to ``schema`` or to what all
+    their values parse as (BIGINT, DOUBLE, else text; one aggregate pass)."""
+    clean = text.select(*[F.when(~F.trim(F.col(f"`{c}`")).isin(*NULL_TOKENS), F.col(f"`{c}`")).alias(c) for c in text.columns])
+    if schema is not None:
+        return finite(clean.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields]))
+    bad = clean.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(t).isNull()).alias(f"{t}{i}")
+                      for i, c in enumerate(clean.columns) for t in ("bigint", "double")]).first()
+
+    def kind(i):
+        return next((t for t in ("bigint", "double") if bad[f"{t}{i}"] == 0), "string")
+    return finite(clean.select(*[F.col(f"`{c}`").cast(kind(i)).alias(c) for i, c in enumerate(clean.columns)]))
+
+
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None,
                fmt: str | None = None, header: bool = True) -> DataFrame:
     """Read a CSV (header, declared or inferred schema), Parquet or JSON table.
 
     A missing path raises ``AnalysisException`` from ``spark.read`` itself.
-    Inference is used only when no schema is given (it costs an extra pass).
+    Inference is used only when no schema is given (it costs an extra pass).  CSV
+    cells with a missing token (``NA``, ``NaN``, empty, ...) are NULL, as are NaN and inf.
     """
     fmt = fmt or ("parquet" if path.rstrip("/").endswith(".parquet") else
                   "json" if path.rstrip("/").endswith((".json", ".jsonl")) else "csv")
-    reader = spark.read.format(fmt)
-    if schema is not None:
-        reader = reader.schema(schema)
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
     if fmt == "csv":
-        reader = reader.option("header", str(header).lower())
-        if schema is None:
-            reader = reader.option("inferSchema", "true")
-    return reader.load(path)
+        text = spark.read.option("header", str(header).lower())
+        if schema is not None:
+            text = text.schema(StructType([StructField(f.name, StringType()) for f in schema.fields]))
+        return _typed(text.csv(path), schema)
+    reader = spark.read.format(fmt)
+    return finite((reader.schema(schema) if schema is not None else reader).load(path))
 
 
 def records_to_df(df: DataFrame, json_col: str, schema: StructType | str,
@@ -72,7 +94,3 @@ def append_metrics(df: DataFrame, path: str, partition_by: str | None = "model")
         writer = writer.partitionBy(partition_by)
     writer.json(path)
     return path
-
-
-def lit_or_col(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(x)

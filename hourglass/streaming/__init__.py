@@ -1,3 +1,3 @@
-from .hourly import drain, event_stream, history_lags, score_hourly_stream, score_stream, stream_hourly
+from .hourly import drain, event_stream, score_hourly_stream, score_stream, stream_hourly
 
-__all__ = ["drain", "event_stream", "history_lags", "score_hourly_stream", "score_stream", "stream_hourly"]
+__all__ = ["drain", "event_stream", "score_hourly_stream", "score_stream", "stream_hourly"]

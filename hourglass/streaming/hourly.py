@@ -19,7 +19,11 @@ from ..plans.views import CASUAL_TYPES
 
 def event_stream(spark: SparkSession, directory: str, schema: StructType,
                  file_glob: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
-    """A streaming read of Parquet files as they land in ``directory``."""
+    """A streaming read of Parquet files as they land in ``directory``: a table's
+    folder, or one file (then its folder is watched for files of that name)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    if not file_glob and path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile():
+        directory, file_glob = path.getParent().toString(), path.getName()
     r = spark.readStream.schema(schema)
     if file_glob:
         r = r.option("pathGlobFilter", file_glob)
@@ -50,27 +54,13 @@ def score_stream(stream: DataFrame, model: PipelineModel, keep=("hour_ts",)) ->
     return out.select(*keep, "pred")
 
 
-def history_lags(hourly: DataFrame, history: DataFrame, value: str = "n", lags=(1, 24, 168),
-                 ts: str = "hour_ts") -> DataFrame:
-    """Lags of a (streaming) hourly frame looked up in a static history table:
-    one stream-static left join per lag on ``hour - l hours``.  Stateless, so
-    no lag state is kept in the stream; the history (one row per hour) is the
-    small side."""
-    out = hourly
-    for lag in lags:
-        h = history.select(F.col(ts).alias(f"_hg_h{lag}"), F.col(value).alias(f"{value}_lag_{lag}"))
-        cond = F.col(f"_hg_h{lag}") == F.timestamp_add("HOUR", F.lit(-lag), F.col(ts))
-        out = out.join(h, cond, "left").drop(f"_hg_h{lag}")
-    return out
-
-
 def score_hourly_stream(events: DataFrame, history: DataFrame, model: PipelineModel, ts: str = "ts",
                         delay: str = "1 hour", lags=(1, 24, 168)) -> DataFrame:
     """R2 (D12): score each closed event-time hour of an event stream with a
     stored model.  R3's hourly counts get their lags from the static history
     (not zeros, not arbitrary state) and the calendar features of the hour;
     hours whose lags are not all known yet are not scored."""
-    from ..operators.features import calendar_features
+    from ..operators.features import calendar_features, history_lags
     h = history_lags(stream_hourly(events, ts, delay), history, "n", lags)
     f = calendar_features(h, "hour_ts", "hourly")
     complete = F.lit(True)
@@ -87,4 +77,5 @@ def drain(df: DataFrame, sink: str, checkpoint: str, output_mode: str = "append"
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return df.sparkSession.read.parquet(sink)
+    # the schema is given: a sink without rows is an empty table of the same columns
+    return df.sparkSession.read.schema(df.schema).parquet(sink)

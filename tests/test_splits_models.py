@@ -1,6 +1,7 @@
 """Splits never look ahead; models fit, persist and score."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from hourglass.operators import evaluate, models, split
@@ -125,9 +126,9 @@ def test_forest_beats_train_mean_on_daily_shape(spark):
     assert rmse_model < 0.5 * rmse_mean
 
 
-def test_search_samples_large_folds(spark, monkeypatch):
-    """T3 inside the search: folds whose training part is above the threshold
-    are fitted on a hashed sample (about 20 %); scores stay well formed."""
+@pytest.mark.parametrize("frac", [None, 0.2])
+def test_search_fits_all_rows_unless_a_fraction_is_given(spark, monkeypatch, frac):
+    """Every fit of a search sees its fold's whole training part; T3 only on request, at any size."""
     rows = [(i, float(i % 24), float(10 + (i % 24) * 2 + (i % 7))) for i in range(600)]
     df = spark.createDataFrame(rows, "idx long, hour double, y double")
     seen = []
@@ -139,7 +140,10 @@ def test_search_samples_large_folds(spark, monkeypatch):
 
     monkeypatch.setattr(models, "_fold_score", spy)
     best, results = models.search(df, "idx", ["hour"], "y", lambda **p: models.ridge("y", **p),
-                                  [{"reg": 0.1}], k=3, parallelism=1, sample_min_rows=200)
+                                  [{"reg": 0.1}], k=3, parallelism=1, sample_frac=frac)
     sizes = dict(seen)  # fold -> rows fitted; fold train parts hold 150, 300, 450 rows
-    assert sizes[0] == 150 and 0 < sizes[1] < 150 and 0 < sizes[2] < 200
+    if frac is None:
+        assert sizes == {0: 150, 1: 300, 2: 450}
+    else:
+        assert all(0 < sizes[j] < 0.4 * whole for j, whole in {0: 150, 1: 300, 2: 450}.items())
     assert all(np.isfinite(r["mean_rmse"]) for r in results)
