@@ -93,7 +93,7 @@ def test_bin_confusion_right_closed(spark):
 def test_reference_search_spaces_translate():
     p = models.boost_params({"num_leaves": 100, "learning_rate": 0.03, "n_estimators": 400, "max_depth": 6,
                              "subsample": 0.8})
-    assert p == {"rounds": 400, "rate": 0.03, "subsamplingRate": 0.8, "maxDepth": 6}
+    assert p == {"rounds": 400, "rate": 0.03, "maxDepth": 6}
     assert models.boost_params({"num_leaves": 31, "max_depth": -1})["maxDepth"] == 5
     draws = models.random_points(models.BOOST_RANDOM_SPACE_3FOLD, 24)
     assert len(draws) == 24 and len({tuple(sorted(d.items())) for d in draws}) == 24
