@@ -127,11 +127,6 @@ def label_encode(df: DataFrame, cols: Sequence[str], suffix: str = "",
     return out, mapping
 
 
-# Distinct values of one column that one window task may rank (a proven bound:
-# the values are counted first); larger columns get a distributed row index.
-RANK_IN_ONE_TASK = 1_000_000
-
-
 def fit_label_mapping(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(column, value, code)``: code = rank of the value among the column's
     sorted distinct non-null values, 0-based."""
@@ -140,35 +135,23 @@ def fit_label_mapping(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def _fit_label_mapping(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict[str, int]]:
     """The distinct ``(column, value)`` pairs are checkpointed and counted per
-    column (one row per column).  A column with at most ``RANK_IN_ONE_TASK``
-    values is ranked by a window partitioned by column; a larger one (a billion
-    user ids, say) gets a distributed row index over ``(column, value)``
-    (range-partitioned over many tasks), and its codes are the index minus the
-    column's start offset, taken from the same counts.  Returns the mapping and
-    the per-column sizes."""
-    from pyspark.sql import Window
+    column (one row per column).  They get a distributed row index over ``(column,
+    value)`` (range-partitioned over many tasks, so a billion user ids are
+    no task's burden), and a code is the index minus the column's start offset,
+    taken from the same counts.  Returns the mapping and the per-column sizes."""
     allv = (df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
                                           for c in cols])).alias("_s")).select("_s.*")
             .where(F.col("value").isNotNull()).distinct())  # one scan for all columns
     checkpoint_dir(df.sparkSession)
     allv = allv.checkpoint(eager=True)
     sizes = {r["column"]: r["count"] for r in allv.groupBy("column").count().collect()}
-    small = sorted(c for c, n in sizes.items() if n <= RANK_IN_ONE_TASK)
-    big = sorted(c for c, n in sizes.items() if n > RANK_IN_ONE_TASK)
-    pieces = []
-    if small or not big:
-        w = Window.partitionBy("column").orderBy("value")
-        pieces.append(allv.where(F.col("column").isin(small))
-                      .select("column", "value", (F.row_number().over(w) - 1).cast("bigint").alias("code")))
-    if big:
-        indexed = with_row_index(allv.where(F.col("column").isin(big)), ["column", "value"], index_col="_hg_idx")
-        starts, running = [], 0
-        for c in big:  # the index runs through the columns in sorted order
-            starts += [F.lit(c), F.lit(running)]
-            running += sizes[c]
-        start = F.element_at(F.create_map(*starts), F.col("column"))
-        pieces.append(indexed.select("column", "value", (F.col("_hg_idx") - start).cast("bigint").alias("code")))
-    mapping = pieces[0] if len(pieces) == 1 else pieces[0].unionByName(pieces[1])
+    indexed = with_row_index(allv, ["column", "value"], index_col="_hg_idx")
+    starts, running = [F.lit(""), F.lit(0)], 0
+    for c in sorted(sizes):  # the index runs through the columns in sorted order
+        starts += [F.lit(c), F.lit(running)]
+        running += sizes[c]
+    start = F.element_at(F.create_map(*starts), F.col("column"))
+    mapping = indexed.select("column", "value", (F.col("_hg_idx") - start).cast("bigint").alias("code"))
     return mapping, sizes
 
 

@@ -86,14 +86,11 @@ def test_label_encode_sorted_codes_and_null(spark):
     assert [r["c_code"] for r in enc.collect() if r["c"] is None] == [-1]
 
 
-@pytest.mark.parametrize("rank_limit", [0, 1_000_000])
-def test_label_codes_over_many_partitions_and_shuffled_join(spark, monkeypatch, rank_limit):
+def test_label_codes_over_many_partitions_and_shuffled_join(spark, monkeypatch):
     """Two columns, one hot value holding a third of the rows; codes by the
-    distributed row index (limit 0, 6 shuffle partitions) or by one window per
-    column; with a zero broadcast limit the lookup joins shuffle and must give
-    the same codes as pandas' sorted categories."""
-    from hourglass.operators import features, lookup
-    monkeypatch.setattr(features, "RANK_IN_ONE_TASK", rank_limit)
+    distributed row index over 6 shuffle partitions; with a zero broadcast limit the
+    lookup joins shuffle and must give the same codes as pandas' sorted categories."""
+    from hourglass.operators import lookup
     rng = random.Random(3)
     vals = [f"v{rng.randrange(400):03d}" for _ in range(1200)] + ["hot"] * 600
     rows = [(i, v, None if i % 11 == 0 else f"s{i % 37}") for i, v in enumerate(vals)]
