@@ -22,7 +22,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, scratch_path
+from ..session import checkpoint_dir, scratch_path, ship
 from .evaluate import regression_metrics
 from .split import count_rows, expanding_folds, hash_split
 
@@ -288,6 +288,7 @@ def knn_regress(train: DataFrame, query: DataFrame, k: int, vec_col: str, label_
     list is ever materialised.
     """
     spark = train.sparkSession
+    ship(spark)
     query_id = query_id or id_col
     q = query.select(F.col(query_id).alias("_qid"), F.col(vec_col).alias("_qv")).where(F.col("_qv").isNotNull())
     kinds = [d.schema[c].dataType.simpleString() for d, c in ((query, query_id), (train, id_col))]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import finite, numeric_columns, trunc_ntz
 from ..functions.quantiles import exact_quantiles
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, ship
 
 
 def _unpivot(wide: DataFrame, structs) -> DataFrame:
@@ -147,6 +147,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str] | None = None, fill: float |
         if acc is not None:
             yield pd.DataFrame({"s": [np.concatenate([t.ravel() for t in acc]).tolist()]})
 
+    ship(df.sparkSession)
     red = reduce_partials(x.mapInPandas(stats, "s array<double>"), 6 * d * d)
     spark = df.sparkSession
     schema = "col_a string, col_b string, corr double"
@@ -294,6 +295,7 @@ def kde(df: DataFrame, col: str, points: int = 200, cut: float = 3.0, bw: float
                 acc += np.exp(-0.5 * u * u).sum(axis=0)
         yield pd.DataFrame({"s": [acc.tolist()]})
 
+    ship(spark)
     # each task returns one row of partial kernel sums, reduced in Spark
     red = reduce_partials(df.select(F.col(col).cast("double").alias("v")).mapInPandas(partial, "s array<double>"),
                           points)

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -81,8 +81,19 @@ def clear_scratch(spark: SparkSession) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors (numpy kernels import it there), for a cluster where it
-    isn't installed; ``pip install`` from ``pyproject.toml`` does the same for good."""
+    """Send the package to the executors, once a session: the numpy kernels import
+    it there, and a package that only the driver's path has is not found.  Spark
+    copies the archive; nothing reads the driver's folder later."""
+    sc = spark.sparkContext
+    if getattr(sc, "_hourglass_shipped", False):
+        return
     root = os.path.dirname(os.path.abspath(__file__))
     base = os.path.join(tempfile.mkdtemp(prefix="hourglass-ship-"), "hourglass")
-    spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(root), os.path.basename(root)))
+    with zipfile.ZipFile(f"{base}.zip", "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(f"{base}.zip")
+    sc._hourglass_shipped = True
