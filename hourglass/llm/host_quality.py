@@ -107,26 +107,25 @@ def rules() -> dict[str, Column]:
 def host_verdicts(facts_of: DataFrame, host_col: str = "source", limit: float = LIMIT) -> DataFrame:
     """(host, n documents, one shrunk rate a rule, host_kept)."""
     named = rules()
-    hosts = facts_of.groupBy(F.col(host_col).alias("host")).agg(
-        F.count(F.lit(1)).alias("n"), *(F.count_if(v).alias(f"f_{k}") for k, v in named.items()))
+    hosts = common.save(facts_of.groupBy(F.col(host_col).alias("host")).agg(
+        F.count(F.lit(1)).alias("n"), *(F.count_if(v).alias(f"f_{k}") for k, v in named.items())), "host_counts")
     rate = {k: F.col(f"f_{k}") / F.col("n") for k in named}
     prior = hosts.agg(*(x for k in named for x in (F.avg(rate[k]).alias(f"m_{k}"), F.var_samp(rate[k]).alias(f"v_{k}"))))
-    out = hosts.crossJoin(F.broadcast(prior))       # the prior is one row
+    of = prior.first()                               # one row
     kept, shrunk = F.lit(True), []
     for k in named:
-        m, v = F.coalesce(F.col(f"m_{k}"), F.lit(0.0)), F.coalesce(F.col(f"v_{k}"), F.lit(0.0))
-        weight = F.when(v > 0, m * (1 - m) / F.when(v > 0, v) - 1).otherwise(F.lit(MOST_PRIOR))
-        weight = F.least(F.greatest(weight, F.lit(LEAST_PRIOR)), F.lit(MOST_PRIOR))
-        r = (F.col(f"f_{k}") + m * weight) / (F.col("n") + weight)
+        m, v = of[f"m_{k}"] or 0.0, of[f"v_{k}"] or 0.0
+        weight = min(max(m * (1 - m) / v - 1 if v > 0 else MOST_PRIOR, LEAST_PRIOR), MOST_PRIOR)
+        r = (F.col(f"f_{k}") + F.lit(m * weight)) / (F.col("n") + F.lit(weight))
         shrunk.append(r.alias(f"rate_{k}"))
         kept = kept & (r <= limit)
-    return out.select("host", "n", *shrunk, kept.alias("host_kept"))
+    return hosts.select("host", "n", *shrunk, kept.alias("host_kept"))
 
 
 def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", drop_text: bool = False,
           limit: float = LIMIT) -> DataFrame:
     """``docs`` with _hgl_<fact>, _hgl_base_failed and _hgl_kept."""
-    hosts = common.save(host_verdicts(facts(docs.select(host_col, text_col), text_col, True), host_col, limit), "hosts")
+    hosts = host_verdicts(facts(docs.select(host_col, text_col), text_col, True), host_col, limit)
     named = rules()
     base = named["few_words"] | named["repeated_words"]
     hosts = hosts.select(F.col("host").alias("_hgl_host"), F.col("host_kept").alias("_hgl_host_kept"))
