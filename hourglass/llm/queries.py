@@ -83,4 +83,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
                             op7_quote_links, op8_langid, op9_near_dedup, op10_url_rules)
 }
 ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op4_host_quality": host_quality.ORACLE,
-                           "op10_url_rules": url_rules.ORACLE}
+                           "op7_quote_links": quote_links.ORACLE, "op10_url_rules": url_rules.ORACLE}

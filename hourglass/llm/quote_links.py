@@ -120,3 +120,37 @@ def threads(messages: DataFrame, **names) -> DataFrame:
         F.when(F.col("to_c") != "n", F.expr("substring(to_c, 2)")).alias("reply_conv"), turn("to_t").alias("reply_to"),
         F.coalesce("root", turn("t")).alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"),
         F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), F.col("own")).alias("chat"))
+
+
+_NORMAL = r"trim(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+ORACLE = rf"""
+WITH RECURSIVE m AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+b AS (SELECT row_number() OVER () AS id, conv_id, turn, role, coalesce('c' || CAST(conv_id AS VARCHAR), 'n') AS c,
+        coalesce(turn, {LAST}) AS t, regexp_split_to_array(coalesce(text, ''), '\r?\n') AS raw FROM m),
+x AS (SELECT id, c, t, i, raw[i] AS line, regexp_extract(raw[i], '{MARKS}', 1) AS marks
+      FROM (SELECT *, unnest(range(1, len(raw) + 1)) AS i FROM b)),
+y AS (SELECT *, length(regexp_replace(marks, '[^>]', '', 'g')) AS level, regexp_replace(line, '{MARKS}', '') AS body FROM x),
+l AS (SELECT *, regexp_matches(line, '{ATTRIBUTION}') AND coalesce(lead(level) OVER (PARTITION BY id ORDER BY i) > level, false) AS said FROM y),
+o AS (SELECT id, c, t, coalesce(trim(string_agg(body, chr(10) ORDER BY i) FILTER (level = 0 AND NOT said), ' ' || chr(9) || chr(13) || chr(10)), '') AS own,
+        count(*) FILTER (level > 0) AS n_quoted FROM l GROUP BY id, c, t),
+u AS (SELECT c, t, unnest(list_concat([own], regexp_split_to_array(own, '\n\s*\n'), string_split(own, chr(10)))) AS u FROM o),
+origin AS (SELECT c, u, min(t) AS to_t FROM (SELECT c, t, {_NORMAL.format(x='u')} AS u FROM u) WHERE u <> '' GROUP BY c, u),
+q AS (SELECT *, {_NORMAL.format(x='body')} AS u FROM l WHERE level > 0 AND NOT said),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY id, level ORDER BY i) AS run FROM q WHERE u <> ''),
+quote AS (SELECT c, t, level, u FROM r UNION ALL
+          SELECT c, t, level, string_agg(u, ' ' ORDER BY i) FROM r GROUP BY id, c, t, level, run),
+near AS (SELECT q.c, q.t, level, q.c AS to_c, to_t, len(string_split(q.u, ' ')) AS words FROM quote q JOIN origin o ON o.c = q.c AND o.u = q.u WHERE to_t < q.t),
+anywhere AS (SELECT u, arg_min(c, (c, to_t)) AS to_c, arg_min(to_t, (c, to_t)) AS to_t FROM origin GROUP BY u),
+far AS (SELECT q.c, q.t, level, to_c, to_t, len(string_split(q.u, ' ')) AS words FROM quote q JOIN anywhere a ON a.u = q.u
+        WHERE to_c <> q.c AND len(string_split(q.u, ' ')) >= {FAR_WORDS}
+        AND NOT EXISTS (SELECT 1 FROM near n WHERE n.c = q.c AND n.t = q.t AND n.level = q.level)),
+w AS (SELECT c, t, to_c, to_t, sum(words) AS words FROM (SELECT * FROM near UNION ALL SELECT * FROM far) WHERE level = 1 GROUP BY ALL),
+link AS (SELECT c, t, to_c, to_t FROM w QUALIFY row_number() OVER (PARTITION BY c, t ORDER BY words DESC, to_c, to_t) = 1),
+up AS (SELECT c, t, to_t AS root, 1 AS depth FROM link WHERE to_c = c
+       UNION ALL SELECT up.c, up.t, link.to_t, depth + 1 FROM up JOIN link ON link.c = up.c AND link.t = up.root AND link.to_c = link.c),
+top AS (SELECT c, t, arg_max(root, depth) AS root, max(depth) AS depth FROM up GROUP BY c, t)
+SELECT conv_id, turn, role, own AS text, n_quoted, CASE WHEN to_c <> 'n' THEN substr(to_c, 2) END AS reply_conv,
+  CASE WHEN to_t <> {LAST} THEN to_t END AS reply_to, coalesce(root, turn) AS thread, CAST(coalesce(depth, 0) AS INTEGER) AS depth,
+  '<|' || coalesce(role, 'user') || '|>' || chr(10) || own AS chat
+FROM b JOIN o USING (id, c, t) LEFT JOIN link USING (c, t) LEFT JOIN top USING (c, t)
+"""

@@ -154,11 +154,27 @@ def test_quotes_are_linked_and_removed(spark):
     assert see(1, 3) == (0, 0, 1, "You are welcome") and see(1, 4) == (None, 4, 0, "A new subject")
     assert got[2, 1]["reply_conv"] == "1" and got[2, 1]["reply_to"] == 0 and got[2, 0]["reply_to"] is None
     assert see(3, 1) == (None, 1, 0, "") and got[None, None]["text"] == ""
+    con = duckdb.connect()
+    con.register("given", df.select("conv_id", "turn", "role", "text").toArrow())
+    con.execute("CREATE VIEW conversations AS SELECT * FROM given")
+    res = con.execute(queries.ORACLES["op7_quote_links"])
+    cols = [d[0] for d in res.description]
+    assert sorted(map(str, res.fetchall())) == sorted(str(tuple(r[c] for c in cols)) for r in got.values())
     levels = {(r["c"], r["t"], r["level"]): r["to_t"] for r in quote_links.links(df).collect()}
     assert levels[("c1", 2, 2)] == 0 and levels[("c1", 2, 1)] == 1
     assert quote_links.threads(df.limit(0)).count() == 0
 
 
+def test_quote_links_equal_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{SF01}/conversations.parquet')")
+    res = con.execute(queries.ORACLES["op7_quote_links"])
+    cols = [d[0] for d in res.description]
+    df = queries.op7_quote_links(spark, SF01)
+    assert sorted(df.columns) == sorted(cols)
+    assert sorted(map(str, res.fetchall())) == sorted(str(tuple(r[c] for c in cols)) for r in df.collect())
+
+
 def test_all_messages_come_back(spark):
     n = spark.read.parquet(f"{SF01}/conversations.parquet").distinct().count()
     assert queries.op7_quote_links(spark, SF01).count() == n
