@@ -20,11 +20,13 @@ packed.  Other columns aren't read.  Empty table: no pieces.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,21 +41,53 @@ from .common import KEY
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 400_000
 
 #: Characters whose normal form, lower case and class are the same for this tokenizer and Python; and its special tokens' start.
 _PLAIN = re.compile(r"[\t\n\r -~¡-¬®-įı-ɏ]*")
 _SPECIAL = "<|"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable
+    ones for themselves, the others from 256 on in turn."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordTokens:
     """Ids of texts as little-endian 32-bit bytes, with a cache of words."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # a Spark task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.known: dict[str, bytes] = {}
 
+    def learn(self, new: list[str]) -> None:
+        """Ids of new words.  A word of letters is one piece for the model; a sign after it is
+        another; anything else goes through the whole tokenizer."""
+        known, tokenize, letters, rest = self.known, self.model.tokenize, self.letters, []
+        for w in new:
+            base = w[:-1] if w[-1] in ".," else w
+            if not base.isalpha():
+                rest.append(w)
+                continue
+            ids = known.get(base)
+            if ids is None:
+                piece = base if base.isascii() else base.encode().decode("latin-1").translate(letters)
+                ids = known[base] = array("I", [t.id for t in tokenize(piece)]).tobytes()
+            if base is not w:
+                known[w] = ids + self.signs[w[-1]]
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            known[w] = array("I", e.ids).tobytes()
+
+    @cached_property
+    def signs(self) -> dict[str, bytes]:
+        return {c: array("I", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,"}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.lower().split() if _PLAIN.fullmatch(t) and _SPECIAL not in t else None for t in texts]
         seen: set[str] = set()
@@ -63,9 +97,7 @@ class WordTokens:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
         known = self.known
-        new = [w for w in seen if w not in known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[w] = array("I", e.ids).tobytes()
+        self.learn([w for w in seen if w not in known])
         return [b"".join(map(known.__getitem__, w)) if w is not None else
                 array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for w, t in zip(split, texts)]
 

@@ -34,7 +34,7 @@ VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 RANK_SHIFT = 10
 BYTE_SCORE = -14.0
-MAX_NODES = 600_000
+MAX_NODES = 400_000
 LONG = 256                 # characters of a pre-token that is not stored
 
 
