@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
+from .near_dedup import shingles
+from .text import utf8
 
 SAMPLE = 20_000
 ENTRIES = 5_000
@@ -111,6 +113,18 @@ class Matcher:
         return sum(self.words(t).values()) / math.log(math.e + t.count(" ") - 1)
 
 
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, toxic) with the least hash of the text's 5-word shingles: near copies mostly share
+    it, so that words of one copied text don't pass for words of many."""
+    for b in batches:
+        d, o = utf8(b.column(0))
+        row, value = shingles(d[o[0]:o[-1]], o - o[0])
+        sig = np.zeros(b.num_rows, np.int64)
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+        sig[row[first]] = value[first].view(np.int64)       # sorted by row and value
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sig)], ["text", "toxic", "sig"])
+
+
 def _counted(batches: Iterator[pa.RecordBatch], candidates) -> Iterator[pa.RecordBatch]:
     """(text, toxic) rows -> (entry, toxic documents, other documents), summed by task."""
     both = (Counter(), Counter())
@@ -170,7 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos or not neg:
         return {"weights": {}, "exceptions": [], "slope": 0.0, "offset": 30.0 if pos else -30.0}
-    distinct = rows.dropDuplicates(["text", "toxic"])
+    distinct = common.save(rows.select("text", "toxic").mapInArrow(_signed, "text string, toxic int, sig bigint")
+                           .dropDuplicates(["sig", "toxic"]), "distinct")
     odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
     low = odds - F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
     kept = (_totals(distinct, entries_of).where(F.col("pos") >= F.lit(max(MIN_DOCS, pos // 200))).select("entry", odds.alias("w"), low.alias("low"))
