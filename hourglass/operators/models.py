@@ -22,7 +22,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, scratch_path, ship
+from ..session import checkpoint_dir, ship
 from .evaluate import regression_metrics
 from .split import count_rows, expanding_folds, hash_split
 
@@ -241,7 +241,8 @@ def feature_importances(model: PipelineModel, top: int = 20) -> DataFrame:
 
 # ---------------------------------------------------------------- k-NN (M4)
 
-KNN_BLOCK_BYTES = 64 << 20  # query vectors plus their running top-k held by every task, per block
+KNN_BLOCK_BYTES = 64 << 20  # vectors (of the query side: plus their running top-k) of one block
+KNN_LEAST_ROWS = 256        # train rows worth a block of their own
 KNN_TILE_CELLS = 1 << 22     # distances computed at once in a task (32 MB of doubles)
 
 
@@ -279,77 +280,59 @@ def knn_regress(train: DataFrame, query: DataFrame, k: int, vec_col: str, label_
                 id_col: str, query_id: str | None = None) -> DataFrame:
     """M4: exact k-nearest-neighbour regression (Euclidean), prediction = mean label.
 
-    The query side is split into blocks of at most ``KNN_BLOCK_BYTES`` (vectors
-    plus running top-k) and each block is broadcast.  Every train partition
-    streams its Arrow batches through numpy distance tiles of bounded size and
-    keeps one running top-k per query for the whole partition, so exactly
-    ``k x train partitions`` candidates per query are shuffled (by query id,
-    equal-sized groups), and a window over those picks the final k.  No pair
-    list is ever materialised.
+    Both sides are dealt to blocks of at most about ``KNN_BLOCK_BYTES`` by a hash of
+    the id, and every pair of a train and a query block is one task: it goes through
+    numpy distance tiles of bounded size and keeps one running top-k per query, so exactly
+    ``k x train blocks`` candidates per query are shuffled (by query id, equal-sized groups), and
+    a window over those picks the final k.  Nothing passes through the driver, nothing is
+    broadcast, and no pair list is ever materialised.
     """
     spark = train.sparkSession
     ship(spark)
     query_id = query_id or id_col
     q = query.select(F.col(query_id).alias("_qid"), F.col(vec_col).alias("_qv")).where(F.col("_qv").isNotNull())
+    t = (train.select(F.col(id_col).alias("_tid"), F.col(vec_col).alias("_tv"), F.col(label_col).alias("_y"))
+         .where(F.col("_tv").isNotNull()))
     kinds = [d.schema[c].dataType.simpleString() for d, c in ((query, query_id), (train, id_col))]
     whole = kinds[1] in ("tinyint", "smallint", "int", "bigint")
     dim_row = q.select(F.size("_qv").alias("d")).first()
     if dim_row is None:
         return spark.createDataFrame([], f"{query_id} {kinds[0]}, pred double")
-    dim = dim_row["d"]
-    nq = q.count()
-    per_block = max(1, KNN_BLOCK_BYTES // (8 * max(dim, 1) + 24 * k + 24))
-    blocks = max(1, math.ceil(nq / per_block))
-    if blocks > 1:
-        # one pass over the query side: written once, partitioned by block, so
-        # each block reads only its own folder
-        path = scratch_path(spark, "knn_query_blocks")
-        q.withColumn("_blk", F.abs(F.xxhash64("_qid")) % blocks).write.partitionBy("_blk").parquet(path)
-        qb = spark.read.parquet(path)
-    else:
-        qb = q.withColumn("_blk", F.lit(0))
-    results = None
-    for b in range(blocks):
-        pdf = qb.where(F.col("_blk") == b).select("_qid", "_qv").toPandas()
-        if pdf.empty:
-            continue
-        qids = pdf["_qid"].to_numpy()
-        qmat = np.stack(pdf["_qv"].to_numpy()).astype(np.float64, copy=False)
-        bc = spark.sparkContext.broadcast((qids, qmat))
-
-        def local_topk(it, bc=bc):
-            qid, qm = bc.value
-            nqb = len(qid)
-            centre = qm.mean(axis=0)          # distances don't change; the expanded form cancels less
-            qc = qm - centre
-            qn = (qc * qc).sum(axis=1)
-            best_d = np.full((nqb, k), np.inf)
-            best_t = (np.full((nqb, k), np.iinfo(np.int64).max, dtype=np.int64) if whole else
-                      np.full((nqb, k), "", dtype=object))
-            best_y = np.full((nqb, k), np.nan)
-            for part in it:
-                if part.empty:
-                    continue
-                tm = np.stack(part["_tv"].to_numpy()).astype(np.float64, copy=False)
-                tc = tm - centre
-                tn = (tc * tc).sum(axis=1)
-                tids = part["_tid"].to_numpy().astype(np.int64 if whole else object)
-                ys = part["_y"].to_numpy().astype(np.float64)
-                step = max(1, KNN_TILE_CELLS // len(part))
-                for s in range(0, nqb, step):
-                    e = min(nqb, s + step)
-                    d2 = qn[s:e, None] + tn[None, :] - 2.0 * (qc[s:e] @ tc.T)
-                    slack = 1e-12 * (qn[s:e] + tn.max())
-                    _merge_topk(best_d, best_t, best_y, s, d2, slack, qm, tm, tids, ys, k)
-            r, c = np.nonzero(np.isfinite(best_d))
-            if len(r):
-                yield pd.DataFrame({"_qid": qid[r], "_tid": best_t[r, c], "_d2": best_d[r, c], "_y": best_y[r, c]})
-        t = (train.select(F.col(id_col).alias("_tid"), F.col(vec_col).alias("_tv"), F.col(label_col).alias("_y"))
-             .where(F.col("_tv").isNotNull()))
-        cand = t.mapInPandas(local_topk, f"_qid {kinds[0]}, _tid {kinds[1]}, _d2 double, _y double")
-        results = cand if results is None else results.unionByName(cand)
-    if results is None:
-        return spark.createDataFrame([], f"{query_id} {kinds[0]}, pred double")
+    dim, nq, nt = dim_row["d"], q.count(), t.count()
+    q_blocks = max(1, math.ceil(nq * (8 * max(dim, 1) + 24 * k + 24) / KNN_BLOCK_BYTES))
+    t_blocks = max(1, math.ceil(nt * 8 * max(dim, 1) / KNN_BLOCK_BYTES),
+                   min(spark.sparkContext.defaultParallelism, math.ceil(nt / KNN_LEAST_ROWS)) // q_blocks)
+
+    def local_topk(tp: pd.DataFrame, qp: pd.DataFrame) -> pd.DataFrame:
+        if tp.empty or qp.empty:
+            return pd.DataFrame({"_qid": [], "_tid": [], "_d2": [], "_y": []})
+        qid, nqb = qp["_qid"].to_numpy(), len(qp)
+        qm = np.stack(qp["_qv"].to_numpy()).astype(np.float64, copy=False)
+        tm = np.stack(tp["_tv"].to_numpy()).astype(np.float64, copy=False)
+        centre = qm.mean(axis=0)          # distances don't change; the expanded form cancels less
+        qc, tc = qm - centre, tm - centre
+        qn, tn = (qc * qc).sum(axis=1), (tc * tc).sum(axis=1)
+        tids = tp["_tid"].to_numpy().astype(np.int64 if whole else object)
+        ys = tp["_y"].to_numpy().astype(np.float64)
+        best_d, best_y = np.full((nqb, k), np.inf), np.full((nqb, k), np.nan)
+        best_t = np.full((nqb, k), np.iinfo(np.int64).max, dtype=np.int64) if whole else np.full((nqb, k), "", dtype=object)
+        rows = max(1, min(len(tm), KNN_TILE_CELLS))
+        step = max(1, KNN_TILE_CELLS // rows)
+        for x in range(0, len(tm), rows):
+            for s in range(0, nqb, step):
+                e = min(nqb, s + step)
+                d2 = qn[s:e, None] + tn[None, x:x + rows] - 2.0 * (qc[s:e] @ tc[x:x + rows].T)
+                slack = 1e-12 * (qn[s:e] + tn[x:x + rows].max())
+                _merge_topk(best_d, best_t, best_y, s, d2, slack, qm, tm[x:x + rows], tids[x:x + rows], ys[x:x + rows], k)
+        r, c = np.nonzero(np.isfinite(best_d))
+        return pd.DataFrame({"_qid": qid[r], "_tid": best_t[r, c], "_d2": best_d[r, c], "_y": best_y[r, c]})
+
+    def dealt(df, own, blocks, key, other, others):
+        # every row goes to its block of each block of the other side
+        return (df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).groupBy("_tb", "_qb"))
+    results = (dealt(t, "_tb", t_blocks, "_tid", "_qb", q_blocks).cogroup(dealt(q, "_qb", q_blocks, "_qid", "_tb", t_blocks))
+               .applyInPandas(local_topk, f"_qid {kinds[0]}, _tid {kinds[1]}, _d2 double, _y double"))
     w = Window.partitionBy("_qid").orderBy("_d2", "_tid")
     top = results.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
     return top.groupBy(F.col("_qid").alias(query_id)).agg(F.avg("_y").alias("pred"))
