@@ -16,7 +16,7 @@ from ..sources import artefacts
 from ..sources.tables import table
 from . import views
 from .catalog import register
-from .feature_queries import MD5_SQL
+from .feature_queries import CAL_SQL, MD5_SQL
 from .oracle import with_views
 
 FEATURES = ["hour", "dayofweek", "month", "is_weekend", "n_lag_1", "n_lag_24", "n_lag_168"]
@@ -236,12 +236,38 @@ def random_search(spark, sf_dir):
     return _results_df(spark, results, best)
 
 
+# Lags and windows of the reference's experiments.
+EXPERIMENT_LAGS, EXPERIMENT_WINDOWS = (1, 24, 48, 168), (3, 6, 24, 168)
+
+
+def experiment_frame(spark, sf_dir):
+    """Hourly demand with the experiments' lags and prior rolling means."""
+    h = views.hourly(spark, sf_dir)
+    f = prepare_features(h, target="n", ts="hour_ts", exclude=BANNED, lags=EXPERIMENT_LAGS, windows=EXPERIMENT_WINDOWS,
+                         index_col="hour_idx")
+    return f.drop("avg_value")
+
+
+@register("experiment_features", with_views(f"""
+SELECT hour_ts, n, {CAL_SQL.format(t='hour_ts')}, {', '.join(f'n_lag_{l}' for l in EXPERIMENT_LAGS)},
+       {', '.join(f'round(r{w}, 6) AS n_rolling_mean_{w}' for w in EXPERIMENT_WINDOWS)}
+FROM (SELECT *, {', '.join(f'lag(n, {l}) OVER (ORDER BY hour_idx) AS n_lag_{l}' for l in EXPERIMENT_LAGS)},
+             {', '.join(f'avg(n) OVER (ORDER BY hour_idx ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING) AS r{w}' for w in EXPERIMENT_WINDOWS)}
+      FROM hourly) t WHERE n_lag_168 IS NOT NULL AND avg_value IS NOT NULL""", "hourly"))
+def experiment_features(spark, sf_dir):
+    """F9 with the feature set of the reference's experiments."""
+    return _r(experiment_frame(spark, sf_dir), [f"n_rolling_mean_{w}" for w in EXPERIMENT_WINDOWS])
+
+
 @register("log_target_metrics")
 def log_target_metrics(spark, sf_dir):
-    """M9: forest on log1p(target), folds scored on the original scale."""
-    p = prepared(spark, sf_dir)
-    rows = models.cross_validate(p, "row_idx", FEATURES, "n", lambda: models.forest("n", num_trees=50),
-                                 k=3, log_target=True)
+    """M9: boosted trees on log1p(target) over the experiments' features, 5 expanding
+    folds scored on the original scale."""
+    f = experiment_frame(spark, sf_dir)
+    feats = [c for c in f.columns if c not in ("hour_ts", "n")]
+    p = with_row_index(f.withColumn("n", F.col("n").cast("double")), ["hour_ts"]).persist()
+    rows = models.cross_validate(p, "row_idx", feats, "n", lambda: models.gbt("n", rounds=100, rate=0.1, num_leaves=31),
+                                 k=5, log_target=True)
     df = spark.createDataFrame([(str(r["fold"]), r["rmse"], r["mae"]) for r in rows], "fold string, rmse double, mae double")
     return df.unionByName(df.agg(F.lit("mean").alias("fold"), F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae")))
 
