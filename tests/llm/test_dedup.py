@@ -126,7 +126,9 @@ def check_groups(spark, rows):
     assert got == brute_groups(rows)
 
 
-def test_groups_equal_brute_force(spark):
+@pytest.mark.parametrize("crowd", [1024, 2])
+def test_groups_equal_brute_force(spark, monkeypatch, crowd):
+    monkeypatch.setattr(near_dedup, "CROWD", crowd)
     r = random.Random(11)
     vocab = ["w%d" % i for i in range(400)]
     base = [[r.choice(vocab) for _ in range(r.randint(30, 200))] for _ in range(12)]
@@ -152,6 +154,19 @@ def test_groups_of_null_and_repeated_ids(spark):
     assert near_dedup.groups(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_loose_groups_equal_brute_force(spark):
+    """Variants of one text, most of them under the limit to each other."""
+    r = random.Random(5)
+    base = [f"b{i}" for i in range(160)]
+    rows = []
+    for i in range(260):
+        w = list(base)
+        for _ in range(r.choice((2, 4, 5, 6, 7, 9, 14))):
+            w[r.randrange(len(w))] = f"c{r.randrange(8)}"
+        rows.append((i, " ".join(w)))
+    check_groups(spark, rows)
+
+
 def test_sketch_fills_all_bins_and_estimates():
     import numpy as np
     rng = np.random.default_rng(0)
