@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.order import with_row_index
-from ..session import scratch_path
+from ..session import scratch_path, ship
 
 KEY = "_hgl_key"
 ARROW_ROWS = 1024
 
 
 def ready(spark: SparkSession) -> None:
-    """Arrow batches of at most ARROW_ROWS documents (Spark's default is
-    10,000), so that a batch of long texts stays small in a Python worker."""
+    """The package on the executors, and Arrow batches of at most ARROW_ROWS documents (Spark's
+    default is 10,000), so that a batch of long texts stays small in a Python worker."""
+    ship(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name, "10000")) > ARROW_ROWS:
         spark.conf.set(name, str(ARROW_ROWS))
