@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,15 +24,35 @@ def ready(spark: SparkSession) -> None:
         spark.conf.set(name, str(ARROW_ROWS))
 
 
+_OPEN: list[list[str]] = []
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: lineage is
     cut by files that survive a lost executor."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The saved result of ``make``; tables that were saved on the way are deleted."""
+    _OPEN.append([])
+    try:
+        out = make()
+        left = _OPEN[-1]
+    finally:
+        _OPEN.pop()
+    out = save(out, name)
+    for path in left:
+        at = out.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(out.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+    return out
+
+
 def with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` plus KEY, a unique bigint that orders documents as their ids do.
 

@@ -294,13 +294,8 @@ def components(links: DataFrame) -> DataFrame:
         edges = small
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` plus _hgl_n (set size), _hgl_component (id of the first row of the
-    group) and _hgl_kept (it is that row)."""
-    spark = docs.sparkSession
-    common.ready(spark)
-    keyed = common.with_key(docs, id_col, text_col).withColumn("_hgl_text", F.col(text_col))
-    plain = keyed.select(KEY, "_hgl_text")
+def _memberships(plain: DataFrame) -> DataFrame:
+    """(KEY, _hgl_n, _hgl_root) of rows (KEY, _hgl_text): the set's size and the group's first key."""
     rows = common.save(plain.mapInArrow(sketch_rows, SKETCH_SCHEMA), "sketches")
     full = rows.where("n > 0")
     classes = common.save(full.groupBy("n", "s1", "s2").agg(F.min(KEY).alias("rep")), "classes")
@@ -325,9 +320,19 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rest = common.save(rest.join(star, ["u", "v"], "left_anti"), "rest")
     more = _confirmed(rest, reps, plain)
     root = components(links.union(more))
-    member_of = (rows.select(KEY, "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left")
-                 .join(root, F.col("rep") == F.col("node"), "left")
-                 .select(KEY, F.col("n").alias("_hgl_n"), F.coalesce("root", "rep", KEY).alias("_hgl_root")))
+    return (rows.select(KEY, "n", "s1", "s2").join(classes, ["n", "s1", "s2"], "left")
+            .join(root, F.col("rep") == F.col("node"), "left")
+            .select(KEY, F.col("n").alias("_hgl_n"), F.coalesce("root", "rep", KEY).alias("_hgl_root")))
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` plus _hgl_n (set size), _hgl_component (id of the first row of the
+    group) and _hgl_kept (it is that row)."""
+    spark = docs.sparkSession
+    common.ready(spark)
+    keyed = common.with_key(docs, id_col, text_col).withColumn("_hgl_text", F.col(text_col))
+    plain = keyed.select(KEY, "_hgl_text")
+    member_of = common.alone(lambda: _memberships(plain), "members")
     ids = keyed.select(F.col(KEY).alias("_hgl_root"), F.col(id_col).alias("_hgl_component"))
     member_of = member_of.join(ids, "_hgl_root").select(
         KEY, "_hgl_n", "_hgl_component", (F.col("_hgl_root") == F.col(KEY)).alias("_hgl_kept"))

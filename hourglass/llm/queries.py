@@ -82,5 +82,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_suffix_dedup, op4_host_quality, op5_toxicity, op6_pack,
                             op7_quote_links, op8_langid, op9_near_dedup, op10_url_rules)
 }
-ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op4_host_quality": host_quality.ORACLE,
-                           "op7_quote_links": quote_links.ORACLE, "op10_url_rules": url_rules.ORACLE}
+ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op3_suffix_dedup": suffix_dedup.ORACLE, "op4_host_quality": host_quality.ORACLE,
+                           "op7_quote_links": quote_links.ORACLE, "op9_near_dedup": near_dedup.ORACLE,
+                           "op10_url_rules": url_rules.ORACLE}

@@ -23,7 +23,8 @@ bytes they cover (under 2 * length).
 Skew: an anchor that a sample of documents shows to be frequent is dealt out by
 (anchor, key); its rows then always go on to the next step, so the sample
 decides only where rows go.  An anchor with over HOT contexts is not gathered:
-its strings are compared one by one as (hash, key, place) rows in sorted order.
+its strings are compared one by one as (hash, key, place) rows in sorted order, each string's
+places first in DEALT parts.
 
 Null and empty texts: no bytes, nothing removed.  Repeated rows, repeated or
 null ids: separate documents in the order of ``with_key``.  Very long texts: cut in overlapping segments
@@ -41,6 +42,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common, text
 from .common import KEY
@@ -308,21 +310,32 @@ def _strings(length: int):
     return run
 
 
-def _later(length: int):
-    """Over rows sorted by (w1, w2, key, lo): all but the first of each string."""
-    def run(batches):
-        last = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            w1, w2, key, lo = (np.asarray(b.column(k)) for k in range(4))
-            again = np.zeros(len(w1), bool)
-            again[1:] = (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])
-            again[0] = last == (w1[0], w2[0])
-            last = (w1[-1], w2[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(key[again]), pa.array(lo[again]), pa.array(lo[again] + length)],
-                                             [KEY, "lo", "hi"])
-    return run
+STRINGS = f"w1 bigint, w2 bigint, {KEY} bigint, lo bigint"
+DEALT = 64                 # parts in which the places of one string are first compared
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by (w1, w2, key, lo): the rows with ``later``, true for all but the first of each string."""
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        w1, w2 = np.asarray(b.column(0)), np.asarray(b.column(1))
+        again = np.zeros(len(w1), bool)
+        again[1:] = (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1])
+        again[0] = last == (w1[0], w2[0])
+        last = (w1[-1], w2[-1])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(again)], names=[*b.schema.names, "later"])
+
+
+def _later(strings: DataFrame) -> DataFrame:
+    """Places of strings (STRINGS) that start earlier.  A frequent string's places
+    are first compared in DEALT parts; only the first of each part meet."""
+    def marked(rows, *by):
+        return (rows.repartition(*by).sortWithinPartitions("w1", "w2", KEY, "lo").mapInArrow(_marked, STRINGS + ", later boolean"))
+    parts = common.save(marked(strings, F.xxhash64("w1", F.pmod(F.xxhash64(KEY), F.lit(DEALT)))), "strings")
+    firsts = marked(parts.where("not later").drop("later"), "w1")
+    return parts.where("later").union(firsts.where("later")).select(KEY, "lo")
 
 
 SPAN_SCHEMA = f"{KEY} bigint, lo bigint, hi bigint"
@@ -364,9 +377,8 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     more = _with_bytes(more, docs)
     tree = (more.where("crowd is null").drop("crowd").repartition("a").sortWithinPartitions("a", KEY, "lo")
             .mapInArrow(_repeats(length, False), SPAN_SCHEMA))
-    crowd = (more.where("crowd").drop("crowd").mapInArrow(_strings(length), f"w1 bigint, w2 bigint, {KEY} bigint, lo bigint")
-             .repartition("w1").sortWithinPartitions("w1", "w2", KEY, "lo")
-             .mapInArrow(_later(length), SPAN_SCHEMA))
+    strings = more.where("crowd").drop("crowd").mapInArrow(_strings(length), STRINGS)
+    crowd = _later(strings).select(KEY, "lo", (F.col("lo") + length).alias("hi"))
     return spans.union(common.save(tree.union(crowd), "repeats"))
 
 
@@ -391,47 +403,73 @@ def merge(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[q, 0], far[np.append(q[1:] - 1, len(spans) - 1)]], 1)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text, spans' starts, spans' ends) -> what is left, and figures."""
-    for b in batches:
-        out = []
-        for key, t, lo, hi in zip(*(b.column(k).to_pylist() for k in range(4))):
-            raw = (t or "").encode()
-            runs = merge(np.array([lo, hi], np.int64).T) if lo else np.zeros((0, 2), np.int64)
-            cuts = runs.tolist()
-            left, at, whole, whole_at = [], 0, [], 0
-            for x, y in cuts:
-                left.append(raw[at:x])
-                at = y
-                # for the text, whole characters only: what is left of a cut character stays
-                while x < y and x < len(raw) and raw[x] & 0xC0 == 0x80:
-                    x += 1
-                while y > x and y < len(raw) and raw[y] & 0xC0 == 0x80:
-                    y -= 1
-                whole.append(raw[whole_at:x])
-                whole_at = y
-            kept = b"".join(left) + raw[at:] if cuts else raw
-            rest = (b"".join(whole) + raw[whole_at:]).decode() if cuts else t
-            out.append((key, len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), rest))
-        cols = list(zip(*out)) or [[]] * 6
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))],
-            [KEY, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+FIGURES = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
+
+
+def cut(raw: bytes, lo: list[int] | None, hi: list[int] | None) -> tuple[bytes, int, bytes]:
+    """(what the spans leave, number of runs removed, the same with whole characters)."""
+    runs = merge(np.array([lo, hi], np.int64).T).tolist() if lo else []
+    left, at, whole, whole_at = [], 0, [], 0
+    for x, y in runs:
+        left.append(raw[at:x])
+        at = y
+        while x < y and raw[x] & 0xC0 == 0x80:               # a character that is cut stays
+            x += 1
+        while y > x and y < len(raw) and raw[y] & 0xC0 == 0x80:
+            y -= 1
+        whole.append(raw[whole_at:x])
+        whole_at = y
+    return b"".join(left) + raw[at:], len(runs), b"".join(whole) + raw[whole_at:]
+
+
+def _cut_rows(names: list[str], text_at: int, kept: list[int], keep_text: bool):
+    """Rows (the documents' columns, key, spans' starts and ends) -> the columns ``kept`` and FIGURES."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for t, lo, hi in zip(b.column(text_at).to_pylist(), b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                raw = (t or "").encode()
+                left, runs, whole = cut(raw, lo, hi)
+                out.append((len(raw), len(raw) - len(left), runs, hashlib.sha256(left).hexdigest(), whole.decode() if runs else t))
+            cols = list(zip(*out)) or [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in kept] + [pa.array(list(c), k) for c, k in zip(cols, kinds)][:4 + keep_text],
+                                             names=names)
+    return run
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                 keep_text: bool = True) -> DataFrame:
     """``docs`` with, per row, n_bytes, n_removed, n_spans, kept_sha256 (of the
     exact remaining bytes) and kept_text (whole characters; null stays null),
-    as columns named ``_hgl_*``."""
+    as columns named ``_hgl_*``; without ``keep_text`` both texts are left out."""
     common.ready(docs.sparkSession)
-    keyed = common.with_key(docs, id_col, text_col).withColumn("_hgl_text", F.col(text_col))
-    spans = (repeat_spans(keyed.select(KEY, "_hgl_text"), length).groupBy(KEY)
-             .agg(F.collect_list(F.struct("lo", "hi")).alias("s"))
-             .select(KEY, F.col("s.lo").alias("los"), F.col("s.hi").alias("his")))
-    joined = keyed.select(KEY, "_hgl_text").join(spans, KEY, "left").select(KEY, "_hgl_text", "los", "his")
-    done = joined.mapInArrow(_cut, f"{KEY} bigint, n_bytes bigint, n_removed bigint, n_spans bigint, "
-                                   "kept_sha256 string, kept_text string")
-    figures = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * keep_text
-    done = done.select(KEY, *(F.col(c).alias(f"_hgl_{c}") for c in figures))
-    return keyed.drop("_hgl_text").join(done, KEY).drop(KEY)
+    keyed = common.with_key(docs, id_col, text_col)
+    plain = keyed.select(KEY, F.col(text_col).alias("_hgl_text"))
+
+    def spans() -> DataFrame:
+        return repeat_spans(plain, length).groupBy(KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("s")).select(
+            KEY, F.col("s.lo").alias("_hgl_lo"), F.col("s.hi").alias("_hgl_hi"))
+    joined = keyed.join(common.alone(spans, "spans"), KEY, "left").select(*docs.columns, KEY, "_hgl_lo", "_hgl_hi")
+    text_at = docs.columns.index(text_col)
+    kept = [k for k in range(len(docs.columns)) if keep_text or k != text_at]
+    kinds = (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.StringType())
+    out = T.StructType([docs.schema[k] for k in kept] + [T.StructField(f"_hgl_{f}", t) for f, t in zip(FIGURES, kinds)][:4 + keep_text])
+    return joined.mapInArrow(_cut_rows(out.names, text_at, kept, keep_text), out)
+
+
+ORACLE = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i - 1, {2 * LENGTH})) AS g
+      FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - {LENGTH - 2})) AS i FROM d)),
+f AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM
+      (SELECT *, CAST(i - lag(i, 1, -{LENGTH}) OVER (PARTITION BY doc_id ORDER BY i) > {LENGTH} AS INTEGER) AS fresh FROM f)),
+r AS (SELECT doc_id, run, min(i) AS lo, max(i) + {LENGTH - 1} AS hi FROM g GROUP BY doc_id, run),
+p AS (SELECT *, lag(hi, 1, 0) OVER (PARTITION BY doc_id ORDER BY lo) AS before FROM r),
+k AS (SELECT doc_id, h, count(lo) AS n_spans, coalesce(sum(hi - lo + 1), 0) AS n_removed,
+        coalesce(string_agg(substr(h, 2 * before + 1, 2 * (lo - 1 - before)), '' ORDER BY lo), '')
+        || substr(h, 2 * coalesce(max(hi), 0) + 1) AS kept
+      FROM d LEFT JOIN p USING (doc_id) GROUP BY doc_id, h)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM k
+"""
