@@ -34,7 +34,7 @@ VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 RANK_SHIFT = 10
 BYTE_SCORE = -14.0
-MAX_NODES = 400_000
+MAX_NODES = 1_000_000
 LONG = 256                 # characters of a pre-token that is not stored
 
 
@@ -66,20 +66,19 @@ class Trie:
 
     def forward(self, word: str, end: int, best: list[float], tokens: list[int]) -> tuple[float, int]:
         """Score and tokens of word[:end] from those of its prefixes."""
-        size = len(word[end - 1].encode("utf-8", "surrogatepass"))
-        top, n = -math.inf, 0
-        for k in range(1, min(end, self.longest) + 1):
-            s = self.scores.get(word[end - k:end])
-            if s is None:
-                if k > 1:
-                    continue
-                s, add = BYTE_SCORE * size, size
-            else:
-                add = 1
-            s += best[end - k]
-            t = tokens[end - k] + add
-            if s > top or s == top and t < n:
-                top, n = s, t
+        get = self.scores.get
+        top, n = get(word[end - 1]), 1
+        if top is None:
+            n = len(word[end - 1].encode("utf-8", "surrogatepass"))
+            top = BYTE_SCORE * n
+        top += best[end - 1]
+        n += tokens[end - 1]
+        for start in range(end - 2, max(end - self.longest, 0) - 1, -1):
+            s = get(word[start:end])
+            if s is not None:
+                s += best[start]
+                if s > top or s == top and tokens[start] + 1 < n:
+                    top, n = s, tokens[start] + 1
         return top, n
 
     def add(self, word: str) -> int:
