@@ -187,11 +187,20 @@ def interval_tree(buf: np.ndarray, begins: np.ndarray, group: np.ndarray, key: n
     if not len(keep):
         return
     s, row, place, cls = s[keep], row[keep], place[keep], cls[keep]
-    stop = begins[row + 1]
+    before = np.where(place > 0, buf[np.maximum(s - 1, 0)].astype(np.int64), -1 - np.arange(len(s)))
+    for size, at in _scan(buf, s, begins[row + 1], cls, before, key[row], lo[row] + place, length):
+        yield size, row[at], place[at]
+
+
+def _scan(buf: np.ndarray, s: np.ndarray, stop: np.ndarray, cls: np.ndarray, before: np.ndarray, key: np.ndarray,
+          start: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Maximal repeats among the suffixes buf[s:stop], of which those of one class
+    share ``length`` bytes: (length, members), the least (key, start) in front.  ``before``:
+    the byte to the left, or a negative number of its own at an edge."""
     raw = buf.tobytes()
     tails = [raw[x + length:y] for x, y in zip(s.tolist(), stop.tolist())]
     order = np.array(sorted(range(len(s)), key=lambda i: (cls[i], tails[i])), np.int64)
-    s, row, place, cls, stop = s[order], row[order], place[order], cls[order], stop[order]
+    s, cls, stop = s[order], cls[order], stop[order]
     lcp = np.zeros(len(s), np.int64)
     for x in range(1, len(s), 4096):                      # common prefix with the suffix before, on the bytes
         y = min(x + 4096, len(s))
@@ -200,9 +209,9 @@ def interval_tree(buf: np.ndarray, begins: np.ndarray, group: np.ndarray, key: n
         same = (p < stop[x - 1:y - 1, None]) & (q < stop[x:y, None])
         same &= buf[np.minimum(p, len(buf) - 1)] == buf[np.minimum(q, len(buf) - 1)]
         lcp[x:y] = np.where(same.all(1), len(span), np.argmin(same, 1)) * (cls[x:y] == cls[x - 1:y - 1])
-    before = np.where(place > 0, buf[np.maximum(s - 1, 0)].astype(np.int64), -1 - np.arange(len(s))).tolist()
+    before = before[order].tolist()
     rank = np.empty(len(s), np.int64)
-    rank[np.lexsort((lo[row] + place, key[row]))] = np.arange(len(s))
+    rank[np.lexsort((start[order], key[order]))] = np.arange(len(s))
     rank = rank.tolist()
     stack: list[list] = []                                # [lcp, first suffix, left byte or None, least rank's suffix]
 
@@ -210,7 +219,7 @@ def interval_tree(buf: np.ndarray, begins: np.ndarray, group: np.ndarray, key: n
         if top[2] is None:                                # members differ to the left
             at = np.arange(top[1], end)
             at = np.concatenate(([top[3]], at[at != top[3]]))
-            return top[0], row[at], place[at]
+            return top[0], order[at]
         return None
 
     steps = lcp.tolist() + [0]
@@ -236,26 +245,21 @@ def interval_tree(buf: np.ndarray, begins: np.ndarray, group: np.ndarray, key: n
 CONTEXTS = 8192            # contexts taken together by one interval tree; whole groups
 
 
-def _repeats(length: int, all_occurrences: bool):
-    """Rows (a, key, lo, ctx) sorted by a -> spans of the occurrences to
-    remove, or (group, length, key, start) of all occurrences."""
+def _repeats(length: int):
+    """Rows (a, key, lo, ctx) sorted by a -> spans of the occurrences to remove."""
     def solve(a, key, lo, ctx):
         begins = np.zeros(len(ctx) + 1, np.int64)
         np.cumsum([len(x) for x in ctx], out=begins[1:])
         buf = np.frombuffer(b"".join(ctx), np.uint8)
-        g, k, st, ln = [], [], [], []
+        k, st, ln = [], [], []
         for size, rows, places in interval_tree(buf, begins, a, key, lo, length):
-            if not all_occurrences:
-                rows, places = rows[1:], places[1:]
-            g.append(np.full(len(rows), (int(a[rows[0]]) * 31 + size) % (1 << 62) if len(rows) else 0))
+            rows, places = rows[1:], places[1:]
             k.append(key[rows])
             st.append(lo[rows] + places)
             ln.append(np.full(len(rows), size))
         if not k:
             return None
-        k, st, ln, g = (np.concatenate(x).astype(np.int64) for x in (k, st, ln, g))
-        if all_occurrences:
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (g, ln, k, st)], ["repeat", "n", KEY, "lo"])
+        k, st, ln = (np.concatenate(x).astype(np.int64) for x in (k, st, ln))
         far = np.lexsort((-ln, st, k))                    # the longest from each place
         far = far[np.append(True, (k[far][1:] != k[far][:-1]) | (st[far][1:] != st[far][:-1]))]
         return pa.RecordBatch.from_arrays([pa.array(k[far]), pa.array(st[far]), pa.array(st[far] + ln[far])],
@@ -376,20 +380,150 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans, more = _contexts(docs, length)
     more = _with_bytes(more, docs)
     tree = (more.where("crowd is null").drop("crowd").repartition("a").sortWithinPartitions("a", KEY, "lo")
-            .mapInArrow(_repeats(length, False), SPAN_SCHEMA))
+            .mapInArrow(_repeats(length), SPAN_SCHEMA))
     strings = more.where("crowd").drop("crowd").mapInArrow(_strings(length), STRINGS)
     crowd = _later(strings).select(KEY, "lo", (F.col("lo") + length).alias("hi"))
     return spans.union(common.save(tree.union(crowd), "repeats"))
 
 
+INTERVALS = "repeat string, n bigint, a bigint, c bigint, place bigint"
+
+
+def _named(found, raw: bytes, s: np.ndarray, a: np.ndarray, c: np.ndarray, place: np.ndarray):
+    """INTERVALS of (length, members); a member that is given twice comes once."""
+    names, n, who = [], [], []
+    for size, at in found:
+        at = np.unique(at)
+        names += [xxhash.xxh3_128_hexdigest(raw[s[at[0]]:s[at[0]] + size])] * len(at)
+        n.append(np.full(len(at), size, np.int64))
+        who.append(at)
+    if not who:
+        return None
+    who = np.concatenate(who)
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string())] + [pa.array(x) for x in (np.concatenate(n), a[who], c[who], place[who])],
+                                      ["repeat", "n", "a", "c", "place"])
+
+
+def _class_repeats(length: int):
+    """Suffixes (SUFFIXES) sorted by (w1, w2) -> INTERVALS.  Whole classes are held: ints and at
+    most 2 * length - K bytes a suffix of a distinct context."""
+    def solve(t: pa.Table):
+        w1, w2, a, c, place, key, start, left = (t.column(k).to_numpy() for k in range(8))
+        twice, tails = t.column(8).to_numpy(), t.column(9).to_pylist()
+        begins = np.zeros(len(tails) + 1, np.int64)
+        np.cumsum([len(x) for x in tails], out=begins[1:])
+        raw = b"".join(tails)
+        cls = np.cumsum(np.append(0, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])))
+        at = np.concatenate((np.arange(len(w1)), np.flatnonzero(twice)))     # a copied context meets itself
+        count = np.bincount(cls[at])
+        at = at[count[cls[at]] >= 2]
+        if not len(at):
+            return None
+        before = np.where(left[at] < 0, -1 - np.arange(len(at)), left[at])
+        found = _scan(np.frombuffer(raw, np.uint8), begins[at], begins[at + 1], cls[at], before, key[at], start[at], length)
+        return _named(((size, at[x]) for size, x in found), raw, begins[:-1], a, c, place)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, enough = [], 0, CONTEXTS
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            rows += b.num_rows
+            if rows >= enough:
+                t = pa.Table.from_batches(held).combine_chunks()
+                last = t.column(0).to_numpy()
+                cut = int(np.searchsorted(last, last[-1]))                   # the last class may go on
+                if cut and (out := solve(t.slice(0, cut))) is not None:
+                    yield out
+                held, rows = t.slice(cut).to_batches(), t.num_rows - cut
+                enough = max(CONTEXTS, 2 * rows)
+        if held and (out := solve(pa.Table.from_batches(held))) is not None:
+            yield out
+    return run
+
+
+def _anchor_repeats(length: int):
+    """Contexts (a, c, key, lo, twice, ctx) sorted by a -> INTERVALS; their classes are made in the task."""
+    split, solve = _suffixes(length), _class_repeats(length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def anchors():                                                       # batches of whole anchors
+            held: list = []
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                held.append(b)
+                t = pa.Table.from_batches(held).combine_chunks()
+                a = t.column(0).to_numpy()
+                cut = int(np.searchsorted(a, a[-1]))
+                if cut:
+                    yield from t.slice(0, cut).to_batches()
+                held = t.slice(cut).to_batches()
+            yield from held
+
+        for b in split(anchors()):
+            by = np.lexsort((np.asarray(b.column(1)), np.asarray(b.column(0))))
+            yield from solve(iter([b.take(pa.array(by))]))
+    return run
+
+
+SUFFIXES = f"w1 bigint, w2 bigint, a bigint, c bigint, place bigint, {KEY} bigint, lo bigint, before int, twice boolean, tail binary"
+
+
+def _suffixes(length: int):
+    """Every suffix of at least ``length`` bytes of a context, with two hashes of its first ``length`` bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            a, c, key, lo, twice = (b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            ctx = b.column(5).to_pylist()
+            begins = np.zeros(len(ctx) + 1, np.int64)
+            np.cumsum([len(x) for x in ctx], out=begins[1:])
+            raw = b"".join(ctx)
+            buf = np.frombuffer(raw, np.uint8)
+            n = np.diff(begins) - length + 1
+            row = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+            s = begins[row] + place
+            head = text.kgram_hashes(buf, length)[s]
+            tail = text.kgram_hashes(buf ^ np.uint8(0xA5), length)[s]
+            left = np.where(place > 0, buf[np.maximum(s - 1, 0)].astype(np.int32), -1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (head.view(np.int64), tail.view(np.int64), a[row], c[row], place, key[row], lo[row] + place, left,
+                                       twice[row])]
+                + [pa.array([raw[x:y] for x, y in zip(s.tolist(), begins[row + 1].tolist())], pa.binary())],
+                ["w1", "w2", "a", "c", "place", KEY, "lo", "before", "twice", "tail"])
+    return run
+
+
 def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(repeat, n, key, lo): every occurrence of every maximal repeat among
-    the contexts that differ (at most 2 * length - K bytes a piece); occurrences of a
-    context that is equal elsewhere are given once."""
+    """(repeat, n, key, lo): every occurrence of every maximal repeat among the
+    runs' contexts (at most 2 * length - K bytes a piece; a longer passage comes as
+    overlapping pieces); ``repeat`` is a 128-bit hash of the piece's bytes.
+
+    A piece holds its anchor, so all its occurrences are runs of that anchor, one each.
+    Repeats are found among the distinct contexts (one that occurs again also repeats
+    itself) and joined back to all runs with these contexts.  The contexts of an anchor
+    with over HOT of them are dealt out by the string they share, not by anchor.  No sample is used.
+    """
+    common.ready(docs.sparkSession)
     keyed = common.with_key(docs, id_col, text_col).withColumn("_hgl_text", F.col(text_col))
-    _, more = _contexts(keyed, length)
-    return (_with_bytes(more, keyed).drop("crowd").repartition("a").sortWithinPartitions("a", KEY, "lo")
-            .mapInArrow(_repeats(length, True), f"repeat bigint, n bigint, {KEY} bigint, lo bigint"))
+    runs = common.save(keyed.select(KEY, "_hgl_text").mapInArrow(_anchor_rows(length), ANCHOR_SCHEMA), "runs")
+    first = F.min(F.struct(KEY, "lo", "n"))
+    contexts = runs.groupBy("a", "c").agg(first.alias("f"), (F.count(F.lit(1)) > 1).alias("twice")).select("a", "c", "f.*", "twice")
+    contexts = common.save(contexts, "contexts")
+    anchors = (contexts.groupBy("a").agg(F.count(F.lit(1)).alias("k"), F.max("twice").alias("t")).where("k > 1 or t")
+               .select("a", (F.col("k") > HOT).alias("crowd")))
+    more = common.save(contexts.join(anchors, "a").join(keyed.select(KEY, "_hgl_text"), KEY).select(
+        "a", "c", KEY, "lo", "twice", F.expr("substring(cast(_hgl_text as binary), cast(lo as int) + 1, n)").alias("ctx"), "crowd"), "bytes")
+    few = (more.where("not crowd").drop("crowd").repartition("a").sortWithinPartitions("a", KEY, "lo")
+           .mapInArrow(_anchor_repeats(length), INTERVALS))
+    crowd = (more.where("crowd").drop("crowd").mapInArrow(_suffixes(length), SUFFIXES).repartition("w1", "w2")
+             .sortWithinPartitions("w1", "w2", KEY, "lo").mapInArrow(_class_repeats(length), INTERVALS))
+    found = common.save(few.union(crowd), "intervals")
+    return found.join(runs.drop("n", "off"), ["a", "c"]).select("repeat", "n", KEY, (F.col("lo") + F.col("place")).alias("lo"))
 
 
 def merge(spans: np.ndarray) -> np.ndarray:

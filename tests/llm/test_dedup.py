@@ -93,6 +93,59 @@ def test_maximal_repeats_list_all_occurrences(spark):
     assert any(sorted(v) == [0, 1, 2, 3] and k[2] in p.encode() for k, v in found.items())
 
 
+def brute_maximal(texts, length=100):
+    """{piece: all its places} of the pieces that two runs of an anchor share around it, by plain search."""
+    import numpy as np
+    runs, out = defaultdict(list), {}
+    for key, raw in texts.items():
+        d = np.frombuffer(raw, np.uint8)
+        _, lo, hi, place, a = suffix_dedup.anchor_runs(d, np.array([0]), np.array([len(d)]), length)
+        for x, y, p, h in zip(lo.tolist(), hi.tolist(), place.tolist(), a.tolist()):
+            runs[h].append((raw[x:p][::-1], raw[p:y + length]))
+    shared = lambda x, y: next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+    for group in runs.values():
+        for i, (l1, r1) in enumerate(group):
+            for l2, r2 in group[:i]:
+                n, m = shared(l1, l2), shared(r1, r2)
+                if n + m >= length:
+                    out[l1[:n][::-1] + r1[:m]] = set()
+    for w, places in out.items():
+        for key, raw in texts.items():
+            at = raw.find(w)
+            while at >= 0:
+                places.add((key, at))
+                at = raw.find(w, at + 1)
+    return out
+
+
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_maximal_repeats_equal_brute_force(spark, monkeypatch, hot):
+    """Exact copies, copies of a long passage with different neighbours, and (hot=2) anchors over HOT."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    r = random.Random(2)
+    rnd = lambda n: "".join(r.choice("abcdefgh é") for _ in range(n))
+    long, short, copy = rnd(900), rnd(130), rnd(400)
+    rows = [(i, rnd(150) + long + rnd(150)) for i in range(4)] + [(i, rnd(80) + short[r.randint(0, 20):] + rnd(80)) for i in range(4, 12)]
+    rows += [(12, copy), (13, copy), (14, copy), (15, None), (16, ""), (17, rnd(300)), (18, copy[:150]), (19, rows[5][1])]
+    rows += [(20, "x" * 300)]
+    got = defaultdict(list)
+    for x in suffix_dedup.maximal_repeats(spark.createDataFrame(rows, "doc_id int, text string").repartition(3)).collect():
+        got[x["repeat"]].append((x["n"], x["_hgl_key"], x["lo"]))
+    texts = {k: (t or "").encode() for k, t in rows}
+    found = {}
+    for places in got.values():
+        (piece,) = {texts[k][lo:lo + n] for n, k, lo in places}          # one id, one string
+        assert piece not in found and len(places) == len(set(places))
+        found[piece] = {(k, lo) for _, k, lo in places}
+    assert found == brute_maximal(texts)
+    covered = {(k, i) for w, places in found.items() for k, lo in places for i in range(lo, lo + len(w) - 99)}
+    seen = defaultdict(set)
+    for k, t in texts.items():
+        for i in range(len(t) - 99):
+            seen[t[i:i + 100]].add((k, i))
+    assert covered == set().union(*(v for v in seen.values() if len(v) > 1))
+
+
 def shingle_set(t):
     w = (t or "").encode().lower().split()
     return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
