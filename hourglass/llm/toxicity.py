@@ -10,7 +10,7 @@ that training rows show only in documents that are not toxic).  The sum of weigh
 divided by the logarithm of the length, and a logistic curve, fitted to the training rows,
 makes it a score.
 
-Learning uses about SAMPLE labelled rows at most (by a hash of the id); counts are summed in
+Learning uses about SAMPLE labelled rows at most (by a hash of the id), of near copies the one of the least id; counts are summed in
 tasks before the shuffle and at most ENTRIES entries are kept, so the model is small.
 Scoring is one pass over all rows without a shuffle.
 
@@ -35,13 +35,15 @@ from pyspark.sql import types as T
 
 from . import common
 from .near_dedup import shingles
-from .text import utf8
+from .text import mix, utf8
 
 SAMPLE = 20_000
 ENTRIES = 5_000
 MIN_DOCS = 3
 LEAST = 1.5
 STEMS = (4, 5, 6)
+HASHES = 16                # least shingle hashes of a labelled row
+AGREE = 12                 # equal ones that make it a near copy
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = str.maketrans("авеёікмнорстухѕјԁɡαβεικνορτυχ", "abeeikmhopctyxsjdgabeikvoptux")
 #: Digits and signs that stand for letters.
@@ -114,15 +116,37 @@ class Matcher:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, toxic) with the least hash of the text's 5-word shingles: near copies mostly share
-    it, so that words of one copied text don't pass for words of many."""
+    """(id, text, toxic) with the least values of the text's 5-word shingles under HASHES hashes."""
+    salts = mix(np.arange(1, HASHES + 1, dtype=np.uint64))
     for b in batches:
-        d, o = utf8(b.column(0))
+        d, o = utf8(b.column(1))
         row, value = shingles(d[o[0]:o[-1]], o - o[0])
-        sig = np.zeros(b.num_rows, np.int64)
-        first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
-        sig[row[first]] = value[first].view(np.int64)       # sorted by row and value
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sig)], ["text", "toxic", "sig"])
+        sig = np.zeros((b.num_rows, HASHES), np.uint64)
+        if len(row):
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            for k, salt in enumerate(salts):
+                sig[row[first], k] = np.minimum.reduceat(mix(value ^ salt), first)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, sig.size + 1, HASHES, dtype=np.int32)), pa.array(sig.view(np.int64).ravel()))
+        yield pa.RecordBatch.from_arrays([*b.columns, lists], ["id", "text", "toxic", "sig"])
+
+
+def distinct_rows(rows: DataFrame) -> DataFrame:
+    """(id, text, toxic) without near copies of the same label, so that words of one copied text don't
+    pass for words of many.  A row goes if a row of a lesser id has AGREE of its HASHES least shingle
+    hashes; documents that only share a passage agree in fewer and stay.  Rows with all hashes equal
+    become one before any are compared, so many copies of a text don't meet in one task."""
+    kind = T.StructType([*(rows.schema[c] for c in ("id", "text", "toxic")), T.StructField("sig", T.ArrayType(T.LongType()))])
+    one = common.save(rows.select("id", "text", "toxic").mapInArrow(_signed, kind).groupBy("toxic", "sig")
+                      .agg(F.min(F.struct("id", "text")).alias("f")).select("f.id", "f.text", "toxic", "sig"), "signed")
+    place = F.struct("id", F.xxhash64("text").alias("h"))
+    bins = one.select(place.alias("at"), "toxic", "sig", F.posexplode("sig").alias("j", "v"))
+    first = (bins.groupBy("toxic", "j", "v").agg(F.min(F.struct("at", "sig")).alias("f"), F.count(F.lit(1)).alias("k"))
+             .where("k > 1").select("toxic", "j", "v", F.col("f.at").alias("at0"), F.col("f.sig").alias("sig0")))
+    agree = F.aggregate(F.zip_with("sig", "sig0", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
+    again = (bins.join(first, ["toxic", "j", "v"]).where((F.col("at0") < F.col("at")) & (agree >= AGREE))
+             .select("at.id", "at.h", "toxic").distinct())
+    return common.save(one.withColumn("h", F.xxhash64("text")).join(again, ["id", "h", "toxic"], "left_anti")
+                       .select("id", "text", "toxic"), "distinct")
 
 
 def _counted(batches: Iterator[pa.RecordBatch], candidates) -> Iterator[pa.RecordBatch]:
@@ -180,12 +204,11 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * share))      # about ``sample`` rows: broadcast
     rows = common.save(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
                        .join(F.broadcast(known), "id"), "labelled")
-    n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    pos, neg = n.get(1, 0), n.get(0, 0)
+    distinct = distinct_rows(rows)
+    n = {r["toxic"]: r["count"] for r in distinct.groupBy("toxic").count().collect()}
+    pos, neg = n.get(1, 0), n.get(0, 0)          # of the same rows as the entries' counts
     if not pos or not neg:
         return {"weights": {}, "exceptions": [], "slope": 0.0, "offset": 30.0 if pos else -30.0}
-    distinct = common.save(rows.select("text", "toxic").mapInArrow(_signed, "text string, toxic int, sig bigint")
-                           .dropDuplicates(["sig", "toxic"]), "distinct")
     odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
     low = odds - F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
     kept = (_totals(distinct, entries_of).where(F.col("pos") >= F.lit(max(MIN_DOCS, pos // 200))).select("entry", odds.alias("w"), low.alias("low"))

@@ -69,6 +69,29 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r["predicted"] for r in held if labels[r["doc_id"]]) >= 0.6 * sum(labels[r["doc_id"]] for r in held)
 
 
+@pytest.mark.parametrize("copied", [0, 1])
+def test_toxicity_with_one_document_copied_to_a_third(spark, copied):
+    """Copies of one document change neither the odds nor which words are found."""
+    r = random.Random(4)
+    clean = [f"plain{i}" for i in range(300)]
+    bad = [f"{a}{b}grub" for a in ("za", "ke", "mo", "tu") for b in ("rx", "vl", "pq")]
+    text = lambda y: " ".join(r.choice(clean) for _ in range(25)) + (f" {r.choice(bad)}" if y else "") + f" {r.choice(clean)}"
+    rows = [(i, text(i % 2), i % 2) for i in range(600)]
+    one = next(t for _, t, y in rows if y == copied)
+    more = rows + [(600 + i, one, copied) for i in range(300)]
+    share = "a passage that very many of the documents have in common"
+    apart = [(i, f"{share} {t} {t[::-1]}", y) for i, t, y in rows[:40]]
+
+    def model(given):
+        df = spark.createDataFrame(given, "doc_id bigint, text string, toxic int").repartition(4)
+        return toxicity.fit(df.drop("toxic"), df.drop("text"))
+    with_copies, without = model(more), model(rows)
+    assert with_copies["weights"] == without["weights"] and {f" {w} " for w in bad} <= set(without["weights"])
+    assert with_copies["slope"] == pytest.approx(without["slope"]) and with_copies["offset"] == pytest.approx(without["offset"])
+    left = toxicity.distinct_rows(spark.createDataFrame(more + [(9000 + i, t, y) for i, t, y in apart], "id bigint, text string, toxic int"))
+    assert sorted(x["id"] for x in left.collect()) == [i for i, _, _ in rows] + [9000 + i for i, _, _ in apart]
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in ODD], "doc_id bigint, text string, score string")
     none = spark.createDataFrame([(1, None)], "doc_id bigint, toxic int")
