@@ -54,7 +54,13 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quote_links.threads(table(spark, sf_dir, "conversations"))
+    return quote_links.threads(table(spark, sf_dir, "conversations")).drop("links")
+
+
+def op7_quote_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of all quote levels, a row a message that has any."""
+    out = quote_links.threads(table(spark, sf_dir, "conversations"))
+    return out.where("links is not null").select("conv_id", "turn", "role", "links")
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +86,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_suffix_dedup, op4_host_quality, op5_toxicity, op6_pack,
-                            op7_quote_links, op8_langid, op9_near_dedup, op10_url_rules)
+                            op7_quote_links, op7_quote_levels, op8_langid, op9_near_dedup, op10_url_rules)
 }
 ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op3_suffix_dedup": suffix_dedup.ORACLE, "op4_host_quality": host_quality.ORACLE,
                            "op7_quote_links": quote_links.ORACLE, "op9_near_dedup": near_dedup.ORACLE,

@@ -6,10 +6,11 @@ hashed; so are every message's own text, its paragraphs and lines.  A quote link
 earlier message of its conversation whose first occurrence of the hashed text it has the
 most words of (then the earliest).  A quote without such a message, of at least
 FAR_WORDS words, links to the first occurrence in any conversation.  Level 1 names the message replied to,
-level 2 what that one quoted, and so on.
+level 2 what that one quoted, and so on; ``links`` has them all.  Where level 1 has no link, the least level that
+has one gives the message's place (its ``reply_to`` is then the nearest message above that is known).
 
 Messages come back without quotes and attribution lines, with ``reply_to``, ``depth`` (replies
-above) and ``thread`` (the turn that starts the exchange, by pointer jumping):
+above that are linked) and ``thread`` (the turn that starts the exchange, by pointer jumping):
 ordered by (conversation, thread, turn), every message follows the one it replies to.
 
 Joins are by hash to one row a hash (the first occurrence, taken with partial sums), so
@@ -107,19 +108,24 @@ def roots(parents: DataFrame) -> DataFrame:
 
 def threads(messages: DataFrame, **names) -> DataFrame:
     """One row a distinct message: conv_id, turn, role, text (without quotes), n_quoted (lines), reply_conv,
-    reply_to (turn), thread, depth, chat (the text under its role)."""
+    reply_to (turn), thread, depth, chat (the text under its role), links (level, conv, turn of each linked level)."""
     parsed = parse(messages, **names)
-    found = common.save(links(messages, **names).where("level = 1"), "links")
+    level = F.struct("level", "to_c", "to_t")
+    found = common.save(links(messages, **names).groupBy("c", "t").agg(F.min(level).alias("b"), F.array_sort(F.collect_list(level)).alias("all"))
+                        .select("c", "t", "b.to_c", "b.to_t", "all"), "links")
     inside = found.where("to_c = c").select("c", "t", F.col("to_t").alias("p"))
     placed = roots(inside)
-    out = parsed.join(found.select("c", "t", "to_c", "to_t"), ["c", "t"], "left").join(placed, ["c", "t"], "left")
+    out = parsed.join(found, ["c", "t"], "left").join(placed, ["c", "t"], "left")
     turn = lambda c: F.when(F.col(c) != LAST, F.col(c))
+    every = F.transform("all", lambda x: F.struct(
+        x["level"].alias("level"), F.when(x["to_c"] != "n", F.substring(x["to_c"], 2, 1 << 30)).alias("conv"),
+        F.when(x["to_t"] != LAST, x["to_t"]).alias("turn")))
     return out.select(
         F.col("conv").alias("conv_id"), "turn", "role", F.col("own").alias("text"),
         F.size(F.filter("lines", lambda x: x["level"] > 0)).cast("bigint").alias("n_quoted"),
         F.when(F.col("to_c") != "n", F.expr("substring(to_c, 2)")).alias("reply_conv"), turn("to_t").alias("reply_to"),
         F.coalesce("root", turn("t")).alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"),
-        F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), F.col("own")).alias("chat"))
+        F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), F.col("own")).alias("chat"), every.alias("links"))
 
 
 _NORMAL = r"trim(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"

@@ -188,6 +188,24 @@ def test_quotes_are_linked_and_removed(spark):
     assert quote_links.threads(df.limit(0)).count() == 0
 
 
+def test_messages_with_only_nested_quotes_have_a_place(spark):
+    rows = [
+        (1, 0, "user", "How do I sort a list?"),
+        (1, 1, "assistant", "> How do I sort a list?\nUse sorted() on it."),
+        (1, 2, "user", "> > Use sorted() on it.\nThat works"),                            # level 1 is trimmed
+        (1, 3, "user", "> an edited line\n> > How do I sort a list?\nAnd this one"),      # level 1 is edited
+        (1, 4, "user", "> That works\n> > Use sorted() on it.\n> > > How do I sort a list?\nFine"),
+        (1, 5, "user", "A new subject"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {r["turn"]: r for r in quote_links.threads(df).collect()}
+    see = {t: (r["reply_conv"], r["reply_to"], r["thread"], r["depth"], [tuple(x) for x in r["links"] or ()]) for t, r in got.items()}
+    assert see[2] == ("1", 1, 0, 2, [(2, "1", 1)])
+    assert see[3] == ("1", 0, 0, 1, [(2, "1", 0)])
+    assert see[4] == ("1", 2, 0, 3, [(1, "1", 2), (2, "1", 1), (3, "1", 0)])
+    assert see[5] == (None, None, 5, 0, [])
+
+
 def test_quote_links_equal_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{SF01}/conversations.parquet')")
