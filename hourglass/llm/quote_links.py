@@ -5,7 +5,7 @@ lines of one level) and their lines are normalised (lower case, letters and digi
 hashed; so are every message's own text, its paragraphs and lines.  A quote links to the
 earlier message of its conversation whose first occurrence of the hashed text it has the
 most words of (then the earliest).  A quote without such a message, of at least
-FAR_WORDS words, links to the first occurrence in any conversation.  Level 1 names the message replied to,
+FAR_WORDS words, links to the first occurrence in any other conversation.  Level 1 names the message replied to,
 level 2 what that one quoted, and so on; ``links`` has them all.  Where level 1 has no link, the least level that
 has one gives the message's place (its ``reply_to`` is then the nearest message above that is known).
 
@@ -13,7 +13,7 @@ Messages come back without quotes and attribution lines, with ``reply_to``, ``de
 above that are linked) and ``thread`` (the turn that starts the exchange, by pointer jumping):
 ordered by (conversation, thread, turn), every message follows the one it replies to.
 
-Joins are by hash to one row a hash (the first occurrence, taken with partial sums), so
+Joins are by hash to one row a hash (the first occurrence, taken with partial sums; far ones: those of two conversations), so
 a line that a third of all messages share stays one row, and no pairs of messages are made.
 
 Null and empty texts: no lines, empty text.  Null conversation: a conversation of its
@@ -85,9 +85,13 @@ def links(messages: DataFrame, **names) -> DataFrame:
     asked = quotes.select("h", "d").distinct()
     origin = common.save(_origins(parsed).join(asked, ["h", "d"], "left_semi").groupBy("c", "h", "d").agg(F.min("t").alias("to_t")), "origins")
     near = quotes.join(origin, ["c", "h", "d"]).where("to_t < t").select("c", "t", "level", F.col("c").alias("to_c"), "to_t", "words")
-    anywhere = origin.groupBy("h", "d").agg(F.min(F.struct("c", "to_t")).alias("o")).select("h", "d", "o.*").withColumnRenamed("c", "to_c")
+    # the two first conversations of a hash (Spark limits each task's rows before the shuffle): one of them isn't the quote's own
+    rank = F.row_number().over(Window.partitionBy("h", "d").orderBy("c"))
+    anywhere = (origin.withColumn("k", rank).where("k <= 2").groupBy("h", "d")
+                .agg(F.array_sort(F.collect_list(F.struct(F.col("c").alias("to_c"), "to_t"))).alias("o")))
+    other = F.get(F.filter("o", lambda x: x["to_c"] != F.col("c")), F.lit(0))
     far = (quotes.join(near.select("c", "t", "level").distinct(), ["c", "t", "level"], "left_anti").where(F.col("words") >= FAR_WORDS)
-           .join(anywhere, ["h", "d"]).where("to_c <> c").select("c", "t", "level", "to_c", "to_t", "words"))
+           .join(anywhere, ["h", "d"]).withColumn("o", other).where("o is not null").select("c", "t", "level", "o.to_c", "o.to_t", "words"))
     return (near.union(far).groupBy("c", "t", "level", "to_c", "to_t").agg(F.sum("words").alias("words"))
             .groupBy("c", "t", "level").agg(F.min(F.struct((-F.col("words")).alias("w"), "to_c", "to_t")).alias("b"))
             .select("c", "t", "level", "b.to_c", "b.to_t", (-F.col("b.w")).alias("words")))

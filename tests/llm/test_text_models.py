@@ -206,6 +206,16 @@ def test_messages_with_only_nested_quotes_have_a_place(spark):
     assert see[5] == (None, None, 5, 0, [])
 
 
+def test_far_quotes_skip_the_own_conversation(spark):
+    """The quoting conversation repeats the passage itself, later, and comes before the original's."""
+    line = "the quick brown fox jumps over the lazy dog again"
+    rows = [(1, 0, "user", f"> {line}\n\n{line}"), (1, 1, "user", line), (2, 0, "user", "hello"), (2, 1, "user", line), (3, 0, "user", line)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {(r["conv_id"], r["turn"]): (r["reply_conv"], r["reply_to"], r["thread"]) for r in quote_links.threads(df).collect()}
+    assert got[1, 0] == ("2", 1, 0)
+    assert all(v[:2] == (None, None) for k, v in got.items() if k != (1, 0))
+
+
 def test_quote_links_equal_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{SF01}/conversations.parquet')")
