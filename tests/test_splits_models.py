@@ -147,3 +147,33 @@ def test_search_fits_all_rows_unless_a_fraction_is_given(spark, monkeypatch, fra
     else:
         assert all(0 < sizes[j] < 0.4 * whole for j, whole in {0: 150, 1: 300, 2: 450}.items())
     assert all(np.isfinite(r["mean_rmse"]) for r in results)
+
+
+def test_registered_searches_cover_the_reference_spaces(spark, monkeypatch):
+    """The points and folds each search gets, and that the best point is refit; fits are cut to one round here."""
+    from hourglass.plans import model_queries
+    from hourglass.session import scratch_path
+    asked, gbt = [], models.gbt
+
+    def search(df, index_col, features, label, make, points, k=3, **kw):
+        asked.append((points, k, label, kw.get("by", "mean_rmse")))
+        for p in points:
+            make(**p)
+        return points[-1], [{"point": i, "params": p, "mean_rmse": 1.0, "mean_mae": 1.0} for i, p in enumerate(points)]
+
+    made = []
+    monkeypatch.setattr(models, "search", search)
+    monkeypatch.setattr(models, "gbt", lambda label, rounds=500, **kw: made.append((rounds, kw)) or gbt(label, rounds=1, **kw))
+    sf = "/root/testdata/sf0.001"
+    rows = model_queries.random_search(spark, sf).collect()
+    points, k, _, _ = asked.pop()
+    assert points == models.random_points(models.BOOST_RANDOM_SPACE_3FOLD, 24) and k == 3 and len(rows) == 24
+    assert [r["test_rmse"] is not None for r in rows] == [r["best"] for r in rows] and sum(r["best"] for r in rows) == 1
+    assert made[-1][0] == points[-1]["n_estimators"]
+    rows = model_queries.log_target_metrics(spark, sf).collect()
+    points, k, label, by = asked.pop()
+    assert points == models.random_points(models.BOOST_RANDOM_SPACE_5FOLD, 20) and (k, label, by) == (5, "log_n", "mean_mse")
+    assert len(rows) == 6 and {r["params"] for r in rows} == {str(sorted(points[-1].items()))}
+    monkeypatch.setattr(models, "forest", lambda label, **kw: gbt(label, rounds=1, num_leaves=2))
+    assert {r["note"] for r in model_queries.train_all(spark, sf, scratch_path(spark, "models")).collect()} == {"searched"}
+    assert models.param_grid(models.BOOST_GRID) in [a[0] for a in asked]
