@@ -35,5 +35,5 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 4096 tokens."""
-    return packing.pack(docs)
+    """Pieces of the documents, with their token ids, in sequences of at most 4096 tokens."""
+    return packing.pack(docs, keep_ids=True)

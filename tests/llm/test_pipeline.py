@@ -96,3 +96,11 @@ def test_stages_keep_the_columns(spark, rows):
             assert got == {r[0] for r in rows if r in GOOD}
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF001).collect()
     assert sorted({str(r["doc_id"]) for r in pieces}) == sorted({str(r[0]) for r in rows})
+
+
+def test_pack_stage_returns_the_tokens(spark):
+    from hourglass.llm import stages
+    docs = spark.createDataFrame([(1, "some words of a text"), (2, "word " * 5000), (3, None)], "doc_id bigint, text string")
+    rows = stages.pack(spark, docs, SF001).collect()
+    assert len(rows) > 3
+    assert all(len(r["ids"]) == r["length"] and zlib.crc32(array("I", r["ids"]).tobytes()) == r["ids_crc32"] for r in rows)
