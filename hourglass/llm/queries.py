@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (common, decontaminate, host_quality, langid, near_dedup, packing, quote_links, suffix_dedup, toxicity,
-               unigram_counts, url_rules)
+from . import (collocations, common, decontaminate, host_quality, langid, near_dedup, packing, quote_links, spelling,
+               suffix_dedup, toxicity, unigram_counts, url_rules, window_dedup)
 from .common import table
 
 
@@ -84,10 +84,27 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", *(F.col(f"_hgl_{c}").alias(c) for c in ("host", "path", "rule", "verdict")))
 
 
+def op11_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = window_dedup.cut_windows(docs, keep_text=False)
+    return out.select("doc_id", *(F.col(f"_hgl_{c}").alias(c) for c in ("n_words", "n_removed", "kept_sha256")))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.variants(docs).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_suffix_dedup, op4_host_quality, op5_toxicity, op6_pack,
-                            op7_quote_links, op7_quote_levels, op8_langid, op9_near_dedup, op10_url_rules)
+                            op7_quote_links, op7_quote_levels, op8_langid, op9_near_dedup, op10_url_rules,
+                            op11_window_dedup, op12_spelling, op13_collocations)
 }
 ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op3_suffix_dedup": suffix_dedup.ORACLE, "op4_host_quality": host_quality.ORACLE,
                            "op7_quote_links": quote_links.ORACLE, "op9_near_dedup": near_dedup.ORACLE,
-                           "op10_url_rules": url_rules.ORACLE}
+                           "op10_url_rules": url_rules.ORACLE, "op11_window_dedup": window_dedup.ORACLE,
+                           "op12_spelling": spelling.ORACLE, "op13_collocations": collocations.ORACLE}

@@ -62,12 +62,12 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(p)
 
 
-def word_spans(data: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, o: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first word of each row and the end) of the maximal runs
-    of bytes other than \\x20 and \\x09-\\x0D; ``o`` starts at 0."""
+    of bytes other than ``gaps`` (\\x20 and \\x09-\\x0D); ``o`` starts at 0."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(o), np.int64)
-    w = ~SPACE[data]
+    w = ~gaps[data]
     before = np.zeros(len(w) + 1, bool)
     before[1:] = w
     begins = o[:-1][o[:-1] < len(w)]
