@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, ship
+from . import boosting
 from .evaluate import regression_metrics
 from .split import count_rows, expanding_folds, hash_split
 
@@ -88,6 +89,24 @@ def fit_gbt(df, features, label, rounds: int = 500, rate: float = 0.05, **kw) ->
     return fit(df, features, gbt(label, rounds, rate, **kw))
 
 
+def fit_boosted(df, features, label, rounds: int = 500, rate: float = 0.05, maxDepth: int | None = None, num_leaves: int = 31) -> PipelineModel:
+    """M2: boosted trees grown in one job (:mod:`boosting`); the defaults are the reference booster's,
+    500 rounds at 0.05 with 31 leaves."""
+    depth = maxDepth if maxDepth is not None else max(1, math.ceil(math.log2(num_leaves)))
+    return boosting.fit_boosted(df, features, label, rounds, rate, depth)
+
+
+def search_boosted(df: DataFrame, index_col: str, features, label: str, points: Sequence[dict], k: int = 3, n: int | None = None,
+                   by: str = "mean_rmse") -> tuple[dict, list[dict]]:
+    """M5 / M6 for boosted trees: :func:`search` of the reference's points, with one fit per (rate, depth) and fold."""
+    return boosting.search_boosted(df, index_col, features, label, points, boost_params, _run_all, k, n, by)
+
+
+def cross_validate_boosted(df: DataFrame, index_col: str, features, label: str, point: dict, k: int = 5, log_target: bool = False) -> list[dict]:
+    """M8 / M9 for one point of the reference's boosted-tree spaces."""
+    return boosting.cross_validate_boosted(df, index_col, features, label, boost_params(point), _run_all, k, log_target)
+
+
 def fit_linear(df, features, label, reg: float = 1.0) -> PipelineModel:
     return fit(df, features, ridge(label, reg), scale=True)
 

@@ -15,7 +15,7 @@ _QUERIES: dict[str, QueryFn] = {}
 _ORACLES: dict[str, str] = {}
 
 _FAMILIES = ("ingest_queries", "feature_queries", "clean_queries", "profile_queries",
-             "split_queries", "model_queries", "stream_queries", "missing_queries")
+             "split_queries", "model_queries", "stream_queries", "missing_queries", "series_queries")
 
 
 def register(key: str, sql: str | None = None):

@@ -28,12 +28,19 @@ def _r(df, cols):
 
 
 def prepared(spark, sf_dir):
-    """Hourly demand features with a dense row index (persisted: every fit and
-    fold of a search reads it)."""
+    """Hourly demand features with a dense row index, written once: every fit and
+    fold of a search reads it."""
     h = views.hourly(spark, sf_dir)
     f = prepare_features(h, target="n", ts="hour_ts", exclude=BANNED, lags=[1, 24, 168], index_col="hour_idx")
     f = f.select("hour_ts", F.col("n").cast("double").alias("n"), *FEATURES)
-    return with_row_index(f, ["hour_ts"]).persist()
+    return _written(with_row_index(f, ["hour_ts"]), "prepared")
+
+
+def _written(df, name):
+    """``df`` as a table in the scratch folder: a small series that many fits read."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _split(spark, sf_dir):
@@ -194,9 +201,9 @@ def forest_predict(spark, sf_dir):
 
 @register("gbt_predict")
 def gbt_predict(spark, sf_dir):
-    """M2: boosted trees (a point of the reference grid: 100 rounds, rate 0.1, 31 leaves)."""
+    """M2: boosted trees as the reference fits them by default (500 rounds, rate 0.05, 31 leaves)."""
     _, train, test = _split(spark, sf_dir)
-    return _predictions(models.fit_gbt(train, FEATURES, "n", rounds=100, rate=0.1, num_leaves=31), test)
+    return _predictions(models.fit_boosted(train, FEATURES, "n", rounds=500, rate=0.05, num_leaves=31), test)
 
 
 @register("ridge_predict")
@@ -232,8 +239,8 @@ def random_search(spark, sf_dir):
     train only; the best point is refit on all of train and scored on test."""
     _, train, test = _split(spark, sf_dir)
     points = models.random_points(models.BOOST_RANDOM_SPACE_3FOLD, 24)
-    best, results = models.search(train, "row_idx", FEATURES, "n", lambda **p: models.gbt("n", **models.boost_params(p)), points, k=3)
-    refit = models.fit(train, FEATURES, models.gbt("n", **models.boost_params(best)))
+    best, results = models.search_boosted(train, "row_idx", FEATURES, "n", points, k=3)
+    refit = models.fit_boosted(train, FEATURES, "n", **models.boost_params(best))
     m = models.evaluate_model(refit, test, "n")
     out = _results_df(spark, results, best)
     return out.withColumn("test_rmse", F.when(F.col("best"), F.lit(m["rmse"]))).withColumn("test_mae", F.when(F.col("best"), F.lit(m["mae"])))
@@ -269,12 +276,10 @@ def log_target_metrics(spark, sf_dir):
     best point's folds are scored on the original scale."""
     f = experiment_frame(spark, sf_dir)
     feats = [c for c in f.columns if c not in ("hour_ts", "n")]
-    p = with_row_index(f.withColumn("n", F.col("n").cast("double")), ["hour_ts"]).persist()
+    p = _written(with_row_index(f.withColumn("n", F.col("n").cast("double")), ["hour_ts"]), "experiment")
     points = models.random_points(models.BOOST_RANDOM_SPACE_5FOLD, 20)
-    best, _ = models.search(p.withColumn("log_n", F.log1p("n")), "row_idx", feats, "log_n",
-                            lambda **q: models.gbt("log_n", **models.boost_params(q)), points, k=5, by="mean_mse")
-    rows = models.cross_validate(p, "row_idx", feats, "n", lambda: models.gbt("n", **models.boost_params(best)),
-                                 k=5, log_target=True)
+    best, _ = models.search_boosted(p.withColumn("log_n", F.log1p("n")), "row_idx", feats, "log_n", points, k=5, by="mean_mse")
+    rows = models.cross_validate_boosted(p, "row_idx", feats, "n", best, k=5, log_target=True)
     df = spark.createDataFrame([(str(r["fold"]), r["rmse"], r["mae"]) for r in rows], "fold string, rmse double, mae double")
     df = df.unionByName(df.agg(F.lit("mean").alias("fold"), F.avg("rmse").alias("rmse"), F.avg("mae").alias("mae")))
     return df.withColumn("params", F.lit(str(sorted(best.items()))))
@@ -308,11 +313,10 @@ def train_all(spark, sf_dir, models_dir: str):
     def boost_branch():
         try:
             points = models.param_grid(models.BOOST_GRID)
-            best, _ = models.search(train, "row_idx", FEATURES, "n",
-                                    lambda **p: models.gbt("n", **models.boost_params(p)), points, k=3)
-            gb, note = models.fit(train, FEATURES, models.gbt("n", **models.boost_params(best))), "searched"
+            best, _ = models.search_boosted(train, "row_idx", FEATURES, "n", points, k=3)
+            gb, note = models.fit_boosted(train, FEATURES, "n", **models.boost_params(best)), "searched"
         except ValueError as e:
-            best, gb, note = {}, models.fit_gbt(train, FEATURES, "n", rounds=100, rate=0.1, num_leaves=31), f"defaults: {e}"
+            best, gb, note = {}, models.fit_boosted(train, FEATURES, "n"), f"defaults: {e}"
         m = models.evaluate_model(gb, test, "n")
         artefacts.save_model(gb, models_dir, "model_gbt", {"rmse": m["rmse"], "mae": m["mae"], "params": best})
         return ("model_gbt", m["rmse"], m["mae"], note)
