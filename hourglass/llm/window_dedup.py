@@ -14,9 +14,9 @@ of their words instead of seven.
    from their documents and travel, packed, to the minimiser's bucket.
 3. ``_sorted_buckets``: a bucket's windows are sorted by a hash; neighbours with equal
    hashes are compared word for word, so counts are exact.
-4. Minimisers of over HOT super-k-mers (a passage's edge, where each copy goes on
-   differently) aren't gathered: their windows are counted one by one, by two
-   64-bit hashes, with partial sums before the shuffle.
+4. Minimisers of over HOT super-k-mers (of a passage in many documents) are dealt to as many
+   buckets as they need.  Each gives the first occurrence of each of its windows; of
+   these, one row a bucket and window, the least by two 64-bit hashes is the window's first.
 5. The repeats' spans are merged and cut from each document.
 
 Null and empty texts and texts of fewer than ``window`` words: nothing is removed.
@@ -41,7 +41,7 @@ from .common import KEY
 
 WINDOW = 20
 SEED = 8                   # words of a minimiser
-HOT = 4096                 # super-k-mers of one minimiser that are sorted in a task
+HOT = 4096                 # super-k-mers of one minimiser that are sorted together, about
 SEGMENT = 1 << 20          # words of one document handled at a time
 FLUSH = 2 << 20            # bytes of packed words sorted at once (or one minimiser's)
 U = np.uint64
@@ -99,7 +99,7 @@ def _super_kmers(window: int, seed: int):
     return run
 
 
-PACKED = f"m bigint, hot boolean, {KEY} bigint, start int, n int, words binary"
+PACKED = f"m bigint, part int, {KEY} bigint, start int, n int, words binary"
 
 
 def normal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -129,13 +129,13 @@ def _packed(window: int):
                 some = lists.slice(i, j - i)
                 rows = some.flatten()
                 doc = np.repeat(np.arange(j - i), np.asarray(some.value_lengths()))
-                m, hot, start, n = (rows.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                m, part, start, n = (rows.field(k).to_numpy(zero_copy_only=False) for k in range(4))
                 x = first[doc] + start
                 lo, hi = begin[x], begin[x + n + window - 1] - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(m), pa.array(hot), pa.array(keys[i + doc]), pa.array(start), pa.array(n),
+                    [pa.array(m), pa.array(part), pa.array(keys[i + doc]), pa.array(start), pa.array(n),
                      pa.array([raw[p:q] for p, q in zip(lo.tolist(), hi.tolist())], pa.binary())],
-                    ["m", "hot", KEY, "start", "n", "words"])
+                    ["m", "part", KEY, "start", "n", "words"])
     return run
 
 
@@ -143,7 +143,7 @@ class Windows:
     """All windows of some packed super-k-mers: their row, document, place, words and hash."""
 
     def __init__(self, t: pa.Table, window: int):
-        m, _, key, start, n = (t.column(k).to_numpy() for k in range(5))
+        m, part, key, start, n = (t.column(k).to_numpy() for k in range(5))
         packed = t.column(5).combine_chunks()
         size = np.append(0, np.cumsum(np.asarray(pa.compute.binary_length(packed)).astype(np.int64)))
         self.raw = b"".join(packed.to_pylist())
@@ -153,7 +153,9 @@ class Windows:
         self.row = np.repeat(np.arange(len(n)), n)
         within = np.arange(len(self.row)) - (np.cumsum(n) - n)[self.row]
         self.word = first[self.row] + within
-        self.m, self.key, self.place = m[self.row], key[self.row], start[self.row] + within
+        new = np.append(True, (m[1:] != m[:-1]) | (part[1:] != part[:-1]))              # rows come by bucket
+        self.bucket, self.split = (np.cumsum(new) - 1)[self.row], part[self.row] >= 0
+        self.key, self.place = key[self.row], start[self.row] + within
         self.hash = _sums(h, window, text.COEF)[self.word]
         self.second = _sums(h, window, _MORE)[self.word] if len(h) else self.hash
 
@@ -164,9 +166,9 @@ class Windows:
     def sort(self) -> tuple[np.ndarray, np.ndarray]:
         """(windows sorted so that equal ones stand together in order of their occurrence, which of
         these begin a new group); hashes only bring neighbours together, words decide."""
-        by = np.lexsort((self.place, self.key, self.hash, self.m))
+        by = np.lexsort((self.place, self.key, self.hash, self.bucket))
         new = np.ones(len(by), bool)
-        new[1:] = (self.hash[by[1:]] != self.hash[by[:-1]]) | (self.m[by[1:]] != self.m[by[:-1]])
+        new[1:] = (self.hash[by[1:]] != self.hash[by[:-1]]) | (self.bucket[by[1:]] != self.bucket[by[:-1]])
         again = np.flatnonzero(~new)
         # a group is held against its first window, in parts
         head = np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
@@ -174,18 +176,18 @@ class Windows:
             part = again[x:x + (1 << 16)]
             if any(p != q for p, q in zip(self.words(by[part]), self.words(by[head[part]]))):
                 whole = self.words(np.arange(len(self.word)))               # two texts, one hash: sort by words
-                by = np.array(sorted(range(len(whole)), key=lambda k: (self.m[k], whole[k], self.key[k], self.place[k])))
-                new[1:] = [whole[p] != whole[q] or self.m[p] != self.m[q] for p, q in zip(by[1:], by[:-1])]
+                by = np.array(sorted(range(len(whole)), key=lambda k: (self.bucket[k], whole[k], self.key[k], self.place[k])))
+                new[1:] = [whole[p] != whole[q] or self.bucket[p] != self.bucket[q] for p, q in zip(by[1:], by[:-1])]
                 break
         return by, new
 
 
-SPANS = f"{KEY} bigint, lo int, hi int"
-COUNTS = "words string, n bigint"
+FOUND = f"{KEY} bigint, lo int, hi int, w1 bigint, w2 bigint"
+COUNTS = "words string, n bigint, split boolean"
 
 
 def _spans(w: Windows) -> pa.RecordBatch:
-    """What is covered by windows that aren't the first of their group."""
+    """What is covered by windows that aren't the first of their group, and the first windows of split buckets (with their hashes)."""
     by, new = w.sort()
     gone = np.zeros(len(by), bool)
     gone[by[~new]] = True
@@ -193,21 +195,25 @@ def _spans(w: Windows) -> pa.RecordBatch:
     fresh, last = np.ones(len(k), bool), np.ones(len(k), bool)
     fresh[1:] = (np.diff(k) > 1) | (w.row[k[1:]] != w.row[k[:-1]])
     last[:-1] = fresh[1:]
-    lo, hi = k[fresh], k[last]
-    return pa.RecordBatch.from_arrays([pa.array(w.key[lo]), pa.array(w.place[lo].astype(np.int32)),
-                                       pa.array((w.place[hi] + w.window).astype(np.int32))], [KEY, "lo", "hi"])
+    first = np.flatnonzero(~gone & w.split)
+    lo, hi = np.append(k[fresh], first), np.append(k[last], first)
+    whole = np.arange(len(lo)) < len(lo) - len(first)
+    return pa.RecordBatch.from_arrays([pa.array(w.key[lo]), pa.array(w.place[lo].astype(np.int32)), pa.array((w.place[hi] + w.window).astype(np.int32)),
+                                       pa.array(w.hash[lo].view(np.int64), mask=whole), pa.array(w.second[lo].view(np.int64), mask=whole)],
+                                      [KEY, "lo", "hi", "w1", "w2"])
 
 
 def _counts(w: Windows) -> pa.RecordBatch:
     by, new = w.sort()
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(by)))
-    first, n = first[n > 1], n[n > 1]
-    return pa.RecordBatch.from_arrays([pa.array([x.decode() for x in w.words(by[first])], pa.string()), pa.array(n)], ["words", "n"])
+    first, n = first[(n > 1) | w.split[by[first]]], n[(n > 1) | w.split[by[first]]]
+    return pa.RecordBatch.from_arrays([pa.array([x.decode() for x in w.words(by[first])], pa.string()), pa.array(n), pa.array(w.split[by[first]])],
+                                      ["words", "n", "split"])
 
 
 def _sorted_buckets(window: int, solve):
-    """Rows PACKED sorted by minimiser -> ``solve`` of whole minimisers, at least FLUSH bytes at a time."""
+    """Rows PACKED sorted by bucket -> ``solve`` of whole buckets, at least FLUSH bytes at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, enough = [], 0, FLUSH
         for b in batches:
@@ -217,8 +223,8 @@ def _sorted_buckets(window: int, solve):
             size += b.column(5).nbytes
             if size >= enough:
                 t = pa.Table.from_batches(held).combine_chunks()
-                m = t.column(0).to_numpy()
-                cut = int(np.searchsorted(m, m[-1]))                       # the last minimiser may go on
+                m, part = t.column(0).to_numpy(), t.column(1).to_numpy()
+                cut = int(np.flatnonzero(np.append(True, (m[1:] != m[:-1]) | (part[1:] != part[:-1])))[-1])     # the last bucket may go on
                 if cut:
                     yield solve(Windows(t.slice(0, cut), window))
                 held = t.slice(cut).to_batches()
@@ -229,43 +235,30 @@ def _sorted_buckets(window: int, solve):
     return run
 
 
-HASHED = f"w1 bigint, w2 bigint, {KEY} bigint, lo int"
-
-
-def _hashed(window: int):
-    """Rows PACKED -> a row a window, with two hashes."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                w = Windows(pa.Table.from_batches([b]), window)
-                yield pa.RecordBatch.from_arrays([pa.array(w.hash.view(np.int64)), pa.array(w.second.view(np.int64)), pa.array(w.key),
-                                                  pa.array(w.place.astype(np.int32))], ["w1", "w2", KEY, "lo"])
-    return run
-
-
 def packed(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """The super-k-mers whose minimiser occurs again (PACKED), saved; ``docs`` has KEY and _hgl_text."""
-    kmers = common.save(docs.mapInArrow(_super_kmers(window, seed), KMERS), "kmers")
-    twice = kmers.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("m", (F.col("c") > HOT).alias("hot"))
-    mine = kmers.join(twice, "m").groupBy(KEY).agg(F.collect_list(F.struct("m", "hot", "start", "n")).alias("k"))
-    cut = docs.join(mine, KEY).select(KEY, "_hgl_text", "k").mapInArrow(_packed(window), PACKED)
-    return common.save(cut, "packed")
+    """The super-k-mers whose minimiser occurs again (PACKED; ``part`` -1: its bucket isn't split), saved;
+    ``docs`` has KEY and _hgl_text."""
+    def make() -> DataFrame:
+        kmers = docs.mapInArrow(_super_kmers(window, seed), KMERS)               # made twice: less than to keep it
+        twice = common.save(kmers.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "minimisers")
+        part = F.when(F.col("c") > HOT, F.pmod(F.xxhash64(KEY, "start"), F.ceil(F.col("c") / HOT))).otherwise(-1).cast("int").alias("part")
+        mine = kmers.join(twice, "m").select(KEY, "m", part, "start", "n").groupBy(KEY).agg(F.collect_list(F.struct("m", "part", "start", "n")).alias("k"))
+        return docs.join(mine, KEY).select(KEY, "_hgl_text", "k").mapInArrow(_packed(window), PACKED)
+    return common.alone(make, "packed")
 
 
 def _buckets(travelling: DataFrame, window: int, solve, schema: str) -> DataFrame:
-    cold = travelling.where("not hot").repartition("m").sortWithinPartitions("m")
-    return cold.mapInArrow(_sorted_buckets(window, solve), schema)
+    return travelling.repartition("m", "part").sortWithinPartitions("m", "part").mapInArrow(_sorted_buckets(window, solve), schema)
 
 
 def repeat_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """(key, lo, hi): word spans whose union is what is to be removed."""
-    travelling = packed(docs, window, seed)
-    spans = _buckets(travelling, window, _spans, SPANS)
-    each = travelling.where("hot").mapInArrow(_hashed(window), HASHED)
-    first = (each.groupBy("w1", "w2").agg(F.min(F.struct(KEY, "lo")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
-             .select("w1", "w2", "f"))
+    found = common.save(_buckets(packed(docs, window, seed), window, _spans, FOUND), "found")
+    each = found.where("w1 is not null")
+    first = common.save(each.groupBy("w1", "w2").agg(F.min(F.struct(KEY, "lo")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
+                        .select("w1", "w2", "f"), "firsts")
     later = each.join(first, ["w1", "w2"]).where((F.col(KEY) != F.col(f"f.{KEY}")) | (F.col("lo") != F.col("f.lo")))
-    return spans.unionByName(later.select(KEY, "lo", (F.col("lo") + window).alias("hi")))
+    return found.where("w1 is null").select(KEY, "lo", "hi").unionByName(later.select(KEY, "lo", "hi"))
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
@@ -274,12 +267,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     space, with the number of its occurrences."""
     common.ready(docs.sparkSession)
     keyed = common.with_key(docs.select(id_col, text_col), id_col, text_col).select(KEY, F.col(text_col).alias("_hgl_text"))
-    travelling = packed(keyed, window, seed)
-    words = F.split(F.decode("words", "UTF-8"), " ")
-    each = travelling.where("hot").select(F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.array_join(
-        F.slice(words, i, F.lit(window)), " "))).alias("words"))
-    return _buckets(travelling, window, _counts, COUNTS).unionByName(
-        each.groupBy("words").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    counts = common.save(_buckets(packed(keyed, window, seed), window, _counts, COUNTS), "counts")
+    split = counts.where("split").groupBy("words").agg(F.sum("n").alias("n")).where("n > 1")
+    return counts.where("not split").select("words", "n").unionByName(split)
 
 
 FIGURES = (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_sha256", T.StringType()), ("kept_text", T.StringType()))

@@ -83,10 +83,10 @@ def test_equal_hashes_of_different_windows_are_told_apart(spark, monkeypatch):
     """With a hash that is always the same, only the words decide."""
     monkeypatch.setattr(window_dedup, "_sums", lambda h, k, coef: np.zeros(max(len(h) - k + 1, 0), np.uint64))
     import pyarrow as pa
-    rows = [(7, False, key, 0, 2, " ".join(w).encode()) for key, w in ((1, "abcd"), (2, "abce"), (3, "xbce"))]
+    rows = [(7, -1, key, 0, 2, " ".join(w).encode()) for key, w in ((1, "abcd"), (2, "abce"), (3, "xbce"))]
     t = pa.Table.from_pylist([dict(zip("mhksnw", r)) for r in rows])
     out = window_dedup._spans(window_dedup.Windows(t, 3)).to_pylist()
-    assert sorted(tuple(r.values()) for r in out) == [(2, 0, 3), (3, 1, 4)]
+    assert sorted(tuple(r.values()) for r in out) == [(2, 0, 3, None, None), (3, 1, 4, None, None)]
 
 
 # ---------------------------------------------------------------- operator 12
