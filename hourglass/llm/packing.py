@@ -31,11 +31,11 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators.order import with_row_index
-from . import common
+from . import common, text
 from .common import KEY
 
 CAPACITY = 4096
@@ -115,31 +115,40 @@ def _tokens(path: str | None) -> WordTokens:
     return _LOADED[path]
 
 
-def _cut(path: str | None, capacity: int, keep_ids: bool):
+def _cut(path: str | None, capacity: int, keep_ids: bool, id_type: pa.DataType):
     end = array("I", [END_ID]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            rows = []
-            for k, ids in zip(key, _tokens(path).encode([t or "" for t in texts])):
-                ids += end
-                n = len(ids) // 4
-                for p, s in enumerate(range(0, n, capacity)):
-                    part = ids[4 * s:4 * (s + capacity)]
-                    rows.append((k, p, s, len(part) // 4, zlib.crc32(part)) + ((np.frombuffer(part, "<i4").tolist(),) if keep_ids else ()))
-            cols = list(zip(*rows)) or [[]] * (5 + keep_ids)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)],
-                                             [KEY, "piece", "start", "length", "ids_crc32", "ids"][:5 + keep_ids])
+            key, who = np.asarray(b.column(0)), b.column(2).cast(id_type)
+            _, o = text.utf8(b.column(1))
+            for i, j in text.chunks(o):                     # few texts' ids at a time, however long the batch
+                rows, parts = [], []
+                for k, ids in enumerate(_tokens(path).encode([t or "" for t in b.column(1).slice(i, j - i).to_pylist()])):
+                    ids += end
+                    n = len(ids) // 4
+                    for p, s in enumerate(range(0, n, capacity)):
+                        part = ids[4 * s:4 * (s + capacity)]
+                        rows.append((i + k, p, s, len(part) // 4, zlib.crc32(part)))
+                        if keep_ids:
+                            parts.append(part)
+                row, *cols = zip(*rows)
+                row = np.array(row)
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                out = [pa.array(key[row]), who.take(pa.array(row))] + [pa.array(list(c), t) for c, t in zip(cols, kinds)]
+                yield pa.RecordBatch.from_arrays(out + [pa.array(parts, pa.binary())] * keep_ids,
+                                                 [KEY, "_hgl_id", "piece", "start", "length", "ids_crc32", "ids"][:6 + keep_ids])
     return run
 
 
-def pieces(docs: DataFrame, text_col: str = "text", tokenizer_path: str | None = None, capacity: int = CAPACITY,
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, capacity: int = CAPACITY,
            keep_ids: bool = False) -> DataFrame:
-    """(KEY, piece, start, length, ids_crc32[, ids]) of ``docs`` with KEY."""
-    schema = f"{KEY} bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids
-    return docs.select(KEY, text_col).mapInArrow(_cut(tokenizer_path, capacity, keep_ids), schema)
+    """(KEY, _hgl_id, piece, start, length, ids_crc32[, ids]) of ``docs`` with KEY; ids as little-endian 32-bit bytes."""
+    kind = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField(KEY, T.LongType()), T.StructField("_hgl_id", kind), T.StructField("piece", T.IntegerType())]
+                          + [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32")]
+                          + [T.StructField("ids", T.BinaryType())] * keep_ids)
+    return docs.select(KEY, text_col, id_col).mapInArrow(_cut(tokenizer_path, capacity, keep_ids, to_arrow_type(kind)), schema)
 
 
 def fullest(counts: dict[int, int], lengths: list[int], room: int) -> Counter:
@@ -206,18 +215,38 @@ def _place(table):
     return run
 
 
+def _as_ints(at: int):
+    """The binary column ``at`` as lists of ints, without a copy."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = pa.concat_arrays([b.column(at)])
+            _, offs, data = raw.buffers()
+            offsets = np.frombuffer(offs, np.int32)[raw.offset:raw.offset + len(raw) + 1] // 4
+            ints = pa.Array.from_buffers(pa.int32(), (data.size if data else 0) // 4, [None, data or pa.py_buffer(b"")])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), ints) if k == at else c for k, c in enumerate(b.columns)],
+                                             b.schema.names)
+    return run
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None,
          capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """One row a piece: the id, piece, start, length, ids_crc32[, ids], sequence_id, offset."""
+    """One row a piece: the id, piece, start, length, ids_crc32[, ids], sequence_id, offset.  Only
+    a small row a piece is numbered and placed; the ids are joined to their place once, at the end."""
     spark = docs.sparkSession
     common.ready(spark)
     keyed = common.with_key(docs.select(id_col, text_col), id_col, text_col)
-    cut = common.save(pieces(keyed, text_col, tokenizer_path, capacity, keep_ids), "pieces")
+    cut = common.save(pieces(keyed, id_col, text_col, tokenizer_path, capacity, keep_ids), "pieces")
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}   # at most ``capacity`` rows
     table, _ = plan(histogram, capacity)
-    numbered = with_row_index(cut, ["length", KEY, "piece"], index_col="_hgl_number").select(*cut.columns, "_hgl_number")
+    own = [KEY, "piece"] if keep_ids else [c for c in cut.columns if c != "length"]
+    numbered = with_row_index(cut.select("length", *own), ["length", KEY, "piece"], index_col="_hgl_number").select("length", *own, "_hgl_number")
     kind = numbered.drop("_hgl_number").schema.add("sequence_id", T.LongType()).add("offset", T.LongType())
-    placed = numbered.mapInArrow(_place(spark.sparkContext.broadcast(table)), kind)
-    ids = keyed.select(F.col(KEY), F.col(id_col).alias("_hgl_id"))
-    out = placed.join(ids, KEY).withColumnRenamed("_hgl_id", id_col)
-    return out.select(id_col, *[c for c in placed.columns if c != KEY])
+    out = numbered.mapInArrow(_place(spark.sparkContext.broadcast(table)), kind)
+    if keep_ids:
+        out = cut.join(out.drop("length"), [KEY, "piece"])
+    names = ["_hgl_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids, "sequence_id", "offset"]
+    out = out.select(*names)
+    if keep_ids:
+        ints = T.StructType([T.StructField(f.name, T.ArrayType(T.IntegerType())) if f.name == "ids" else f for f in out.schema])
+        out = out.mapInArrow(_as_ints(names.index("ids")), ints)
+    return out.withColumnRenamed("_hgl_id", id_col)
