@@ -201,7 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: s
     known = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
              .where(F.col("toxic").isin(0, 1) & F.col("id").isNotNull()).groupBy("id").agg(F.max("toxic").alias("toxic")))
     share = min(1.0, sample / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * share))      # about ``sample`` rows: broadcast
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << 52)) / float(1 << 52)
+    known = known.where(place < share)           # about ``sample`` rows, of however many: broadcast
     rows = common.save(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
                        .join(F.broadcast(known), "id"), "labelled")
     distinct = distinct_rows(rows)
