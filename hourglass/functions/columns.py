@@ -72,3 +72,12 @@ def numeric_columns(df: DataFrame, exclude=()) -> list[str]:
 
 def string_columns(df: DataFrame, exclude=()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, StringType) and f.name not in exclude]
+
+
+#: A whole cell that is a number; Java's own reading would take ``5d`` and ``7f`` for numbers too.
+NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf(inity)?|nan))\s*$"
+
+
+def as_number(c: Column, kind: str) -> Column:
+    """Text cast to ``kind`` (bigint, double, ...), NULL where it isn't a plain number."""
+    return F.when(c.rlike(NUMBER), c.try_cast(kind))

@@ -306,7 +306,8 @@ def knn_regress(train: DataFrame, query: DataFrame, k: int, vec_col: str, label_
     numpy distance tiles of bounded size and keeps one running top-k per query, so exactly
     ``k x train blocks`` candidates per query are shuffled (by query id, equal-sized groups), and
     a window over those picks the final k.  Nothing passes through the driver, nothing is
-    broadcast, and no pair list is ever materialised.
+    broadcast, and no pair list is ever materialised.  A query without a vector, or without any
+    train row, has the prediction NULL.
     """
     spark = train.sparkSession
     ship(spark)
@@ -316,9 +317,10 @@ def knn_regress(train: DataFrame, query: DataFrame, k: int, vec_col: str, label_
          .where(F.col("_tv").isNotNull()))
     kinds = [d.schema[c].dataType.simpleString() for d, c in ((query, query_id), (train, id_col))]
     whole = kinds[1] in ("tinyint", "smallint", "int", "bigint")
+    asked = query.select(F.col(query_id).alias("_id")).dropDuplicates()      # every one gets a row
     dim_row = q.select(F.size("_qv").alias("d")).first()
     if dim_row is None:
-        return spark.createDataFrame([], f"{query_id} {kinds[0]}, pred double")
+        return asked.select(F.col("_id").alias(query_id), F.lit(None).cast("double").alias("pred"))
     dim, nq, nt = dim_row["d"], q.count(), t.count()
     q_blocks = max(1, math.ceil(nq * (8 * max(dim, 1) + 24 * k + 24) / KNN_BLOCK_BYTES))
     t_blocks = max(1, math.ceil(nt * 8 * max(dim, 1) / KNN_BLOCK_BYTES),
@@ -356,4 +358,5 @@ def knn_regress(train: DataFrame, query: DataFrame, k: int, vec_col: str, label_
                .applyInPandas(local_topk, f"_qid {kinds[0]}, _tid {kinds[1]}, _d2 double, _y double"))
     w = Window.partitionBy("_qid").orderBy("_d2", "_tid")
     top = results.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
-    return top.groupBy(F.col("_qid").alias(query_id)).agg(F.avg("_y").alias("pred"))
+    found = top.groupBy("_qid").agg(F.avg("_y").alias("pred"))
+    return asked.join(found, F.col("_id").eqNullSafe(F.col("_qid")), "left").select(F.col("_id").alias(query_id), "pred")

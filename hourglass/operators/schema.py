@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite, string_columns
+from ..functions.columns import as_number, finite, string_columns
 
 # Names a date column may have, in order of preference.
 DATE_CANDIDATES = ("fecha", "Fecha", "date", "timestamp", "datetime")
@@ -62,7 +62,7 @@ def strings_to_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> Data
     cols = list(cols) if cols is not None else string_columns(df)
     if not cols:
         return df
-    parsed = {c: F.regexp_replace(F.col(c), ",", ".").try_cast("double") for c in cols}
+    parsed = {c: as_number(F.regexp_replace(F.col(c), ",", "."), "double") for c in cols}
     row = df.agg(*[F.count_if(F.col(c).isNotNull() & parsed[c].isNull()).alias(c) for c in cols]).first()
     return df.withColumns({c: parsed[c] for c in cols if row[c] == 0})
 
@@ -73,14 +73,15 @@ def exclude(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def align_columns(df: DataFrame, cols: Sequence[str], fill=0) -> DataFrame:
-    """Exactly ``cols`` in that order; missing ones are ``fill``, NULL -> ``fill``."""
+    """Exactly ``cols`` in that order; missing ones are ``fill``, NULL -> ``fill``
+    (``fill`` None: both stay NULL)."""
     types = dict(df.dtypes)
     numeric = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
     def one(c):
         if c not in types:
-            return F.lit(fill)
-        if types[c] in numeric or types[c].startswith("decimal"):
+            return F.lit(fill) if fill is not None else F.lit(None).cast("double")
+        if fill is not None and (types[c] in numeric or types[c].startswith("decimal")):
             return F.coalesce(F.col(c), F.lit(fill))
         return F.col(c)
     return df.select(*[one(c).alias(c) for c in cols])

@@ -25,10 +25,13 @@ def expected_features(model) -> list[str]:
 
 
 def score(df: DataFrame, models_dir: str, name: str, ts: str | None = None,
-          keep: Sequence[str] = (), fill=0, history: DataFrame | None = None, value: str = "n") -> DataFrame:
+          keep: Sequence[str] = (), fill=None, history: DataFrame | None = None, value: str = "n") -> DataFrame:
     """Calendar features -> lags from ``history`` -> label codes stored with the model
-    -> align to the model's stored feature list (missing / NULL -> ``fill``) ->
-    predict.  Raises if the model does not exist.
+    -> align to the model's stored feature list -> predict.  Raises if the model does not exist.
+
+    A feature that is missing or NULL takes ``fill`` where that is asked for; without it the features stay
+    unknown, and a row whose prediction is not a number then has ``pred`` NULL (trees know what
+    to do with unknown features, a linear model doesn't).
 
     ``history`` has ``ts`` and ``value``, one row an hour; each ``<value>_lag_<l>`` the model wants and
     the frame lacks is its value ``l`` hours before.
@@ -46,4 +49,4 @@ def score(df: DataFrame, models_dir: str, name: str, ts: str | None = None,
         coded = [r["column"] for r in mapping.select("column").distinct().collect()]  # one row a column
         df, _ = label_encode(df.withColumns({c: F.lit(None).cast("string") for c in coded if c not in df.columns}), coded, mapping=mapping)
     x = align_columns(df, list(keep) + feats, fill=fill)
-    return predict(model, x).select(*keep, "pred").withColumn("model", F.lit(name))
+    return predict(model, x).select(*keep, F.when(~F.isnan("pred"), F.col("pred")).alias("pred")).withColumn("model", F.lit(name))

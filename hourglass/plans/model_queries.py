@@ -416,5 +416,5 @@ def batch_score_history(spark, sf_dir):
     train = lag_columns(h, "hour_idx", "n", lags=[24]).where("n_lag_24 IS NOT NULL")
     d = scratch_path(spark, "models")
     artefacts.save_model(models.fit_linear(train, ["n_lag_24"], "n", reg=0.0), d, "model_lag", None)
-    out = score(h.select("hour_ts"), d, "model_lag", ts="hour_ts", keep=["hour_ts"], history=h.select("hour_ts", "n"))
+    out = score(h.select("hour_ts"), d, "model_lag", ts="hour_ts", keep=["hour_ts"], fill=0, history=h.select("hour_ts", "n"))
     return out.withColumn("pred", F.round("pred", 4))

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import NumericType, StringType, StructField, StructType
 
-from ..functions.columns import finite
+from ..functions.columns import as_number, finite
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -31,8 +31,9 @@ def _typed(text: DataFrame, schema: StructType | None) -> DataFrame:
     their values parse as (BIGINT, DOUBLE, else text; one aggregate pass)."""
     clean = text.select(*[F.when(~F.trim(F.col(f"`{c}`")).isin(*NULL_TOKENS), F.col(f"`{c}`")).alias(c) for c in text.columns])
     if schema is not None:
-        return finite(clean.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema.fields]))
-    bad = clean.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(t).isNull()).alias(f"{t}{i}")
+        return finite(clean.select(*[(as_number(F.col(f"`{f.name}`"), f.dataType) if isinstance(f.dataType, NumericType) else
+                                      F.col(f"`{f.name}`").try_cast(f.dataType)).alias(f.name) for f in schema.fields]))
+    bad = clean.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & as_number(F.col(f"`{c}`"), t).isNull()).alias(f"{t}{i}")
                       for i, c in enumerate(clean.columns) for t in ("bigint", "double")]).first()
 
     def kind(i):

@@ -153,17 +153,20 @@ def test_registered_searches_cover_the_reference_spaces(spark, monkeypatch):
     """The points and folds each search gets, and that the best point is refit; fits are cut to one round here."""
     from hourglass.plans import model_queries
     from hourglass.session import scratch_path
-    asked, gbt = [], models.gbt
+    asked, made, fit_boosted = [], [], models.fit_boosted
 
-    def search(df, index_col, features, label, make, points, k=3, **kw):
+    def search_boosted(df, index_col, features, label, points, k=3, **kw):
         asked.append((points, k, label, kw.get("by", "mean_rmse")))
+        return points[-1], [{"point": i, "params": p, "mean_rmse": 1.0, "mean_mae": 1.0} for i, p in enumerate(points)]
+
+    def search(df, index_col, features, label, make, points, **kw):
         for p in points:
             make(**p)
-        return points[-1], [{"point": i, "params": p, "mean_rmse": 1.0, "mean_mae": 1.0} for i, p in enumerate(points)]
+        return points[-1], []
 
-    made = []
     monkeypatch.setattr(models, "search", search)
-    monkeypatch.setattr(models, "gbt", lambda label, rounds=500, **kw: made.append((rounds, kw)) or gbt(label, rounds=1, **kw))
+    monkeypatch.setattr(models, "search_boosted", search_boosted)
+    monkeypatch.setattr(models, "fit_boosted", lambda df, f, label, rounds=500, **kw: made.append((rounds, kw)) or fit_boosted(df, f, label, rounds=1, **kw))
     sf = "/root/testdata/sf0.001"
     rows = model_queries.random_search(spark, sf).collect()
     points, k, _, _ = asked.pop()
@@ -174,6 +177,6 @@ def test_registered_searches_cover_the_reference_spaces(spark, monkeypatch):
     points, k, label, by = asked.pop()
     assert points == models.random_points(models.BOOST_RANDOM_SPACE_5FOLD, 20) and (k, label, by) == (5, "log_n", "mean_mse")
     assert len(rows) == 6 and {r["params"] for r in rows} == {str(sorted(points[-1].items()))}
-    monkeypatch.setattr(models, "forest", lambda label, **kw: gbt(label, rounds=1, num_leaves=2))
+    monkeypatch.setattr(models, "forest", lambda label, **kw: models.gbt(label, rounds=1, num_leaves=2))
     assert {r["note"] for r in model_queries.train_all(spark, sf, scratch_path(spark, "models")).collect()} == {"searched"}
     assert models.param_grid(models.BOOST_GRID) in [a[0] for a in asked]
