@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, finite_or_null_col, numeric_columns, string_columns
-from ..functions.quantiles import column_counts, exact_quantiles, order_statistics_many
+from ..functions.quantiles import exact_quantiles, order_statistics_many, sketch_aggs, sketches
 from .schema import narrow_integers, parse_ts
 
 # Column names of the rental data.
@@ -147,15 +147,14 @@ def winsorize(df: DataFrame, cols: Sequence[str] | None = None, lower: float = 0
     a clip to ``sorted[k_lo]`` and ``sorted[n - k_hi - 1]``."""
     cols = list(cols) if cols is not None else numeric_columns(df)
     df = finite(df, cols)
-    counts, distinct = column_counts(df, cols)
+    counts, found = sketches(df, cols)
     cut = {}
     for c in cols:
         n = counts[c]
         k_lo, k_hi = int(lower * n), int(upper * n)
         if n and (k_lo or k_hi):
             cut[c] = (k_lo, n - k_hi - 1)
-    st = order_statistics_many(df, {c: list(r) for c, r in cut.items()}, counts,
-                               distinct=distinct)  # all columns, shared passes
+    st = order_statistics_many(df, {c: [(r,) for r in cut[c]] for c in cut}, counts, found)  # all columns, shared passes
     out = {}
     for c, (r_lo, r_hi) in cut.items():
         t = df.schema[c].dataType
@@ -171,17 +170,16 @@ def dedup(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
 
 def profile_stats(df: DataFrame, cols: Sequence[str], stage: str) -> DataFrame:
     """count, min, median, max of each column, long format.  Counts, extremes
-    and distinct counts come from one pass, which also sizes the exact median."""
+    and the medians' sketches come from one pass, the medians from a second."""
     df = finite(df.select(*cols))
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-                 F.approx_count_distinct(x).alias(f"d{i}")]
+        aggs += [F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), *sketch_aggs(c, f"q{i}")]
     m = df.agg(*aggs).first()
-    q = exact_quantiles(df, {c: [0.5] for c in cols}, counts={c: m[f"n{i}"] for i, c in enumerate(cols)},
-                        distinct={c: m[f"d{i}"] for i, c in enumerate(cols)})
-    rows = [(stage, c, m[f"n{i}"], m[f"lo{i}"], q[c][0], m[f"hi{i}"]) for i, c in enumerate(cols)]
+    q = exact_quantiles(df, {c: [0.5] for c in cols}, {c: m[f"q{i}_n"] for i, c in enumerate(cols)},
+                        {c: m[f"q{i}_k"] for i, c in enumerate(cols)})
+    rows = [(stage, c, m[f"q{i}_n"], m[f"lo{i}"], q[c][0], m[f"hi{i}"]) for i, c in enumerate(cols)]
     return df.sparkSession.createDataFrame(
         rows, "stage string, column string, count bigint, min double, median double, max double")
 

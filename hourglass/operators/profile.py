@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, numeric_columns, trunc_ntz
-from ..functions.quantiles import exact_quantiles
+from ..functions.quantiles import exact_quantiles, sketch_aggs
 from ..session import checkpoint_dir, ship
 
 
@@ -41,18 +41,18 @@ def null_profile(df: DataFrame, cols: Sequence[str] | None = None, only_missing:
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, std (n-1), min, 25/50/75 % (exact, linear), max per numeric
-    column, over finite values (NaN counts as NULL)."""
+    column, over finite values (NaN counts as NULL).  Two scans: moments and sketches, then the quartiles."""
     cols = list(cols) if cols is not None else numeric_columns(df)
     df = finite(df.select(*cols))
-    aggs = []
+    aggs, quartiles = [], [0.25, 0.5, 0.75]
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.approx_count_distinct(x).alias(f"d{i}")]
-    m = df.agg(*aggs).first()  # moments and counts: one pass, one row
-    q = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in cols}, counts={c: m[f"n{i}"] for i, c in enumerate(cols)},
-                        distinct={c: m[f"d{i}"] for i, c in enumerate(cols)})
-    rows = [(c, m[f"n{i}"], m[f"a{i}"], m[f"s{i}"], m[f"lo{i}"], q[c][0], q[c][1], q[c][2], m[f"hi{i}"])
+        aggs += [F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
+                 *sketch_aggs(c, f"q{i}")]
+    m = df.agg(*aggs).first()
+    q = exact_quantiles(df, {c: quartiles for c in cols}, {c: m[f"q{i}_n"] for i, c in enumerate(cols)},
+                        {c: m[f"q{i}_k"] for i, c in enumerate(cols)})
+    rows = [(c, m[f"q{i}_n"], m[f"a{i}"], m[f"s{i}"], m[f"lo{i}"], q[c][0], q[c][1], q[c][2], m[f"hi{i}"])
             for i, c in enumerate(cols)]
     return df.sparkSession.createDataFrame(rows, "column string, count bigint, mean double, std double, min double, "
                                                  "p25 double, p50 double, p75 double, max double")

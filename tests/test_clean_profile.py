@@ -53,6 +53,37 @@ def test_exact_quantiles_hot_value_resolves(spark):
     got = exact_quantiles(df, {"x": probs}, direct_limit=500, accuracy=200)["x"]
     assert np.allclose(got, np.quantile(vals, probs), rtol=0, atol=1e-12)
 
+
+def test_describe_takes_the_same_scans_for_any_number_of_columns(spark):
+    """Over 100,000 different values a column: one scan for moments and sketches, one for the quartiles."""
+    n, jobs = 150_000, {}
+    df = spark.range(n, numPartitions=4).select(*[((F.col("id") * (2 * i + 7919)) % n + F.rand(i) / 4).alias(f"c{i}") for i in range(6)])
+    values = np.stack([np.sort(np.asarray(v)) for v in df.toPandas().to_numpy().T])
+    for cols in (1, 6):
+        spark.sparkContext.setJobGroup(f"describe-{cols}", "")
+        got = {r["column"]: r for r in profile.describe(df, [f"c{i}" for i in range(cols)]).collect()}
+        jobs[cols] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"describe-{cols}"))
+        for i in range(cols):
+            want = np.quantile(values[i], [0.25, 0.5, 0.75])
+            assert [got[f"c{i}"][q] for q in ("p25", "p50", "p75")] == want.tolist() and got[f"c{i}"]["count"] == n
+    spark.sparkContext.setJobGroup("default", "")
+    assert jobs[1] == jobs[6]
+
+
+def test_quantiles_of_empty_and_null_columns(spark):
+    df = spark.createDataFrame([(None, 1.0), (float("nan"), None)], "x double, y double")
+    assert exact_quantiles(df, {"x": [0.5], "y": [0.0, 1.0]}) == {"x": [None], "y": [1.0, 1.0]}
+    assert exact_quantiles(df.limit(0), {"x": [0.5]}) == {"x": [None]}
+
+
+def test_a_bracket_that_missed_is_widened(spark):
+    """A sketch of only some of the values (an error far over the bound) still ends in the exact value."""
+    from hourglass.functions.quantiles import order_statistics_many, sketches
+    df = spark.range(20_000).select(F.col("id").cast("double").alias("x"))
+    some = df.where("x % 2 = 0 or x < 2000 or x = 19999")
+    assert order_statistics_many(df, {"x": [(9_000, 9_001)]}, {"x": 20_000}, sketches(some, ["x"])[1])["x"] == {9_000: 9_000.0, 9_001: 9_001.0}
+
+
 def test_winsorize_matches_order_statistics(spark):
     vals = list(range(200))
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
