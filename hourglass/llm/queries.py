@@ -57,10 +57,26 @@ def op7_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quote_links.threads(table(spark, sf_dir, "conversations")).drop("links")
 
 
+def _quote_levels(messages: DataFrame) -> DataFrame:
+    out = quote_links.threads(messages).where("links is not null").select("conv_id", "turn", "role", F.explode("links").alias("x"))
+    return out.select("conv_id", "turn", "role", F.col("x.level").cast("bigint").alias("level"),
+                      F.col("x.conv").alias("to_conv"), F.col("x.turn").alias("to_turn"))
+
+
 def op7_quote_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The links of all quote levels, a row a message that has any."""
-    out = quote_links.threads(table(spark, sf_dir, "conversations"))
-    return out.where("links is not null").select("conv_id", "turn", "role", "links")
+    """The links of all quote levels, a row each."""
+    return _quote_levels(table(spark, sf_dir, "conversations"))
+
+
+def op7_reply_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over messages that quote: the given ones hold no quotes, so Spark adds those of the messages before."""
+    return _quote_levels(common.save(quote_links.replies(table(spark, sf_dir, "conversations")), "replies"))
+
+
+def op7_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered conversations, a row a thread (and part), of messages that quote."""
+    messages = common.save(quote_links.replies(table(spark, sf_dir, "conversations")), "replies")
+    return quote_links.conversations(messages).drop("messages")
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,10 +117,13 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_suffix_dedup, op4_host_quality, op5_toxicity, op6_pack,
-                            op7_quote_links, op7_quote_levels, op8_langid, op9_near_dedup, op10_url_rules,
+                            op7_quote_links, op7_quote_levels, op7_reply_levels, op7_conversations, op8_langid, op9_near_dedup, op10_url_rules,
                             op11_window_dedup, op12_spelling, op13_collocations)
 }
 ORACLES: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE, "op3_suffix_dedup": suffix_dedup.ORACLE, "op4_host_quality": host_quality.ORACLE,
-                           "op7_quote_links": quote_links.ORACLE, "op9_near_dedup": near_dedup.ORACLE,
+                           "op7_quote_links": quote_links.oracle(), "op7_quote_levels": quote_links.levels_oracle(),
+                           "op7_reply_levels": quote_links.levels_oracle(quote_links.REPLIES),
+                           "op7_conversations": quote_links.conversations_oracle(quote_links.REPLIES),
+                           "op9_near_dedup": near_dedup.ORACLE,
                            "op10_url_rules": url_rules.ORACLE, "op11_window_dedup": window_dedup.ORACLE,
                            "op12_spelling": spelling.ORACLE, "op13_collocations": collocations.ORACLE}

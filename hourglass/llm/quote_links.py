@@ -12,6 +12,11 @@ has one gives the message's place (its ``reply_to`` is then the nearest message
 Messages come back without quotes and attribution lines, with ``reply_to``, ``depth`` (replies
 above that are linked) and ``thread`` (the turn that starts the exchange, by pointer jumping):
 ordered by (conversation, thread, turn), every message follows the one it replies to.
+``conversations`` puts them together: one row a thread, its messages in order.  A thread of more than
+PART_MESSAGES messages comes in numbered parts, so no task holds a thread whole.
+
+``chat`` is a message's text under the mark of its role.  Text can't forge a mark: "<", any backslashes
+and "|" get one backslash more (``unescape`` takes it back), and a role's characters other than letters, digits, "_" and "-" become "_".
 
 Joins are by hash to one row a hash (the first occurrence, taken with partial sums; far ones: those of two conversations), so
 a line that a third of all messages share stays one row, and no pairs of messages are made.
@@ -26,9 +31,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.order import with_row_index
 from . import common
 
 FAR_WORDS = 8
+PART_MESSAGES = 1024
 LAST = (1 << 62)
 MARKS = r"^((?:[ \t]*>)+)"
 ATTRIBUTION = r"(?i)^\s*(on|am|le|el|il)\s.*(wrote|writes|schrieb|écrit|escribió|ha scritto)\s*:\s*$"
@@ -38,6 +45,15 @@ def normal(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
 
 
+def escape(c: Column) -> Column:
+    """Text in which no mark of a role can be read."""
+    return F.regexp_replace(c, r"<(\\*)\|", r"<\\$1|")
+
+
+def unescape(c: Column) -> Column:
+    return F.regexp_replace(c, r"<\\(\\*)\|", r"<$1|")
+
+
 def _level(line: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_extract(line, MARKS, 1), "[^>]", ""))
 
@@ -129,12 +145,30 @@ def threads(messages: DataFrame, **names) -> DataFrame:
         F.size(F.filter("lines", lambda x: x["level"] > 0)).cast("bigint").alias("n_quoted"),
         F.when(F.col("to_c") != "n", F.expr("substring(to_c, 2)")).alias("reply_conv"), turn("to_t").alias("reply_to"),
         F.coalesce("root", turn("t")).alias("thread"), F.coalesce("depth", F.lit(0)).alias("depth"),
-        F.concat(F.lit("<|"), F.coalesce("role", F.lit("user")), F.lit("|>\n"), F.col("own")).alias("chat"), every.alias("links"))
+        F.concat(F.lit("<|"), F.coalesce(F.regexp_replace("role", "[^A-Za-z0-9_-]", "_"), F.lit("user")), F.lit("|>\n"),
+                 escape(F.col("own"))).alias("chat"), every.alias("links"))
+
+
+def conversations(messages: DataFrame, part_messages: int = PART_MESSAGES, **names) -> DataFrame:
+    """One row a thread (and part): conv_id, thread, part (from 0), n_messages, messages (turn, role, text, reply_conv,
+    reply_to) in the order of turns, and their chat texts, joined by line ends.  Messages of a conversation that have no
+    turn are one thread, null.  Messages of one turn are ordered by role and text."""
+    last = lambda *cs: [F.col(c).asc_nulls_last() for c in cs]
+    found = threads(messages, **names).select("conv_id", "thread", "turn", "role", "text", "reply_conv", "reply_to", "chat")
+    rows = with_row_index(found, last("conv_id", "thread", "turn", "role", "chat"), index_col="_hgl_i")
+    first = rows.groupBy(F.col("conv_id").alias("c1"), F.col("thread").alias("t1")).agg(F.min("_hgl_i").alias("_hgl_first"))
+    same = F.col("conv_id").eqNullSafe(F.col("c1")) & F.col("thread").eqNullSafe(F.col("t1"))
+    part = F.floor((F.col("_hgl_i") - F.col("_hgl_first")) / part_messages).alias("part")
+    message = F.struct("_hgl_i", "turn", "role", "text", "reply_conv", "reply_to", "chat")
+    return (rows.join(first, same).groupBy("conv_id", "thread", part).agg(F.array_sort(F.collect_list(message)).alias("x"))
+            .select("conv_id", "thread", "part", F.size("x").cast("bigint").alias("n_messages"),
+                    F.transform("x", lambda m: m.dropFields("_hgl_i", "chat")).alias("messages"),
+                    F.array_join(F.col("x.chat"), "\n").alias("chat")))
 
 
 _NORMAL = r"trim(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
-ORACLE = rf"""
-WITH RECURSIVE m AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+_WITH = rf"""
+WITH RECURSIVE m AS (SELECT DISTINCT conv_id, turn, role, text FROM @messages),
 b AS (SELECT row_number() OVER () AS id, conv_id, turn, role, coalesce('c' || CAST(conv_id AS VARCHAR), 'n') AS c,
         coalesce(turn, {LAST}) AS t, regexp_split_to_array(coalesce(text, ''), '\r?\n') AS raw FROM m),
 x AS (SELECT id, c, t, i, raw[i] AS line, regexp_extract(raw[i], '{MARKS}', 1) AS marks
@@ -150,17 +184,61 @@ r AS (SELECT *, i - row_number() OVER (PARTITION BY id, level ORDER BY i) AS run
 quote AS (SELECT c, t, level, u FROM r UNION ALL
           SELECT c, t, level, string_agg(u, ' ' ORDER BY i) FROM r GROUP BY id, c, t, level, run),
 near AS (SELECT q.c, q.t, level, q.c AS to_c, to_t, len(string_split(q.u, ' ')) AS words FROM quote q JOIN origin o ON o.c = q.c AND o.u = q.u WHERE to_t < q.t),
-anywhere AS (SELECT u, arg_min(c, (c, to_t)) AS to_c, arg_min(to_t, (c, to_t)) AS to_t FROM origin GROUP BY u),
-far AS (SELECT q.c, q.t, level, to_c, to_t, len(string_split(q.u, ' ')) AS words FROM quote q JOIN anywhere a ON a.u = q.u
-        WHERE to_c <> q.c AND len(string_split(q.u, ' ')) >= {FAR_WORDS}
+elsewhere AS (SELECT q.c, q.u, min(o.c) AS to_c FROM (SELECT DISTINCT c, u FROM quote) q JOIN origin o ON o.u = q.u AND o.c <> q.c GROUP BY q.c, q.u),
+far AS (SELECT q.c, q.t, level, o.c AS to_c, to_t, len(string_split(q.u, ' ')) AS words
+        FROM quote q JOIN elsewhere e ON e.c = q.c AND e.u = q.u JOIN origin o ON o.c = e.to_c AND o.u = q.u
+        WHERE len(string_split(q.u, ' ')) >= {FAR_WORDS}
         AND NOT EXISTS (SELECT 1 FROM near n WHERE n.c = q.c AND n.t = q.t AND n.level = q.level)),
-w AS (SELECT c, t, to_c, to_t, sum(words) AS words FROM (SELECT * FROM near UNION ALL SELECT * FROM far) WHERE level = 1 GROUP BY ALL),
-link AS (SELECT c, t, to_c, to_t FROM w QUALIFY row_number() OVER (PARTITION BY c, t ORDER BY words DESC, to_c, to_t) = 1),
+w AS (SELECT c, t, level, to_c, to_t, sum(words) AS words FROM (SELECT * FROM near UNION ALL SELECT * FROM far) GROUP BY ALL),
+levels AS (SELECT c, t, level, to_c, to_t FROM w QUALIFY row_number() OVER (PARTITION BY c, t, level ORDER BY words DESC, to_c, to_t) = 1),
+link AS (SELECT c, t, to_c, to_t FROM levels QUALIFY row_number() OVER (PARTITION BY c, t ORDER BY level) = 1),
 up AS (SELECT c, t, to_t AS root, 1 AS depth FROM link WHERE to_c = c
        UNION ALL SELECT up.c, up.t, link.to_t, depth + 1 FROM up JOIN link ON link.c = up.c AND link.t = up.root AND link.to_c = link.c),
-top AS (SELECT c, t, arg_max(root, depth) AS root, max(depth) AS depth FROM up GROUP BY c, t)
-SELECT conv_id, turn, role, own AS text, n_quoted, CASE WHEN to_c <> 'n' THEN substr(to_c, 2) END AS reply_conv,
+top AS (SELECT c, t, arg_max(root, depth) AS root, max(depth) AS depth FROM up GROUP BY c, t),
+message AS (SELECT conv_id, turn, role, own AS text, n_quoted, CASE WHEN to_c <> 'n' THEN substr(to_c, 2) END AS reply_conv,
   CASE WHEN to_t <> {LAST} THEN to_t END AS reply_to, coalesce(root, turn) AS thread, CAST(coalesce(depth, 0) AS INTEGER) AS depth,
-  '<|' || coalesce(role, 'user') || '|>' || chr(10) || own AS chat
-FROM b JOIN o USING (id, c, t) LEFT JOIN link USING (c, t) LEFT JOIN top USING (c, t)
+  '<|' || coalesce(regexp_replace(role, '[^A-Za-z0-9_-]', '_', 'g'), 'user') || '|>' || chr(10)
+    || regexp_replace(own, '<(\\*)\|', '<\\\1|', 'g') AS chat
+  FROM b JOIN o USING (id, c, t) LEFT JOIN link USING (c, t) LEFT JOIN top USING (c, t))
 """
+
+
+def oracle(messages: str = "conversations") -> str:
+    """SQL of ``threads`` (without its links) over a table or a query in brackets."""
+    return _WITH.replace("@messages", messages) + "SELECT * FROM message"
+
+
+def levels_oracle(messages: str = "conversations") -> str:
+    """SQL of the links of all levels, a row each."""
+    return _WITH.replace("@messages", messages) + f"""SELECT conv_id, turn, role, level, CASE WHEN to_c <> 'n' THEN substr(to_c, 2) END AS to_conv,
+  CASE WHEN to_t <> {LAST} THEN to_t END AS to_turn FROM b JOIN levels USING (c, t)"""
+
+
+def conversations_oracle(messages: str = "conversations", part_messages: int = PART_MESSAGES) -> str:
+    """SQL of ``conversations``, without the array of messages."""
+    return _WITH.replace("@messages", messages) + f"""SELECT conv_id, thread, place // {part_messages} AS part, count(*) AS n_messages,
+  string_agg(chat, chr(10) ORDER BY place) AS chat
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, thread ORDER BY turn NULLS LAST, role NULLS LAST, chat) - 1 AS place FROM message)
+GROUP BY conv_id, thread, place // {part_messages}"""
+
+
+#: Messages that quote: each the one before it and, a level deeper, the one before that; a conversation's first the next one's first.
+REPLIES = r"""(SELECT conv_id, turn, role, concat_ws(chr(10), '> ' || replace(q3.text, chr(10), chr(10) || '> '),
+    '> > ' || replace(q2.text, chr(10), chr(10) || '> > '), '> ' || replace(q1.text, chr(10), chr(10) || '> '), m0.text) AS text
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations) m0
+  LEFT JOIN (SELECT conv_id, turn + 1 AS turn, min(text) AS text FROM conversations GROUP BY ALL) q1 USING (conv_id, turn)
+  LEFT JOIN (SELECT conv_id, turn + 2 AS turn, min(text) AS text FROM conversations GROUP BY ALL) q2 USING (conv_id, turn)
+  LEFT JOIN (SELECT conv_id - 1 AS conv_id, turn, min(text) AS text FROM conversations WHERE turn = 0 GROUP BY ALL) q3 USING (conv_id, turn))"""
+
+
+def replies(messages: DataFrame) -> DataFrame:
+    """Messages that quote, made of messages that don't (see REPLIES, its SQL)."""
+    said = messages.groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    quoted = lambda marks: F.concat(F.lit(marks), F.replace(F.col("text"), F.lit("\n"), F.lit("\n" + marks)))
+    one = said.select("conv_id", (F.col("turn") + 1).alias("turn"), quoted("> ").alias("q1"))
+    two = said.select("conv_id", (F.col("turn") + 2).alias("turn"), quoted("> > ").alias("q2"))
+    far = said.where("turn = 0").select((F.col("conv_id") - 1).alias("conv_id"), "turn", quoted("> ").alias("q3"))
+    out = messages.select("conv_id", "turn", "role", "text").distinct()
+    for side in (one, two, far):
+        out = out.join(side, ["conv_id", "turn"], "left")
+    return out.select("conv_id", "turn", "role", F.concat_ws("\n", "q3", "q2", "q1", "text").alias("text"))
