@@ -1,6 +1,9 @@
 """Boosted trees that share prefixes: one tree by brute force, prefixes, searches, barrier tasks, storage."""
 import math
 import random
+import time
+from concurrent.futures import ThreadPoolExecutor
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 from hourglass.operators import boosting, models
 from hourglass.operators.evaluate import regression_metrics
 from hourglass.operators.split import expanding_folds
-from hourglass.session import scratch_path
+from hourglass.session import scratch_path, ship
 from hourglass.sources import artefacts
 
 
@@ -112,3 +115,15 @@ def test_odd_tables(spark):
     assert [r["pred"] for r in models.predict(model, few).collect()] == [3.0] * 3
     none = boosting.fit_boosted(few.limit(0), ["a"], "n", rounds=2, rate=0.1, depth=2)
     assert [r["pred"] for r in models.predict(none, few).collect()] == [0.0] * 3
+
+
+def test_fits_side_by_side_ship_the_package_once():
+    sent = []
+
+    def add(path):
+        sent.append(path)
+        time.sleep(0.2)                       # Spark's own copy takes a while, and a second one of that name fails
+    fresh = SimpleNamespace(sparkContext=SimpleNamespace(addPyFile=add))
+    with ThreadPoolExecutor(8) as ex:
+        list(ex.map(lambda _: ship(fresh), range(8)))
+    assert len(sent) == 1
