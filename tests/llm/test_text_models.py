@@ -40,6 +40,32 @@ def test_token_counts_equal_brute_force(spark, monkeypatch, nodes):
         assert trie.total(w) == sum(best_count(x, scores) for x in w)
 
 
+class Asked(dict):
+    """A dict that counts what it is asked."""
+    n = 0
+
+    def get(self, *a):
+        self.n += 1
+        return super().get(*a)
+
+
+def test_new_pre_tokens_ask_little():
+    scores = unigram_counts.load_scores()
+    words = [f"unter{a}{b}ung{c}" for a in "aeiou" for b in "lmnrst" for c in ("en", "s", "")]
+    texts = [words[::2] * 3, [], words[1::2] + ["x" * 300, "é" * 256], words[:5]]
+    want = [sum(best_count(w, scores) for w in t) for t in texts]
+    for nodes in (1_000_000, 20):
+        trie = unigram_counts.Trie(scores, nodes)
+        assert trie.totals(texts) == want and trie.totals(texts) == want
+        assert not any(len(w) >= unigram_counts.LONG for w in trie.count)
+    trie = unigram_counts.Trie(scores)
+    trie.child, trie.tails = Asked(), Asked(trie.tails)
+    trie.add(words)
+    places = len(trie.best) - 1
+    assert trie.child.n == places                            # each node once: words go on from where they part
+    assert trie.tails.n < 8 * places                         # pieces have up to 16 characters; ends of none are not tried
+
+
 def test_token_count_rows(spark):
     df = spark.createDataFrame([(i, t, 1) for i, t in ODD], "doc_id bigint, text string, n_tokens int")
     out = unigram_counts.token_counts(df).collect()
