@@ -2,6 +2,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hourglass.llm import collocations, spelling, window_dedup
+from hourglass.llm import collocations, common, spelling, window_dedup
 
 SCHEMA = "doc_id bigint, text string, lang string, n_removed string, key int"
 
@@ -254,3 +255,18 @@ def test_scores_pass_64_bits(spark):
     wide = [F.col(c).cast("decimal(16,0)") for c in "alr"]
     got = df.select(F.call_function("div", wide[0] * wide[0] * F.lit(1000000).cast("decimal(7,0)"), wide[1] * wide[2])).first()[0]
     assert got == 1000000 * 9 * 10 ** 24 // (20 * 10 ** 24)
+
+
+def test_saved_tables_leave_no_shuffle_files(spark):
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(k).getName() for k in range(found.size()) if found.apply(k).getName().startswith("shuffle_")}
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was, conf = files(), spark.conf.get(name, None)
+    rows = spark.range(50_000).groupBy((F.col("id") % 7000).alias("m")).count()
+    out = common.save(rows.join(rows.withColumnRenamed("count", "c"), "m").repartition(5, "c", "m"), "tidy")
+    until = time.time() + 10
+    while files() - was and time.time() < until:      # they go shortly after the write
+        time.sleep(0.2)
+    assert not files() - was
+    assert out.count() == 7000 and spark.conf.get(name, None) == conf
